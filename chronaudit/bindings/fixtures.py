@@ -53,16 +53,21 @@ def calendar(spark: SparkSession) -> Calendar:
 
 
 def orders_with_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _with_lines(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def _with_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Orders with the key of their lines, null for an order without any."""
-    orders = table(spark, d, "orders")
-    keys = table(spark, d, "lineitem").select("l_orderkey").distinct()
+    keys = lines.select("l_orderkey").distinct()
     return orders.join(keys, orders.o_orderkey == keys.l_orderkey, "left")
 
 
 def orders_by_month(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(
-        "o_orderpriority", F.last_day("o_orderdate").alias("rdate"), "o_orderkey"
-    )
+    return _by_month(table(spark, d, "orders"))
+
+
+def _by_month(orders: DataFrame) -> DataFrame:
+    return orders.select("o_orderpriority", F.last_day("o_orderdate").alias("rdate"), "o_orderkey")
 
 
 def orders_spec(spark: SparkSession, d: str, **kw) -> TableSpec:
@@ -70,7 +75,11 @@ def orders_spec(spark: SparkSession, d: str, **kw) -> TableSpec:
 
 
 def status_history(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(
+    return _history(table(spark, d, "orders"))
+
+
+def _history(orders: DataFrame) -> DataFrame:
+    return orders.select(
         "o_custkey",
         F.to_date("o_orderdate").alias("exdate"),
         "o_orderkey",
@@ -83,7 +92,7 @@ def specs(spark: SparkSession, d: str) -> list[TableSpec]:
     """The sample tables in the roles of the audited ones."""
     orders = table(spark, d, "orders")
     lines = table(spark, d, "lineitem")
-    held = orders_with_lines(spark, d)
+    held = _with_lines(orders, lines)
     finished = orders.where(F.col("o_orderstatus") == "F")
     unmatched = held.where(F.col("o_orderstatus") == "F")
     return [
@@ -104,12 +113,12 @@ def specs(spark: SparkSession, d: str) -> list[TableSpec]:
             checks=(NO_DATA, NO_ID, NOT_MONTHLY, BAD_ROW),
         ),
         TableSpec(
-            "univsnapshot", orders_by_month(spark, d), "rdate", "o_orderpriority", "o_orderkey",
+            "univsnapshot", _by_month(orders), "rdate", "o_orderpriority", "o_orderkey",
             "monthly", checks=(NO_DATA, NO_REFERENCE, SIZE_JUMP, NOT_MONTHLY, ORPHAN_ROW),
             reference=lines, reference_key="l_orderkey", change_tolerance=10,
         ),
         TableSpec(
-            "bg_div", status_history(spark, d), "exdate", "o_custkey", None, None,
+            "bg_div", _history(orders), "exdate", "o_custkey", None, None,
             checks=(NO_FLAG,),
             event_rule=EventRule("o_orderstatus", "P", "flagged", ("o_orderkey",)),
         ),

@@ -627,12 +627,16 @@ scalar(
 
 @bound(
     "x08_daily_range",
-    f"""SELECT o_custkey, CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE) AS rdate
-FROM orders GROUP BY o_custkey""",
+    """SELECT o_orderpriority, o_orderstatus,
+  CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE) AS rdate
+FROM orders GROUP BY o_orderpriority, o_orderstatus""",
 )
 def daily_range(spark, d):
-    spans = dated_orders(spark, d).groupBy("o_custkey").agg(F.min("rdate").alias("a"), F.max("rdate").alias("b"))
-    return spans.select("o_custkey", F.explode(fd.days_between(F.col("a"), F.col("b"))).alias("rdate"))
+    spans = dated_orders(spark, d).groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.min("rdate").alias("a"), F.max("rdate").alias("b")
+    )
+    days = F.explode(fd.days_between(F.col("a"), F.col("b"))).alias("rdate")
+    return spans.select("o_orderpriority", "o_orderstatus", days)
 
 
 @bound(

@@ -80,6 +80,8 @@ class TableSpec:
             raise ValueError(f"{self.name}: no column {', '.join(missing)}")
         if self.frequency not in ("daily", "monthly", None):
             raise ValueError(f"{self.name}: unknown frequency {self.frequency!r}")
+        if not self.name.isidentifier():
+            raise ValueError(f"{self.name!r}: a table name holds letters, digits and underscores")
         unknown = set(self.checks) - set(GROUPED_CHECKS) - set(TABLE_CHECKS)
         if unknown:
             raise ValueError(f"{self.name}: unknown checks {sorted(unknown)}")
@@ -99,22 +101,25 @@ class TableSpec:
 def as_issues(
     found: DataFrame,
     table_name: str,
-    issue_type: str,
-    group=None,
-    rdate=None,
-    entity=None,
-    metric=None,
+    issue_type: str | None,
+    group: str | None = None,
+    rdate: str | None = None,
+    entity: str | None = None,
+    metric: str | None = None,
 ) -> DataFrame:
-    """Shape a check's result into the issue schema; unnamed parts are null."""
+    """Shape a check's result into the issue schema; parts without a column are null.
+
+    Without ``issue_type`` the result carries its own.
+    """
 
     def part(column, kind):
-        return (F.lit(None) if column is None else F.col(column)).cast(kind)
-
-    return found.select(
-        F.lit(table_name).alias("table_name"),
-        F.lit(issue_type).alias("issue_type"),
-        part(group, "string").alias("group_value"),
-        part(rdate, "date").alias("rdate"),
-        part(entity, "string").alias("entity_id"),
-        part(metric, "double").alias("metric"),
+        return f"cast({'null' if column is None else f'`{column}`'} as {kind})"
+
+    return found.selectExpr(
+        f"'{table_name}' as table_name",
+        "issue_type" if issue_type is None else f"'{issue_type}' as issue_type",
+        f"{part(group, 'string')} as group_value",
+        f"{part(rdate, 'date')} as rdate",
+        f"{part(entity, 'string')} as entity_id",
+        f"{part(metric, 'double')} as metric",
     )

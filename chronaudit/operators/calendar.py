@@ -4,31 +4,36 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronaudit.functions.dates import days_between, is_weekend, week_of_month
+from chronaudit.functions.dates import days_between, week_of_month
 from chronaudit.functions.predicates import differs, in_period, in_year
 
 
+def single_row(spark: SparkSession) -> DataFrame:
+    """One row in one partition, to unroll literal lists from without a shuffle."""
+    return spark.range(0, 1, 1, 1)
+
+
 def _describe(days: DataFrame, flags: DataFrame | None) -> DataFrame:
     """Add the calendar columns to days; ``flags`` holds date and holiday_flag."""
     if flags is None:
         marked = days.withColumn("holiday_flag", F.lit(0))
     else:
         marked = days.join(flags, "date", "left").fillna(0, subset=["holiday_flag"])
-    d = F.col("date")
-    return marked.select(
-        d,
-        F.year(d).alias("year"),
-        F.month(d).alias("month"),
-        F.weekday(d).alias("weekday"),
-        F.day(d).alias("day"),
-        week_of_month(d).alias("week"),
+    described = marked.selectExpr(
+        "date",
+        "year(date) as year",
+        "month(date) as month",
+        "weekday(date) as weekday",
+        "day(date) as day",
         "holiday_flag",
-        (~(is_weekend(d) | (F.col("holiday_flag") == 1))).alias("bday"),
+        "weekday(date) < 5 and holiday_flag = 0 as bday",
     )
+    return described.withColumn("week", week_of_month(F.col("date")))
 
 
 def _holiday_days(holidays: DataFrame, holiday_col: str, start: date, end: date) -> DataFrame:
@@ -65,21 +70,20 @@ class Calendar:
     def years(self) -> range:
         return range(self.start.year, self.end.year + 1)
 
-    def holiday_days(self) -> DataFrame | None:
-        if self.holidays is None:
-            return None
-        return _holiday_days(self.holidays, self.holiday_col, self.start, self.end)
-
-    def days(self) -> DataFrame:
-        """date, year, month, weekday (Monday 0), day, week, holiday_flag, bday."""
+    @cached_property
+    def _days(self) -> DataFrame:
         span = days_between(F.lit(self.start), F.lit(self.end))
-        days = self.spark.range(1).select(F.explode(span).alias("date"))
-        known = self.holiday_days()
-        if known is None:
+        days = single_row(self.spark).select(F.explode(span).alias("date"))
+        if self.holidays is None:
             return _describe(days, None)
         # Distinct days of the calendar's own span: never more rows than the calendar.
+        known = _holiday_days(self.holidays, self.holiday_col, self.start, self.end)
         return _describe(days, F.broadcast(known.withColumn("holiday_flag", F.lit(1))))
 
+    def days(self) -> DataFrame:
+        """date, year, month, weekday (Monday 0), day, week, holiday_flag, bday."""
+        return self._days
+
     def business_days(self) -> DataFrame:
         return self.days().where("bday").select("date")
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from chronaudit.functions.dates import days_between, last_sunday_before
 from chronaudit.functions.predicates import in_period
 from chronaudit.model import TableSpec
-from chronaudit.operators.calendar import Calendar
+from chronaudit.operators.calendar import Calendar, single_row
 from chronaudit.operators.rollup import cutoff, expected_by_year, rollup
 
 
@@ -114,10 +114,10 @@ def date_coverage(df: DataFrame, date_col: str, calendar: Calendar) -> DataFrame
     )
 
 
-def date_flags(df: DataFrame, date_col: str, start: date, end: date, spark=None) -> DataFrame:
+def date_flags(df: DataFrame, date_col: str, start: date, end: date) -> DataFrame:
     """0/1 per day from start up to, but without, end."""
     last = cutoff(end)
-    days = (spark or df.sparkSession).range(1).select(
+    days = single_row(df.sparkSession).select(
         F.explode(days_between(F.lit(start), F.lit(last))).alias("date")
     )
     there = (

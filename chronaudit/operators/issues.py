@@ -20,6 +20,7 @@ from chronaudit.model import (
     NOT_MONTHLY,
     SIZE_JUMP,
 )
+from chronaudit.operators.calendar import single_row
 
 # Messages of the per-date verdict.
 VERDICT_NO_DATA = "no data"
@@ -37,7 +38,7 @@ def no_issues(spark: SparkSession) -> DataFrame:
 
 
 def _table_names(spark: SparkSession, tables: Iterable[str]) -> DataFrame:
-    return spark.range(1).select(
+    return single_row(spark).select(
         F.explode(F.array(*[F.lit(t) for t in tables])).alias("table_name")
     )
 

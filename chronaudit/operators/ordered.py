@@ -61,7 +61,8 @@ def with_neighbours(
     keys, tie_break, carry = _names(keys), _names(tie_break), _names(carry)
     order = [date_col, *tie_break]
     row = F.struct(*order, *[c for c in carry if c not in order])
-    keyed = df.dropna(subset=keys).withColumn(
+    present = " and ".join(f"`{k}` is not null" for k in keys)
+    keyed = df.where(present).withColumn(
         "_stretch", F.coalesce(F.trunc(date_col, stretch), F.to_date(F.lit("0001-01-01")))
     )
     part = [*keys, "_stretch"]

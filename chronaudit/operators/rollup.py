@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronaudit.functions.dates import is_month_end
 from chronaudit.model import NO_DATA, NO_ID, SIZE_JUMP, TableSpec
 from chronaudit.operators.calendar import Calendar
 
@@ -54,51 +53,48 @@ def expected_by_year(calendar: Calendar, as_of: date, lag_days: int = 1) -> Data
     At most 366 entries per year, so the result may be broadcast.
     """
     due = calendar.days().where(F.col("date") < F.lit(cutoff(as_of, lag_days)))
-    d = F.col("date")
     return due.groupBy("year").agg(
-        F.collect_list(F.when(F.col("bday"), d)).alias("daily"),
-        F.collect_list(F.when(is_month_end(d), d)).alias("monthly"),
+        F.expr("collect_list(date) filter (where bday)").alias("daily"),
+        F.expr("collect_list(date) filter (where date = last_day(date))").alias("monthly"),
     )
 
 
-def profile(
-    spec: TableSpec, calendar: Calendar, as_of: date, wanted: set[str], lag_days: int = 1
-) -> DataFrame:
+# What ``profile`` adds to the per-year row, and how a finding comes out of it.
+_FOUND = "array<struct<issue_type:string,rdate:date,metric:double>>"
+
+
+def _dates_as(issue_type: str, dates: str) -> str:
+    return (
+        f"transform({dates}, d -> named_struct('issue_type', '{issue_type}', 'rdate', d,"
+        " 'metric', cast(null as double)))"
+    )
+
+
+def profile(spec: TableSpec, calendar: Calendar, expected: DataFrame, wanted: set[str]) -> DataFrame:
     """Missing dates, null-id dates and size jumps of a table from one scan.
 
-    Returns group_value, issue_type, rdate, metric.
+    ``expected`` comes from ``expected_by_year``. Returns group_value, issue_type,
+    rdate and metric.
     """
     roll = rollup(spec, calendar)
-    year = F.year("rdate").alias("year")
-    parts = []
     collected = [F.collect_list("rdate").alias("dates")]
-    found = "struct<issue_type:string,rdate:date,metric:double>"
-
-    def tagged(dates, issue_type):
-        return F.transform(
-            dates,
-            lambda d: F.struct(F.lit(issue_type), d, F.lit(None).cast("double")).cast(found),
-        )
-
+    parts = []
     if NO_DATA in wanted:
-        due = F.col(spec.frequency or "daily")
-        parts.append(tagged(F.array_except(due, "dates"), NO_DATA))
+        parts.append(_dates_as(NO_DATA, f"array_except({spec.frequency or 'daily'}, dates)"))
     if NO_ID in wanted:
-        collected.append(
-            F.collect_list(F.when(F.col("n_null_ids") > 0, F.col("rdate"))).alias("null_dates")
-        )
-        parts.append(tagged(F.array_intersect("daily", "null_dates"), NO_ID))
+        nulls = F.expr("collect_list(rdate) filter (where n_null_ids > 0)")
+        collected.append(nulls.alias("null_dates"))
+        parts.append(_dates_as(NO_ID, "array_intersect(daily, null_dates)"))
     if SIZE_JUMP in wanted:
         roll = with_previous(roll).withColumn("growth", growth())
-        jump = F.struct(F.lit(SIZE_JUMP), F.col("rdate"), F.col("growth")).cast(found)
-        collected.append(
-            F.collect_list(F.when(F.col("growth") > spec.growth_threshold, jump)).alias("jumps")
+        jumps = F.expr(
+            f"collect_list(named_struct('issue_type', '{SIZE_JUMP}', 'rdate', rdate, 'metric', growth))"
+            f" filter (where growth > {spec.growth_threshold!r}D)"
         )
-        parts.append(F.col("jumps"))
-    per_year = roll.groupBy("group_value", year).agg(*collected)
-    expected = F.broadcast(expected_by_year(calendar, as_of, lag_days))
-    # Left join: a year that is not due yet still keeps its size jumps.
-    joined = per_year.join(expected, "year", "left")
-    empty = F.array().cast(f"array<{found}>")
-    findings = F.concat(*[F.coalesce(p, empty) for p in parts])
-    return joined.select("group_value", F.inline(findings))
+        collected.append(jumps.alias("jumps"))
+        parts.append("jumps")
+    per_year = roll.groupBy("group_value", F.year("rdate").alias("year")).agg(*collected)
+    # Left join: a year with nothing due yet still keeps its size jumps.
+    joined = per_year.join(F.broadcast(expected), "year", "left")
+    findings = ", ".join(f"coalesce({p}, cast(array() as {_FOUND}))" for p in parts)
+    return joined.selectExpr("group_value", f"inline(concat({findings}))")

@@ -185,5 +185,5 @@ def year_month_status(issues: DataFrame, first_year: int, last_year: int) -> Dat
     found = issues.where(rdate.isNotNull()).groupBy(F.year(rdate).alias("year")).agg(
         *[F.bool_or(F.month(rdate) == i).alias(n) for i, n in enumerate(MONTH_NAMES, start=1)]
     )
-    years = issues.sparkSession.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+    years = issues.sparkSession.range(first_year, last_year + 1, 1, 1).select(F.col("id").cast("int").alias("year"))
     return years.join(found, "year", "left").fillna(False)

@@ -7,7 +7,6 @@ from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chronaudit.model import (
     BAD_ROW,
@@ -27,23 +26,16 @@ from chronaudit.operators.completeness import missing_dates_any, missing_months
 from chronaudit.operators.events import missing_flag_after_event
 from chronaudit.operators.integrity import null_rows, orphan_ids, orphan_rows
 from chronaudit.operators.issues import no_issues
-from chronaudit.operators.rollup import profile
+from chronaudit.operators.rollup import expected_by_year, profile
 from chronaudit.operators.size import group_change_abs
 
 
-def _grouped_findings(spec: TableSpec, calendar: Calendar, as_of: date, lag_days: int):
+def _grouped_findings(spec: TableSpec, calendar: Calendar, expected: DataFrame):
     checks = set(spec.checks)
     profiled = checks & {NO_DATA, NO_ID, SIZE_JUMP}
     if profiled:
-        found = profile(spec, calendar, as_of, profiled, lag_days)
-        yield found.select(
-            F.lit(spec.name).alias("table_name"),
-            "issue_type",
-            F.col("group_value").cast("string").alias("group_value"),
-            "rdate",
-            F.lit(None).cast("string").alias("entity_id"),
-            "metric",
-        )
+        found = profile(spec, calendar, expected, profiled)
+        yield as_issues(found, spec.name, None, "group_value", "rdate", None, "metric")
     if NO_REFERENCE in checks:
         rows = spec.between(calendar.start, calendar.end)
         found = orphan_ids(rows, spec.reference, spec.id_col, spec.reference_key)
@@ -96,12 +88,13 @@ def run_checks(
     """
     if style not in ("grouped", "table"):
         raise ValueError(f"unknown style {style!r}")
+    expected = expected_by_year(calendar, as_of, lag_days)
     parts = []
     for spec in specs:
         if selected is not None and spec.name not in selected:
             continue
         if style == "grouped":
-            parts += _grouped_findings(spec, calendar, as_of, lag_days)
+            parts += _grouped_findings(spec, calendar, expected)
         else:
             parts += _table_findings(spec, calendar)
     return reduce(DataFrame.unionByName, parts) if parts else no_issues(calendar.spark)
