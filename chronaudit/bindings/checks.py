@@ -203,7 +203,7 @@ def event_holidays(spark):
     f"""WITH {SQL_GAPS},
 ranked AS (
   SELECT event_id, user_id, CAST(ts AS DATE) AS rdate, event_type,
-         row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS place
+         row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS place
   FROM events
 )
 SELECT r.event_id, r.user_id, r.rdate, r.event_type, h.weekday, h.diff_days
@@ -211,7 +211,7 @@ FROM ranked r JOIN hits h ON r.user_id = h.user_id AND r.rdate = h.rdate AND (r.
 )
 def irregular_gaps(spark, d):
     found = events.irregular_gaps(
-        table(spark, d, "events"), "user_id", "ts", event_holidays(spark), ["ts", "event_id"]
+        table(spark, d, "events"), "user_id", "ts", event_holidays(spark), ["event_id"]
     )
     return found.select(
         "event_id", "user_id", F.to_date("ts").alias("rdate"), "event_type", "weekday", "diff_days"

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronaudit.functions import daybits
 from chronaudit.functions.dates import days_between, last_sunday_before
 from chronaudit.functions.predicates import in_period
 from chronaudit.model import TableSpec
 from chronaudit.operators.calendar import Calendar, single_row
-from chronaudit.operators.rollup import cutoff, expected_by_year, rollup
+from chronaudit.operators.rollup import cutoff, dated_rows, expected_by_year
 
 
 def _absent(
@@ -24,34 +25,31 @@ def _absent(
     groups: DataFrame | None,
     within_span: bool,
 ) -> DataFrame:
-    group = spec.group_col
-    roll = rollup(spec, calendar).select("group_value", "rdate", F.year("rdate").alias("year"))
+    rows = dated_rows(spec, calendar).select("group_value", "rdate", "year", "slot")
     if groups is not None:
-        # A listed group must be there every year; the null date vanishes in collect_list.
+        # A listed group must be there every year; its null slot sets no bit.
         years = F.array(*[F.lit(y) for y in calendar.years])
-        listed = groups.select(F.col(group).alias("group_value")).where("group_value is not null")
-        roll = roll.unionByName(
-            listed.distinct().select(
-                "group_value", F.lit(None).cast("date").alias("rdate"), F.explode(years).alias("year")
-            )
+        listed = groups.select(F.col(spec.group_col).alias("group_value")).where("group_value is not null")
+        rows = rows.unionByName(
+            listed.distinct().select("group_value", F.explode(years).alias("year")),
+            allowMissingColumns=True,
         )
-    present = roll.groupBy("group_value", "year").agg(
-        F.collect_list("rdate").alias("dates"),
-        F.min("rdate").alias("first"),
-        F.max("rdate").alias("last"),
+    present = rows.groupBy("group_value", "year").agg(
+        *daybits.gather("seen", "slot"), F.min("rdate").alias("first"), F.max("rdate").alias("last")
     )
     if within_span:
+        # One row per group and year is left, so a group is never large here.
         whole = Window.partitionBy("group_value")
         present = present.withColumns(
             {"first": F.min("first").over(whole), "last": F.max("last").over(whole)}
         )
     expected = F.broadcast(expected_by_year(calendar, as_of, lag_days))
-    found = present.join(expected, "year").select(
-        "group_value", "first", "last", F.explode(F.array_except(kind, "dates")).alias("rdate")
-    )
+    lacking = present.join(expected, "year").where(daybits.some_absent(kind, "seen"))
+    due = lacking.select("group_value", "first", "last", *daybits.names("seen"), F.explode(kind).alias("rdate"))
+    found = due.where("not " + daybits.member("seen", "rdate"))
     if within_span:
         found = found.where(F.col("rdate").between(F.col("first"), F.col("last")))
-    return found.select(F.col("group_value").alias(group), "rdate")
+    return found.select(F.col("group_value").alias(spec.group_col), "rdate")
 
 
 def missing_dates(

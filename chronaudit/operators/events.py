@@ -45,6 +45,11 @@ def missing_flag_after_event(
     return near.where(is_set(faulty) | is_set(leads_to_faulty)).select(*df.columns)
 
 
+def _place(order_by: Sequence[str]) -> Column:
+    """A single column stays bare: its minimum is a hash aggregate, a struct's is not."""
+    return F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+
+
 def date_gaps(
     df: DataFrame, group: str, date_col: str, first_gap: int = 1, order_by: Sequence[str] = ()
 ) -> DataFrame:
@@ -52,9 +57,9 @@ def date_gaps(
 
     A group's first date gets ``first_gap``. Rows that share a date are counted in
     n_rows; all but one of them, the first by ``order_by``, stand at gap 0. With
-    ``order_by`` its place is returned as the struct ``lead``.
+    ``order_by`` its place is returned as ``lead``.
     """
-    place = [F.min(F.struct(*order_by)).alias("lead")] if order_by else []
+    place = [F.min(_place(order_by)).alias("lead")] if order_by else []
     days = (
         df.where(F.col(group).isNotNull() & F.col(date_col).isNotNull())
         .groupBy(group, F.to_date(date_col).alias("rdate"))
@@ -151,7 +156,7 @@ def irregular_gaps(
     """
     gaps = date_gaps(df, group, date_col, first_gap, order_by)
     # Without an order there is nothing to tell repeats apart: dates must be unique.
-    is_lead = F.struct(*order_by) == F.col("lead") if order_by else F.lit(True)
+    is_lead = _place(order_by) == F.col("lead") if order_by else F.lit(True)
     bad = (
         _with_verdict(gaps, holidays, holiday_col)
         .where(F.col("gap_bad") | F.col("repeat_bad"))

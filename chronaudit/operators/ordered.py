@@ -39,8 +39,9 @@ def last_per_group(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str
 def drop_latest(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str) -> DataFrame:
     """All rows but each key's last one; rows without a key are left out."""
     keys, order = _names(keys), _names(order)
-    latest = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_latest"))
-    return df.join(latest, keys).where(F.struct(*order) != F.col("_latest")).select(*df.columns)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    latest = df.groupBy(*keys).agg(F.max(place).alias("_latest"))
+    return df.join(latest, keys).where(~place.eqNullSafe(F.col("_latest"))).select(*df.columns)
 
 
 def with_neighbours(

@@ -1,9 +1,9 @@
-"""The rollup that the grouped checks share.
+"""What the grouped checks share: presence per group and year, and row counts per date.
 
-A dated table is reduced once to one row per group and date. Partial aggregation
-collapses a hot group before the shuffle, and afterwards no group has more rows
-than the calendar has days, so per-group windows and arrays stay small whatever
-the size of the table.
+Presence (which days a group has) is gathered as bits straight from the table, in
+one shuffle. Row counts need a rollup to one row per group and date; partial
+aggregation collapses a hot group before the shuffle, and afterwards no group has
+more rows than the calendar has days, so windows over a group stay small.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronaudit.functions import daybits
 from chronaudit.model import NO_DATA, NO_ID, SIZE_JUMP, TableSpec
 from chronaudit.operators.calendar import Calendar
 
@@ -49,24 +50,38 @@ def cutoff(as_of: date, lag_days: int = 1) -> date:
 def expected_by_year(calendar: Calendar, as_of: date, lag_days: int = 1) -> DataFrame:
     """One row per calendar year with the days that must be there.
 
-    ``daily`` holds business days, ``monthly`` month ends (weekends included).
-    At most 366 entries per year, so the result may be broadcast.
+    ``daily`` holds business days, ``monthly`` month ends (weekends included), each as
+    an array and as day bits. At most 366 entries per year, so it may be broadcast.
     """
     due = calendar.days().where(F.col("date") < F.lit(cutoff(as_of, lag_days)))
-    return due.groupBy("year").agg(
+    month_end = "date = last_day(date)"
+    return due.withColumn("slot", F.expr(daybits.slot("date"))).groupBy("year").agg(
         F.expr("collect_list(date) filter (where bday)").alias("daily"),
-        F.expr("collect_list(date) filter (where date = last_day(date))").alias("monthly"),
+        F.expr(f"collect_list(date) filter (where {month_end})").alias("monthly"),
+        *daybits.gather("daily", "slot", "bday"),
+        *daybits.gather("monthly", "slot", month_end),
     )
 
 
-# What ``profile`` adds to the per-year row, and how a finding comes out of it.
+def dated_rows(spec: TableSpec, calendar: Calendar) -> DataFrame:
+    """group_value, rdate, year, slot and id_missing of every row with a group and a date."""
+    if spec.group_col is None:
+        raise ValueError(f"{spec.name}: grouped checks need a group column")
+    group, dated = F.col(spec.group_col), F.col(spec.date_col)
+    id_missing = F.lit(False) if spec.id_col is None else F.col(spec.id_col).isNull()
+    rows = spec.between(calendar.start, calendar.end).where(group.isNotNull() & dated.isNotNull())
+    return rows.select(
+        group.alias("group_value"), F.to_date(dated).alias("rdate"), id_missing.alias("id_missing")
+    ).selectExpr("*", "year(rdate) as year", f"{daybits.slot('rdate')} as slot")
+
+
 _FOUND = "array<struct<issue_type:string,rdate:date,metric:double>>"
 
 
-def _dates_as(issue_type: str, dates: str) -> str:
+def _candidates(issue_type: str, days: str) -> str:
     return (
-        f"transform({dates}, d -> named_struct('issue_type', '{issue_type}', 'rdate', d,"
-        " 'metric', cast(null as double)))"
+        f"transform({days}, d -> named_struct('issue_type', '{issue_type}', 'rdate', d,"
+        f" 'metric', cast(null as double))) as {issue_type}_days"
     )
 
 
@@ -76,25 +91,40 @@ def profile(spec: TableSpec, calendar: Calendar, expected: DataFrame, wanted: se
     ``expected`` comes from ``expected_by_year``. Returns group_value, issue_type,
     rdate and metric.
     """
-    roll = rollup(spec, calendar)
-    collected = [F.collect_list("rdate").alias("dates")]
-    parts = []
-    if NO_DATA in wanted:
-        parts.append(_dates_as(NO_DATA, f"array_except({spec.frequency or 'daily'}, dates)"))
-    if NO_ID in wanted:
-        nulls = F.expr("collect_list(rdate) filter (where n_null_ids > 0)")
-        collected.append(nulls.alias("null_dates"))
-        parts.append(_dates_as(NO_ID, "array_intersect(daily, null_dates)"))
+    due = spec.frequency or "daily"
+    rows = dated_rows(spec, calendar)
+    id_missing = "id_missing"
+    collected, candidates, sources, tests = [], [], [], []
     if SIZE_JUMP in wanted:
-        roll = with_previous(roll).withColumn("growth", growth())
+        rows = with_previous(rollup(spec, calendar)).withColumn("growth", growth())
+        rows = rows.selectExpr("*", "year(rdate) as year", f"{daybits.slot('rdate')} as slot")
+        id_missing = "n_null_ids > 0"
         jumps = F.expr(
             f"collect_list(named_struct('issue_type', '{SIZE_JUMP}', 'rdate', rdate, 'metric', growth))"
             f" filter (where growth > {spec.growth_threshold!r}D)"
         )
         collected.append(jumps.alias("jumps"))
-        parts.append("jumps")
-    per_year = roll.groupBy("group_value", F.year("rdate").alias("year")).agg(*collected)
+        sources.append("jumps")
+        tests.append(f"issue_type = '{SIZE_JUMP}'")
+    if NO_DATA in wanted:
+        collected += daybits.gather("seen", "slot")
+        candidates.append(_candidates(NO_DATA, due))
+        sources.append(f"if({daybits.some_absent(due, 'seen')}, {NO_DATA}_days, null)")
+        tests.append(f"issue_type = '{NO_DATA}' and not {daybits.member('seen', 'rdate')}")
+    if NO_ID in wanted:
+        collected += daybits.gather("faulty", "slot", id_missing)
+        candidates.append(_candidates(NO_ID, "daily"))
+        sources.append(f"if({daybits.some_shared('daily', 'faulty')}, {NO_ID}_days, null)")
+        tests.append(f"issue_type = '{NO_ID}' and {daybits.member('faulty', 'rdate')}")
+    per_year = rows.groupBy("group_value", "year").agg(*collected)
+    listed = expected.selectExpr(
+        "year", *daybits.names("daily"), *daybits.names("monthly"), *candidates
+    )
     # Left join: a year with nothing due yet still keeps its size jumps.
-    joined = per_year.join(F.broadcast(expected), "year", "left")
-    findings = ", ".join(f"coalesce({p}, cast(array() as {_FOUND}))" for p in parts)
-    return joined.selectExpr("group_value", f"inline(concat({findings}))")
+    joined = per_year.join(F.broadcast(listed), "year", "left")
+    days = ", ".join(f"coalesce({s}, cast(array() as {_FOUND}))" for s in sources)
+    sets = [c for c in per_year.columns if c.startswith(("seen_", "faulty_"))]
+    unrolled = joined.selectExpr("group_value", *sets, f"inline(concat({days}))")
+    return unrolled.where(" or ".join(f"({t})" for t in tests)).select(
+        "group_value", "issue_type", "rdate", "metric"
+    )
