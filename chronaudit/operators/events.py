@@ -20,13 +20,15 @@ def missing_flag_after_event(
     event_value: str,
     flag_col: str,
     tie_break: Sequence[str] = (),
+    stretch: str = "month",
 ) -> DataFrame:
     """An event's next row without its flag, together with the event itself.
 
     Each key's latest row is not judged. A row that is both a faulty follow-up and
-    an event with a faulty follow-up appears once.
+    an event with a faulty follow-up appears once. ``stretch`` is explained at
+    ``with_neighbours``.
     """
-    near = with_neighbours(df, key, date_col, tie_break, carry=[type_col, flag_col])
+    near = with_neighbours(df, key, date_col, tie_break, [type_col, flag_col], stretch)
     order = [date_col, *tie_break]
 
     def position(of=None):

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Stretch of the rows without a date, ahead of all others.
+UNDATED = "date'0001-01-01'"
+
+
 def _names(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
@@ -56,16 +60,18 @@ def with_neighbours(
 
     Each holds the order columns and the ``carry`` columns of the row before, the
     row after and the last row of the key; previous and next are null at the ends.
-    Windows run per key and ``stretch`` (a unit of ``trunc``) of the date. Rows
-    without a key are left out; rows without a date come first.
+    Rows without a key are left out; rows without a date come first.
+
+    Windows run per key and ``stretch`` of the date: day, week, month, quarter or year.
+    One stretch of one key should fit a task, so the more rows a key may have the
+    shorter it should be; the shorter it is, the more stretch ends there are to stitch.
     """
     keys, tie_break, carry = _names(keys), _names(tie_break), _names(carry)
     order = [date_col, *tie_break]
     row = F.struct(*order, *[c for c in carry if c not in order])
     present = " and ".join(f"`{k}` is not null" for k in keys)
-    keyed = df.where(present).withColumn(
-        "_stretch", F.coalesce(F.trunc(date_col, stretch), F.to_date(F.lit("0001-01-01")))
-    )
+    begins = F.to_date(date_col) if stretch == "day" else F.trunc(date_col, stretch)
+    keyed = df.where(present).withColumn("_stretch", F.coalesce(begins, F.expr(UNDATED)))
     part = [*keys, "_stretch"]
 
     ends = keyed.groupBy(*part).agg(F.min(row).alias("_first"), F.max(row).alias("_last"))

@@ -88,7 +88,7 @@ def test_missing_flag_matches_brute_force(spark, seed):
     assert flagged(spark, shuffled) == flagged(spark, events)
 
 
-@pytest.mark.parametrize("stretch", ["month", "year", "week"])
+@pytest.mark.parametrize("stretch", ["month", "year", "week", "day"])
 def test_neighbours_match_a_plain_order(spark, stretch):
     events = random_events(3, list("ab"), 300) + [("a", None, 900, R, None), ("a", None, 901, R, None)]
     near = with_neighbours(
