@@ -6,8 +6,6 @@ can be pushed to the scan where the source allows it.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +16,13 @@ MONTH_NAMES = (
     "January", "February", "March", "April", "May", "June", "July",
     "August", "September", "October", "November", "December",
 )
-# Text forms of dates found in delivered files.
-TEXT_DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy H:mm", "M/d/yyyy", "yyyyMMdd")
+# Text forms of dates found in delivered files, and how to tell them apart.
+TEXT_DATE_FORMATS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/y H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
+    (r"^\d{8}$", "yyyyMMdd"),
+)
 
 
 def week_of_month(d: Column) -> Column:
@@ -58,7 +61,8 @@ def days_between(start: Column, end: Column) -> Column:
 
 def month_ends_between(start: Column, end: Column) -> Column:
     """Array with the month ends that fall between two days, both included."""
-    firsts = F.sequence(F.trunc(start, "month"), end, F.expr("interval 1 month"))
+    last = F.greatest(start, end)
+    firsts = F.sequence(F.trunc(start, "month"), last, F.expr("interval 1 month"))
     return F.filter(F.transform(firsts, F.last_day), lambda d: d <= end)
 
 
@@ -67,10 +71,11 @@ def last_sunday_before(d: Column) -> Column:
 
 
 def parse_text_date(c: Column) -> Column:
-    """Date from any of the known text forms; null when none of them fits."""
-    text = F.trim(c)
-    return F.coalesce(*[F.try_to_date(text, f) for f in TEXT_DATE_FORMATS])
+    """Date from any of the known text forms; null when none of them fits.
 
-
-def day_before(d: date, days: int = 1) -> date:
-    return d - timedelta(days=days)
+    The form is told by its shape first: trying one format after another would raise
+    an error inside the parser for most rows.
+    """
+    text = F.trim(c)
+    forms = [F.when(text.rlike(p), F.try_to_date(text, f)) for p, f in TEXT_DATE_FORMATS]
+    return F.coalesce(*forms)

@@ -93,14 +93,18 @@ def issue_detail(issues: DataFrame, table: str, groups: Sequence[str]) -> DataFr
 
 
 def issues_on_date(
-    issues: DataFrame, day: date, exact: Sequence[tuple[str, str]] = ()
+    issues: DataFrame,
+    day: date,
+    exact: Sequence[tuple[str, str]] = (),
+    monthly: Sequence[str] = (),
 ) -> DataFrame:
     """Findings that concern a date: daily checks on the day, all others in its month.
 
-    ``exact`` lists further (table, issue type) pairs to be matched on the day.
+    ``exact`` lists further (table, issue type) pairs to be matched on the day;
+    ``monthly`` names tables kept by month, whose missing dates concern the month.
     """
     t = F.col("issue_type")
-    by_day = t.isin(*DAY_TYPES)
+    by_day = t.isin(*DAY_TYPES) & ~F.col("table_name").isin(*monthly)
     for table, kind in exact:
         by_day = by_day | ((F.col("table_name") == table) & (t == kind))
     rdate = F.col("rdate")
@@ -114,12 +118,13 @@ def date_verdict(
     tables: Sequence[str],
     exact: Sequence[tuple[str, str]] = (),
     show_all: bool = False,
+    monthly: Sequence[str] = (),
 ) -> DataFrame:
     """Per table: no data, problematic rows or success.
 
     Missing data hides problematic rows, unless ``show_all`` asks for one row each.
     """
-    near = issues_on_date(issues, day, exact)
+    near = issues_on_date(issues, day, exact, monthly)
     absent = F.col("issue_type").isin(*ABSENCE_TYPES)
     state = near.groupBy("table_name").agg(
         F.bool_or(absent).alias("absent"), F.bool_or(~absent).alias("bad")

@@ -130,9 +130,15 @@ def status_matrix(
     )
 
 
-def status_codes(days: DataFrame, issues: DataFrame, tables: Sequence[str]) -> DataFrame:
-    """One row per day, one code per table (0: nothing found), and 5 on holidays."""
+def status_codes(
+    days: DataFrame, issues: DataFrame, tables: Sequence[str], monthly: Sequence[str] = ()
+) -> DataFrame:
+    """One row per day, one code per table (0: nothing found), and 5 on holidays.
+
+    ``monthly`` names tables kept by month, whose missing dates mean "not monthly".
+    """
     t = F.col("issue_type")
+    t = F.when((t == NO_DATA) & F.col("table_name").isin(*monthly), NOT_MONTHLY).otherwise(t)
     rank = F.lit(0)
     for place, (kinds, _) in enumerate(CODE_OF_TYPE, start=1):
         rank = F.when(t.isin(*kinds), place).otherwise(rank)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from chronaudit.model import (
     BAD_ROW,
+    ISSUE_SCHEMA,
     NO_DATA,
     NO_FLAG,
     NO_ID,
@@ -28,6 +29,7 @@ from chronaudit.operators.integrity import null_rows, orphan_ids, orphan_rows
 from chronaudit.operators.issues import no_issues
 from chronaudit.operators.rollup import expected_by_year, profile
 from chronaudit.operators.size import group_change_abs
+from chronaudit.sources.files import scratch_path
 
 
 def _grouped_findings(spec: TableSpec, calendar: Calendar, expected: DataFrame):
@@ -98,3 +100,15 @@ def run_checks(
         else:
             parts += _table_findings(spec, calendar)
     return reduce(DataFrame.unionByName, parts) if parts else no_issues(calendar.spark)
+
+
+def keep_issues(issues: DataFrame) -> DataFrame:
+    """Compute the issue table once, so that several reports can be drawn from it.
+
+    It is written below the shared folder and read back: later reports neither repeat
+    the checks nor depend on the executors that ran them.
+    """
+    spark = issues.sparkSession
+    path = scratch_path(spark, "issues")
+    issues.write.parquet(path)
+    return spark.read.schema(ISSUE_SCHEMA).parquet(path)

@@ -19,6 +19,7 @@ from chronaudit import (
     issue_summary,
     issues_on_date,
     join_by_date,
+    keep_issues,
     run_checks,
     status_codes,
     status_matrix,
@@ -109,6 +110,21 @@ def test_verdicts(june):
     ]
 
 
+def test_monthly_tables_concern_the_month(spark):
+    issues = issue_table(spark, ("m", NO_DATA, "a", "2021-06-30"), ("d", NO_DATA, "a", "2021-06-30"))
+    assert rows(date_verdict(issues, day("2021-06-09"), ["m", "d"], monthly=["m"])) == [
+        ("d", "success"), ("m", "no data"),
+    ]
+    assert rows(issues_on_date(issues, day("2021-07-01"), monthly=["m"])) == []
+    cal = Calendar(spark, date(2021, 6, 30), date(2021, 6, 30))
+    assert rows(status_codes(cal.days(), issues, ["m", "d"], ["m"])) == [(date(2021, 6, 30), 2, 1, 0)]
+
+
+def test_kept_issues_are_the_same(spark, june):
+    kept = keep_issues(june)
+    assert kept.schema == ISSUE_SCHEMA and rows(kept) == rows(june)
+
+
 def test_bad_dates(june):
     found = bad_dates(june, ["portholding", "bmprices"])
     assert [str(r[0]) for r in rows(found)] == ["2021-06-01", "2021-06-09", "2021-06-10"]
