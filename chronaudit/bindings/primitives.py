@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronaudit.bindings.checks import SQL_DATA_HOLIDAYS, data_holidays
 from chronaudit.bindings.fixtures import (

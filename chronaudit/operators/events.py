@@ -20,7 +20,7 @@ def missing_flag_after_event(
     event_value: str,
     flag_col: str,
     tie_break: Sequence[str] = (),
-    stretch: str = "month",
+    stretch: str | Column = "month",
 ) -> DataFrame:
     """An event's next row without its flag, together with the event itself.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,7 +54,7 @@ def with_neighbours(
     date_col: str,
     tie_break: Sequence[str] | str = (),
     carry: Sequence[str] | str = (),
-    stretch: str = "month",
+    stretch: str | Column = "month",
 ) -> DataFrame:
     """Add the structs ``previous``, ``next`` and ``latest`` to every row.
 
@@ -65,13 +65,19 @@ def with_neighbours(
     Windows run per key and ``stretch`` of the date: day, week, month, quarter or year.
     One stretch of one key should fit a task, so the more rows a key may have the
     shorter it should be; the shorter it is, the more stretch ends there are to stitch.
+    Where single days are too large, pass a column that never falls along the order and
+    is never null, such as the hour of a timestamp.
     """
     keys, tie_break, carry = _names(keys), _names(tie_break), _names(carry)
     order = [date_col, *tie_break]
     row = F.struct(*order, *[c for c in carry if c not in order])
     present = " and ".join(f"`{k}` is not null" for k in keys)
-    begins = F.to_date(date_col) if stretch == "day" else F.trunc(date_col, stretch)
-    keyed = df.where(present).withColumn("_stretch", F.coalesce(begins, F.expr(UNDATED)))
+    if isinstance(stretch, Column):
+        begins = stretch
+    else:
+        day = F.to_date(date_col) if stretch == "day" else F.trunc(date_col, stretch)
+        begins = F.coalesce(day, F.expr(UNDATED))
+    keyed = df.where(present).withColumn("_stretch", begins)
     part = [*keys, "_stretch"]
 
     ends = keyed.groupBy(*part).agg(F.min(row).alias("_first"), F.max(row).alias("_last"))

@@ -5,6 +5,7 @@ from datetime import date, timedelta
 
 import pytest
 from helpers import frame, rows
+from pyspark.sql import functions as F
 
 from chronaudit import irregular_gap_days, irregular_gaps, missing_flag_after_event
 from chronaudit.operators.ordered import drop_latest, first_per_group, last_per_group, with_neighbours
@@ -107,6 +108,15 @@ def test_neighbours_match_a_plain_order(spark, stretch):
     assert got == want
 
 
+def test_neighbours_within_one_hot_day(spark):
+    day_rows = [("hot", date(2020, 1, 1), i, R, None) for i in range(400)]
+    near = with_neighbours(
+        frame(spark, EVENTS, day_rows), "fsym_id", "exdate", "seq", stretch=F.floor(F.col("seq") / 50)
+    )
+    got = {r["seq"]: (r["previous"] and r["previous"]["seq"], r["next"] and r["next"]["seq"]) for r in near.collect()}
+    assert got == {i: (i - 1 if i else None, i + 1 if i < 399 else None) for i in range(400)}
+
+
 def test_first_last_and_drop_latest(spark):
     events = random_events(4, list("abc"), 200)
     table = frame(spark, EVENTS, events)
