@@ -6,10 +6,11 @@ import pytest
 from compare import compare, database
 
 import __spark_entry__ as entry_points
+from chronaudit import bindings
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = bindings.queries()
+ORACLES = bindings.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_points_have_them_all():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches(spark, db, name):
     assert compare(QUERIES[name](spark, FOLDER), db, ORACLES[name]) == []
