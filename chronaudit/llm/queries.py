@@ -7,9 +7,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from chronaudit.llm import pair_index, source_mix, token_counts, token_files, url_rules
+from chronaudit.llm import (
+    pair_index,
+    secret_scan,
+    simhash,
+    site_quality,
+    source_mix,
+    token_counts,
+    token_files,
+    url_rules,
+)
 from chronaudit.llm.common import reach_workers, scratch_path
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,7 +93,8 @@ WITH sized AS (
                         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed
 ), chosen AS (
-  SELECT coalesce(min(CAST(level AS DOUBLE)) FILTER (WHERE weight * level <= 3.0 * source_size), 1e300) AS level FROM levels
+  SELECT coalesce(arg_min(CAST(level AS DOUBLE), 3.0 * source_size / weight)
+                    FILTER (WHERE weight * level <= 3.0 * source_size), 1e300) AS level FROM levels
 ), targets AS (
   SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * chosen.level) AS target
   FROM weighed, chosen
@@ -139,3 +148,18 @@ FROM hosts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (k)
 def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(_table(spark, folder, "pages"), rules)
+
+
+@_bound("op4_site_quality")
+def op4_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return site_quality.judge_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_bound("op9_simhash")
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, max_bits=2)
+
+
+@_bound("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find_secrets(_table(spark, folder, "documents"))
