@@ -9,6 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chronaudit.llm import (
+    block_topk,
+    cross_polytope,
     pair_index,
     secret_scan,
     simhash,
@@ -163,3 +165,29 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @_bound("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.find_secrets(_table(spark, folder, "documents"))
+
+
+SQL_TOP_K = """
+WITH valid AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v::DOUBLE[], d.v::DOUBLE[]) AS BIGINT) AS score
+  FROM valid q JOIN valid d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@_bound("op7_block_topk", SQL_TOP_K)
+def op7_block_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return block_topk.top_k(_table(spark, folder, "embeddings"), k=10, every=100, scale=1024)
+
+
+@_bound("op8_cross_polytope")
+def op8_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.near_vectors(_table(spark, folder, "embeddings"), least_cosine=0.98)
