@@ -1,0 +1,75 @@
+"""The registered queries of this package, and the pipeline."""
+
+import os
+
+import pytest
+from compare import compare, database
+
+import __spark_entry__ as entry_points
+import corpus_pipeline
+from chronaudit.llm import pair_index, queries, secret_scan, simhash, site_quality, source_mix
+
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracles()))
+def test_matches_sql(spark, name):
+    assert compare(queries.queries()[name](spark, FOLDER), database(FOLDER), queries.oracles()[name]) == []
+
+
+def test_all_are_registered():
+    names = set(entry_points.queries())
+    assert "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+@pytest.mark.parametrize("name", ["op1_token_counts", "op2_token_files", "op3_pair_index_bpe", "op4_site_quality", "op9_simhash", "op10_secret_scan"])
+def test_a_row_for_each_document(spark, name):
+    ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect())
+    assert sorted(r["doc_id"] for r in queries.queries()[name](spark, SMALL).select("doc_id").collect()) == ids
+
+
+def test_pipeline_is_its_stages(spark):
+    """Every stage's rows against its operator's decisions, taken on that stage's own input."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    assert list(steps) == ["quality", "simhash", "secrets", "mixing", "bpe"]
+
+    def of(df):
+        return sorted(map(tuple, df.collect()), key=str)
+
+    kept = {r["doc_id"] for r in site_quality.judge_quality(docs, labels).filter("kept").collect()}
+    one = spark.createDataFrame(steps["quality"](spark, docs, SMALL).collect(), docs.schema)
+    assert of(one) == of(docs.filter(docs["doc_id"].isin(kept)))
+
+    heads = {r["component_id"] for r in simhash.near_duplicates(one).collect()}
+    two = spark.createDataFrame(steps["simhash"](spark, one, SMALL).collect(), docs.schema)
+    assert of(two) == of(one.filter(one["doc_id"].isin(heads)))
+
+    model = secret_scan.fit(secret_scan.evidence(two))
+    three = spark.createDataFrame(steps["secrets"](spark, two, SMALL).collect(), docs.schema)
+    masked = [secret_scan.masked(r["text"], model.spans(r["text"])) for r in two.collect()]
+    wanted = [(r["doc_id"], t, r["lang"], r["source"], len(t)) for r, t in zip(two.collect(), masked, strict=True)]
+    assert of(three) == sorted(wanted, key=str)
+    assert of(three) != of(two)
+
+    epochs = {r["doc_id"]: r["epochs"] for r in source_mix.mix_sources(three).collect()}
+    four = spark.createDataFrame(steps["mixing"](spark, three, SMALL).collect(), docs.schema)
+    assert of(four) == sorted((tuple(r) for r in three.collect() for _ in range(epochs[r["doc_id"]])), key=str)
+
+    five = steps["bpe"](spark, four, SMALL)
+    assert of(five) == of(pair_index.round_trip(four, queries.public_tokenizers.path("byte_bpe_50k.json")))
+    assert of(corpus_pipeline.run(spark, SMALL)) == of(five)
+
+
+def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (9, 0, 0)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, docs, str(tmp_path)).count()
+            assert (rows > 0) == (docs is odd_docs), name
