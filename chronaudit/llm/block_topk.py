@@ -50,6 +50,11 @@ def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a.astype(kind), b.astype(kind)
 
 
+def _in_range(scores: np.ndarray) -> np.ndarray:
+    """Exact integers, those beyond the range of a long at its end."""
+    return scores if scores.dtype == np.float64 else np.maximum(np.minimum(scores, LONGEST), -LONGEST - 1)
+
+
 class Best:
     """The k best (score, id) of each query so far, ties to the smaller id."""
 
@@ -90,7 +95,7 @@ def search(
     high = np.stack([docs[s : s + block].max(axis=0) for s in starts])
     low = np.stack([docs[s : s + block].min(axis=0) for s in starts])
     zero = queries * 0
-    bounds = np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T
+    bounds = _in_range(np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T)
     order = np.argsort(-bounds, axis=1, kind="stable")
     open_rows, scored = np.arange(len(queries)), 0
     for turn in range(len(starts)):
@@ -103,7 +108,7 @@ def search(
         for b in np.unique(turn_of):
             rows = open_rows[turn_of == b]
             part = slice(b * block, (b + 1) * block)
-            scores = queries[rows] @ docs[part].T
+            scores = _in_range(queries[rows] @ docs[part].T)
             names = np.broadcast_to(ids[part], scores.shape).copy()
             self_rows = names == own[rows][:, None]
             scores[self_rows] = -np.inf if kind is np.float64 else -(2**200)
@@ -113,10 +118,6 @@ def search(
     return best, scored
 
 
-def _score(x) -> int:
-    return max(-LONGEST - 1, min(LONGEST, int(x)))
-
-
 def _below(x: int) -> float:
     """The score as a double, not rounded up."""
     return float(x) if abs(x) < EXACT else float(np.nextafter(float(x), -np.inf))
@@ -138,7 +139,7 @@ def _cells(k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(places[is_query][r]), pa.array(names[is_query][r]), pa.array(best.ids[r, c]),
-                    pa.array([_score(x) for x in best.scores[r, c]], pa.int64()),
+                    pa.array([int(x) for x in best.scores[r, c]], pa.int64()),
                 ],
                 ["row", "query_id", "vec_id", "score"])
 

@@ -52,7 +52,7 @@ _PLACES = [{c: i for i, c in enumerate(x)} for x in ALPHABETS.values()]
 LEAST_TOKEN = 20
 #: Lower ends of the classes of length within which discoveries are controlled.
 LENGTH_CLASSES = (20, 28, 40, 64)
-FALSE_DISCOVERIES = 0.01
+FALSE_DISCOVERIES = 0.001
 STRUCTURE_LEVEL = 0.001
 #: Bins of the p-values: so many for each power of ten, down to 10 to the minus LEAST_POWER.
 BINS_PER_POWER, LEAST_POWER = 50, 40
