@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronaudit.functions.dates import iso_text
 from chronaudit.functions.predicates import in_month, in_period
@@ -79,17 +80,27 @@ def issue_summary(issues: DataFrame, tables: Sequence[str]) -> DataFrame:
     )
 
 
-def issue_detail(issues: DataFrame, table: str, groups: Sequence[str]) -> DataFrame:
+def issue_detail(issues: DataFrame, table: str, groups: Sequence[str], others: bool = False) -> DataFrame:
     """A table's findings by type and date, one column per group.
 
     A cell holds the finding's metric, or 1 where there is none. Findings without a
-    group (unknown ids) keep their id and leave the group columns empty.
+    group (unknown ids) keep their id and leave the group columns empty. A finding of a
+    group that is not listed is an error, unless ``others`` asks for the two columns
+    ``other_group`` and ``other_value``, with a row of its own for each such group.
     """
     rows = issues.where(F.col("table_name") == table)
     cell = F.coalesce("metric", F.lit(1.0))
-    return rows.groupBy("issue_type", iso_text(F.col("rdate")).alias("rdate"), "entity_id").agg(
-        *[F.max(F.when(F.col("group_value") == g, cell)).alias(g) for g in groups]
-    )
+    group = F.col("group_value")
+    listed = group.isNull() | group.isin(*groups) if groups else group.isNull()
+    cells = [F.max(F.when(group == g, cell)).alias(g) for g in groups]
+    keys = ["issue_type", iso_text(F.col("rdate")).alias("rdate"), "entity_id"]
+    if not others:
+        said = F.concat(F.lit(f"{table}: findings of a group that is not listed: "), group)
+        known = F.when(~listed, F.raise_error(said).cast("string")).otherwise(F.col("issue_type"))
+        return rows.withColumn("issue_type", known).groupBy(*keys).agg(*cells)
+    other = F.when(~listed, group).alias("other_group")
+    found = rows.groupBy(*keys, other).agg(*cells, F.max(F.when(~listed, cell)).alias("other_value"))
+    return found.select("issue_type", "rdate", "entity_id", *groups, "other_group", "other_value")
 
 
 def issues_on_date(
@@ -158,11 +169,14 @@ def bad_dates(issues: DataFrame, tables: Sequence[str]) -> DataFrame:
     )
 
 
-def join_by_date(frames: Mapping[str, DataFrame], date_col: str = "rdate") -> DataFrame:
+def join_by_date(frames: Mapping[str, DataFrame], date_col: str = "rdate", repeats: bool = False) -> DataFrame:
     """Tables side by side by date; dates that any of them has. Columns get the table's name.
 
-    One shuffle for any number of tables, where chained full joins need one each.
-    A date that occurs twice within a table is an error.
+    One shuffle for any number of tables, where chained full joins need one each. Rows
+    without a date stay apart, each table's own. A date that occurs twice within a table
+    is an error, unless ``repeats`` asks for all rows: those of one date are then numbered
+    within their table, in order of their columns, and rows of the same number stand side
+    by side, with the number as ``n``. All rows of a date and table are numbered in one task.
     """
     tagged, columns = [], []
     for name, df in frames.items():
@@ -178,8 +192,14 @@ def join_by_date(frames: Mapping[str, DataFrame], date_col: str = "rdate") -> Da
     stacked = tagged[0]
     for other in tagged[1:]:
         stacked = stacked.unionByName(other, allowMissingColumns=True)
+    undated = F.when(F.col("rdate").isNull(), F.col("_from")).alias("_undated")
+    cells = [F.max(c).alias(c) for c in columns]
+    if repeats:
+        within = Window.partitionBy("rdate", "_from").orderBy(*(columns or ["_from"]))
+        numbered = stacked.withColumn("n", F.row_number().over(within))
+        return numbered.groupBy("rdate", undated, "n").agg(*cells).select("rdate", "n", *columns)
     counts = [F.count_if(F.col("_from") == n).alias(f"_n{i}") for i, n in enumerate(frames)]
-    joined = stacked.groupBy("rdate").agg(*[F.max(c).alias(c) for c in columns], *counts)
+    joined = stacked.groupBy("rdate", undated).agg(*cells, *counts)
     repeated = F.greatest(*[F.col(f"_n{i}") for i in range(len(frames))], F.lit(0))
     checked = F.when(repeated > 1, F.raise_error(F.lit("a date occurs twice in one table")).cast("date"))
     return joined.select(checked.otherwise(F.col("rdate")).alias("rdate"), *columns)

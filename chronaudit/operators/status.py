@@ -168,21 +168,20 @@ def day_reason(matrix: DataFrame, as_of: date, order: Sequence[str] = REASON_ORD
 
 
 def iso_week_grid(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
-    """ISO week, counted from the first one found, by weekday; later rows win a cell.
+    """ISO week, counted from the first one found, by weekday; of several values of a day the largest.
 
-    Weeks are matched by number alone, so the dates should lie within one year.
+    A week of one year is not that of another: weeks go on being counted over the years,
+    each with its own row.
     """
     d = F.to_date(date_col)
-    latest = F.max(F.struct(d.alias("d"), F.col(value_col).alias("v")))
-    cells = df.where(F.col(date_col).isNotNull()).groupBy(
-        F.weekofyear(d).alias("iso_week"), F.weekday(d).alias("weekday")
-    ).agg(latest.alias("cell"))
-    grid = cells.groupBy("iso_week").agg(
-        *[F.max(F.when(F.col("weekday") == i, F.col("cell.v"))).alias(n) for i, n in enumerate(WEEKDAY_LABELS)]
+    monday = F.to_date(F.date_trunc("week", d))
+    grid = df.where(F.col(date_col).isNotNull()).groupBy(monday.alias("monday")).agg(
+        *[F.max(F.when(F.weekday(d) == i, F.col(value_col))).alias(n) for i, n in enumerate(WEEKDAY_LABELS)]
     )
-    # At most 53 rows are left, so one unpartitioned window is harmless.
-    first = F.min("iso_week").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return grid.select((F.col("iso_week") - first).alias("week"), *WEEKDAY_LABELS)
+    # One row per week is left, at most a few hundred thousand in all of the date type.
+    first = F.min("monday").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    weeks = F.expr("cast(datediff(monday, first) div 7 as int)")
+    return grid.withColumn("first", first).select(weeks.alias("week"), *WEEKDAY_LABELS)
 
 
 def year_month_status(issues: DataFrame, first_year: int, last_year: int) -> DataFrame:

@@ -1,10 +1,12 @@
 """The issue table, its reports and the status views."""
 
+from dataclasses import replace
 from datetime import date
 
 import pytest
 from helpers import day, frame, rows
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from chronaudit import (
     Calendar,
@@ -79,6 +81,19 @@ def test_detail_has_a_column_per_group(spark):
     ]
 
 
+def test_detail_does_not_lose_unlisted_groups(spark):
+    issues = issue_table(
+        spark, ("u", SIZE_JUMP, "US", "2021-02-28", None, 0.25), ("u", SIZE_JUMP, "JAPAN", "2021-02-28", None, 0.5),
+        ("u", NO_REFERENCE, None, None, "x"),
+    )
+    with pytest.raises(PySparkException, match="JAPAN"):
+        issue_detail(issues, "u", ["US"]).collect()
+    assert rows(issue_detail(issues, "u", ["US"], others=True)) == [
+        (NO_REFERENCE, None, "x", None, None, None),
+        (SIZE_JUMP, "2021-02-28", None, None, "JAPAN", 0.5), (SIZE_JUMP, "2021-02-28", None, 0.25, None, None),
+    ]
+
+
 @pytest.fixture(scope="module")
 def june(spark):
     return issue_table(
@@ -143,6 +158,20 @@ def test_join_by_date(spark):
         join_by_date({"a": a.union(a), "b": b}).collect()
 
 
+def test_join_by_date_keeps_repeats_and_undated_rows(spark):
+    a = frame(spark, "rdate date, n int", [("2021-01-01", 2), ("2021-01-01", 1), (None, 3)])
+    b = frame(spark, "rdate date, n int", [("2021-01-01", 5), (None, 6)])
+    assert rows(join_by_date({"a": a, "b": b}, repeats=True)) == rows_like([
+        (date(2021, 1, 1), 1, 1, 5), (date(2021, 1, 1), 2, 2, None), (None, 1, 3, None), (None, 1, None, 6),
+    ])
+    dated = a.where("n != 1")
+    assert rows(join_by_date({"a": dated, "b": b})) == rows_like([(date(2021, 1, 1), 2, 5), (None, 3, None), (None, None, 6)])
+
+
+def rows_like(values):
+    return sorted(values, key=lambda r: tuple((v is not None, str(v)) for v in r))
+
+
 def test_day_status_takes_the_highest(spark):
     off = frame(spark, "holiday_date date", [("2021-06-08",), ("2021-06-10",), ("2021-06-12",), ("2021-06-15",)])
     cal = Calendar(spark, date(2021, 5, 31), date(2021, 7, 1), off)
@@ -217,6 +246,12 @@ def test_iso_week_grid(spark):
     ]
 
 
+def test_iso_weeks_of_several_years_stay_apart(spark):
+    table = frame(spark, "d date, v int", [("2020-12-30", 1), ("2021-12-29", 2), ("2022-12-28", 3), ("2021-01-01", 4)])
+    found = {r["week"]: [r[i] for i in range(1, 8)] for r in iso_week_grid(table, "d", "v").collect()}
+    assert found == {0: [None, None, 1, None, 4, None, None], 52: [None, None, 2] + [None] * 4, 104: [None, None, 3] + [None] * 4}
+
+
 def test_year_month_status(spark, june):
     grid = {r["year"]: r.asDict() for r in year_month_status(june, 2020, 2022).collect()}
     assert sorted(grid) == [2020, 2021, 2022]
@@ -251,6 +286,36 @@ def audited(spark):
     ]
 
 
+def test_specs_that_do_not_fit_are_errors(spark, audited):
+    cal, at = Calendar.for_year(spark, 2021), day("2021-01-08")
+    holding, _, history = audited
+    with pytest.raises(ValueError, match="no table nowhere"):
+        run_checks(audited, cal, at, selected=["universe", "nowhere"])
+    with pytest.raises(ValueError, match="none of its checks"):
+        run_checks(audited, cal, at, selected=["history"], style="table")
+    for changed, said in (
+        (replace(holding, id_col=None), "without id_col"), (replace(holding, group_col=None), "without group_col"),
+        (replace(holding, frequency=None), "without frequency"), (replace(history, event_rule=None), "without event_rule"),
+        (replace(holding, checks=(NO_REFERENCE,)), "without reference"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            run_checks([changed], cal, at)
+    with pytest.raises(ValueError, match="grouped style"):
+        run_checks(audited, cal, at, style="table", within_span=True)
+    with pytest.raises(ValueError, match="groups: no table"):
+        run_checks(audited, cal, at, groups={"nowhere": holding.df})
+
+
+def test_audit_with_listed_groups_and_spans(spark, audited):
+    cal, at = Calendar.for_year(spark, 2021), day("2021-01-08")
+    listed = {"holding": frame(spark, "pid string", [("a",), ("z",)])}
+    found = run_checks(audited, cal, at, selected=["holding"], groups=listed).where(F.col("issue_type") == NO_DATA)
+    assert {r["group_value"] for r in found.collect()} == {"a", "b", "z"}
+    assert found.where("group_value = 'z'").count() == 5 - 1  # the business days up to the sixth
+    spans = run_checks(audited, cal, at, selected=["holding"], within_span=True).where(F.col("issue_type") == NO_DATA)
+    assert rows(spans) == [("holding", NO_DATA, "a", day("2021-01-04"), None, None)]
+
+
 def test_grouped_audit(spark, audited):
     found = run_checks(audited, Calendar.for_year(spark, 2021), day("2021-01-08"))
     assert found.schema.simpleString() == ISSUE_SCHEMA.simpleString()
