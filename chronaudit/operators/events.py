@@ -25,9 +25,12 @@ def missing_flag_after_event(
     """An event's next row without its flag, together with the event itself.
 
     Each key's latest row is not judged. A row that is both a faulty follow-up and
-    an event with a faulty follow-up appears once. ``stretch`` is explained at
-    ``with_neighbours``.
+    an event with a faulty follow-up appears once. Rows that share a date are in order of
+    ``tie_break``, or of all other columns if none is given, so that only one of them is
+    the latest; rows that are equal in all columns are one event. ``stretch`` is explained
+    at ``with_neighbours``.
     """
+    tie_break = list(tie_break) or [c for c in df.columns if c not in (key, date_col)]
     near = with_neighbours(df, key, date_col, tie_break, [type_col, flag_col], stretch)
     order = [date_col, *tie_break]
 
@@ -47,25 +50,16 @@ def missing_flag_after_event(
     return near.where(is_set(faulty) | is_set(leads_to_faulty)).select(*df.columns)
 
 
-def _place(order_by: Sequence[str]) -> Column:
-    """A single column stays bare: its minimum is a hash aggregate, a struct's is not."""
-    return F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-
-
-def date_gaps(
-    df: DataFrame, group: str, date_col: str, first_gap: int = 1, order_by: Sequence[str] = ()
-) -> DataFrame:
+def date_gaps(df: DataFrame, group: str, date_col: str, first_gap: int = 1) -> DataFrame:
     """group, rdate, n_rows and diff_days to the group's previous date.
 
     A group's first date gets ``first_gap``. Rows that share a date are counted in
-    n_rows; all but one of them, the first by ``order_by``, stand at gap 0. With
-    ``order_by`` its place is returned as ``lead``.
+    n_rows; all but one of them stand at gap 0.
     """
-    place = [F.min(_place(order_by)).alias("lead")] if order_by else []
     days = (
         df.where(F.col(group).isNotNull() & F.col(date_col).isNotNull())
         .groupBy(group, F.to_date(date_col).alias("rdate"))
-        .agg(F.count(F.lit(1)).alias("n_rows"), *place)
+        .agg(F.count(F.lit(1)).alias("n_rows"))
     )
     before = F.lag("rdate").over(Window.partitionBy(group).orderBy("rdate"))
     gap = F.coalesce(F.datediff("rdate", before), F.lit(first_gap))
@@ -99,11 +93,10 @@ def _with_verdict(gaps: DataFrame, holidays: DataFrame | None, holiday_col: str)
                 F.date_add("h", 3).alias("rdate"), F.lit(False).alias("y"), F.lit(True).alias("f")
             )
         )
-        # Distinct dates: the date type itself bounds this to under four million rows.
         lookup = shifted.groupBy("rdate").agg(
             F.bool_or("y").alias("after_holiday"), F.bool_or("f").alias("after_long_weekend")
         )
-        marked = gaps.join(F.broadcast(lookup), "rdate", "left").fillna(
+        marked = gaps.join(lookup, "rdate", "left").fillna(
             False, subset=["after_holiday", "after_long_weekend"]
         )
     args = F.col("rdate"), F.col("after_holiday"), F.col("after_long_weekend")
@@ -152,26 +145,27 @@ def irregular_gaps(
 ) -> DataFrame:
     """The table's own rows behind the flagged gaps, with weekday and diff_days.
 
-    Among rows that share group and date the first by ``order_by`` carries the gap to
-    the previous date, the others gap 0. The gaps are found on one row per group and
-    date; only flagged days are joined back, and Spark splits a hot day on that join.
+    Among rows that share group and date the first carries the gap to the previous date,
+    the others gap 0. The first is that by ``order_by``, then the date and the other columns; of
+    rows that are equal in all columns one is the first. The gaps are found on one row per
+    group and date; only flagged days are joined back, and Spark splits a hot day on that
+    join. The first rows of those days are a minimum, combined before the shuffle.
     """
-    gaps = date_gaps(df, group, date_col, first_gap, order_by)
-    # Without an order there is nothing to tell repeats apart: dates must be unique.
-    is_lead = _place(order_by) == F.col("lead") if order_by else F.lit(True)
     bad = (
-        _with_verdict(gaps, holidays, holiday_col)
+        _with_verdict(date_gaps(df, group, date_col, first_gap), holidays, holiday_col)
         .where(F.col("gap_bad") | F.col("repeat_bad"))
         .withColumnRenamed("rdate", "_day")
         .drop("n_rows", "after_holiday", "after_long_weekend")
     )
-    return (
-        df.withColumn("_day", F.to_date(date_col))
-        .join(bad, [group, "_day"])
-        .where(F.when(is_lead, F.col("gap_bad")).otherwise(F.col("repeat_bad")))
-        .select(
-            *df.columns,
-            F.weekday("_day").alias("weekday"),
-            F.when(is_lead, F.col("diff_days")).otherwise(0).alias("diff_days"),
-        )
+    order = list(dict.fromkeys([*order_by, date_col, *df.columns]))
+    verdict = ["_day", "gap_bad", "repeat_bad", "diff_days"]
+    flagged = df.withColumn("_day", F.to_date(date_col)).join(bad, [group, "_day"])
+    same = flagged.groupBy(*df.columns, *verdict).agg(F.count(F.lit(1)).alias("_n"))
+    first = same.groupBy(group, "_day").agg(F.min(F.struct(*order)).alias("_first"))
+    marked = same.join(first, [group, "_day"]).withColumn("_is_first", F.struct(*order).eqNullSafe(F.col("_first")))
+    gaps = F.concat(
+        F.when(F.col("_is_first") & F.col("gap_bad"), F.array("diff_days")).otherwise(F.array().cast("array<int>")),
+        F.when(F.col("repeat_bad"), F.array_repeat(F.lit(0), (F.col("_n") - F.col("_is_first").cast("int")).cast("int")))
+        .otherwise(F.array().cast("array<int>")),
     )
+    return marked.select(*df.columns, F.weekday("_day").alias("weekday"), F.explode(gaps).alias("diff_days"))

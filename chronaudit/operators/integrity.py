@@ -95,18 +95,15 @@ def row_mismatch(
 ) -> DataFrame:
     """Rows of b that differ from their counterpart in a in any compared column.
 
-    Null differs from null unless ``null_equal``. A row of b that a lacks differs.
+    Null differs from null unless ``null_equal``. A row of b that a lacks differs. Keys
+    are matched with null as a value; where a has a key repeatedly, a row of b differs if
+    none of those rows equals it. Every row of b is returned once at most.
     """
     keys = [key] if isinstance(key, str) else list(key)
     compare = list(compare or [c for c in a.columns if c not in keys and c in b.columns])
-    other = a.select(
-        *keys, *[F.col(c).alias(f"_a_{c}") for c in compare], F.lit(True).alias("_found")
-    )
-    joined = b.join(other, keys, "left")
-
-    def differs(c):
-        same = F.col(c).eqNullSafe(F.col(f"_a_{c}"))
-        return ~same if null_equal else ~same | F.col(c).isNull()
-
-    any_differs = reduce(lambda x, y: x | y, [differs(c) for c in compare], F.col("_found").isNull())
-    return joined.where(any_differs).select(*b.columns)
+    other = a.select(*[F.col(c).alias(f"_a_{c}") for c in [*keys, *compare]]).distinct()
+    met = [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in keys]
+    met += [
+        F.col(c).eqNullSafe(F.col(f"_a_{c}")) if null_equal else F.col(c) == F.col(f"_a_{c}") for c in compare
+    ]
+    return b.join(other, reduce(lambda x, y: x & y, met), "left_anti")

@@ -168,6 +168,26 @@ def test_gap_rule(spark, before, after, off, bad):
     assert [r["n"] for r in found.collect()] == ([2] if bad else [])
 
 
+def test_repeats_without_an_order(spark):
+    """Of rows that share a day one carries the gap, the others gap 0, also where they are equal."""
+    table = frame(spark, "bm_id string, rdate date, n int", [
+        ("a", "2021-06-01", 1), ("a", "2021-06-04", 7), ("a", "2021-06-04", 5), ("a", "2021-06-04", 5),
+    ])
+    assert rows(irregular_gaps(table, "bm_id", "rdate")) == rows_of([
+        ("a", date(2021, 6, 4), 5, 4, 3), ("a", date(2021, 6, 4), 5, 4, 0), ("a", date(2021, 6, 4), 7, 4, 0),
+    ])
+    assert rows(irregular_gaps(table, "bm_id", "rdate", order_by=["n"])) == rows(irregular_gaps(table, "bm_id", "rdate"))
+
+
+def test_only_one_of_tied_rows_is_the_latest(spark):
+    schema = "k string, exdate date, kind string, flag boolean"
+    table = frame(spark, schema, [
+        ("a", "2021-01-01", "suspension", None), ("a", "2021-02-01", "regular", False), ("a", "2021-02-01", "special", False),
+    ])
+    found = missing_flag_after_event(table, "k", "exdate", "kind", "suspension", "flag")
+    assert sorted(r["kind"] for r in found.collect()) == ["regular", "suspension"]
+
+
 def test_first_row_option(spark):
     table = frame(spark, "bm_id string, rdate date", [("a", "2021-06-02"), ("b", "2021-06-02")])
     assert irregular_gaps(table, "bm_id", "rdate").count() == 0

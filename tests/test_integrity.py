@@ -60,6 +60,12 @@ def test_row_mismatch(spark):
     assert [r[0] for r in rows(row_mismatch(old, new, ["k"], ["b"]))] == [4, 5]
 
 
+def test_row_mismatch_with_null_and_repeated_keys(spark):
+    old = frame(spark, "k int, a string", [(None, "n"), (1, "x"), (1, "y"), (2, "z")])
+    new = frame(spark, "k int, a string", [(None, "n"), (None, "m"), (1, "y"), (1, "w"), (2, "z"), (2, "z")])
+    assert rows(row_mismatch(old, new, "k")) == [(None, "m"), (1, "w")]
+
+
 def sized(spark, counts):
     rows_ = [(g, d, f"{g}{i}") for g, d, n in counts for i in range(n)]
     return TableSpec("snapshot", frame(spark, "univ_id string, rdate date, fsym_id string", rows_),
