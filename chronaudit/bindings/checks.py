@@ -43,6 +43,7 @@ from chronaudit.operators import (
     status,
 )
 from chronaudit.operators.calendar import calendar_spanning, holidays
+from chronaudit.plans.audit import keep_issues
 
 VERDICT_DAY = date(2000, 6, 14)
 
@@ -226,6 +227,17 @@ def irregular_gap_days(spark, d):
     return events.irregular_gap_days(table(spark, d, "events"), "user_id", "ts", event_holidays(spark))
 
 
+@bound(
+    "c13c_irregular_gaps_of_repeats",
+    f"""WITH {SQL_GAPS}
+SELECT user_id, rdate, weekday, diff_days
+FROM (SELECT *, unnest(range(CAST(n_flagged AS BIGINT))) FROM hits)""",
+)
+def irregular_gaps_of_repeats(spark, d):
+    days = table(spark, d, "events").select("user_id", F.to_date("ts").alias("rdate"))
+    return events.irregular_gaps(days, "user_id", "rdate", event_holidays(spark))
+
+
 @bound(
     "c14_row_mismatch",
     """SELECT p_partkey, CASE WHEN p_size > 25 THEN 'x' ELSE p_brand END AS p_brand,
@@ -283,6 +295,19 @@ def issue_detail(spark, d):
     return issues.issue_detail(grouped_issues(spark, d), "univsnapshot", PRIORITIES)
 
 
+@bound(
+    "c16b_issue_detail_with_others",
+    f"""WITH {SQL_GROUPED_ISSUES}
+SELECT issue_type, strftime(rdate, '%Y-%m-%d') AS rdate, entity_id,
+  {', '.join(f'''max(CASE WHEN group_value = '{p}' THEN coalesce(metric, 1.0) END) AS "{p}"''' for p in PRIORITIES[:3])},
+  CASE WHEN group_value NOT IN {PRIORITIES[:3]} THEN group_value END AS other_group,
+  max(CASE WHEN group_value NOT IN {PRIORITIES[:3]} THEN coalesce(metric, 1.0) END) AS other_value
+FROM issues WHERE table_name = 'univsnapshot' GROUP BY issue_type, rdate, entity_id, other_group""",
+)
+def issue_detail_with_others(spark, d):
+    return issues.issue_detail(grouped_issues(spark, d), "univsnapshot", PRIORITIES[:3], others=True)
+
+
 # Days with an urgent open order serve as holidays that come from the data.
 SQL_DATA_HOLIDAYS = """
 hol AS (
@@ -521,6 +546,24 @@ def iso_week_grid(spark, d):
     return status.iso_week_grid(counts, "d", "n")
 
 
+@bound(
+    "c29b_iso_week_grid_over_years",
+    f"""WITH counts AS (
+  SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY ALL
+)
+SELECT CAST(date_diff('day', min(monday) OVER (), monday) // 7 AS INTEGER) AS week,
+  {', '.join(f"{n}" for n in WEEKDAY_LABELS)}
+FROM (
+  SELECT CAST(date_trunc('week', d) AS DATE) AS monday,
+    {', '.join(f"max(CASE WHEN isodow(d) = {i} THEN n END) AS {n}" for i, n in enumerate(WEEKDAY_LABELS, start=1))}
+  FROM counts GROUP BY ALL
+)""",
+)
+def iso_week_grid_over_years(spark, d):
+    counts = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    return status.iso_week_grid(counts, "d", "n")
+
+
 @bound(
     "c30_year_month_status",
     f"""WITH {SQL_GROUPED_ISSUES}
@@ -570,7 +613,7 @@ FROM issues i JOIN counts c ON c.table_name = i.table_name WHERE i.issue_type =
 )
 def flagship(spark, d):
     """Missing dates of every group, next to their table's total of missing days."""
-    found = grouped_issues(spark, d).where(F.col("issue_type") == NO_DATA)
+    found = keep_issues(grouped_issues(spark, d).where(F.col("issue_type") == NO_DATA))
     # One row per audited table.
     totals = issues.issue_summary(found, TABLES).select("table_name", "missing_data")
     return found.select("table_name", "group_value", "rdate").join(F.broadcast(totals), "table_name")

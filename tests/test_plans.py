@@ -4,11 +4,10 @@ from datetime import date
 
 import pytest
 
-import __spark_entry__ as entry_points
-from chronaudit import Calendar, TableSpec, missing_dates, null_id_dates
+from chronaudit import Calendar, TableSpec, bindings, missing_dates, null_id_dates
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
+QUERIES = bindings.queries()
 
 
 def plan_of(df):
