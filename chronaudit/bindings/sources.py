@@ -127,19 +127,16 @@ def group_lists(spark, d):
         tables.add(f"src_{name}", table(spark, d, name))
     dates = tables["src_orders"].select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("tdate"))
     tables.add("src_tdates", dates)
-    lists = [
-        ("portfolio", "src_customer", "c_mktsegment", None),
-        ("trading dates", "src_tdates", "tdate", None),
-        ("sector", "src_part", "p_type", None),
-        ("benchmark_constituent", "src_orders", "o_custkey", {"o_orderstatus": "p"}),
-        ("rate", "src_events", "event_type", None),
-    ]
-    parts = [
-        group_list(tables, name, source, col, where).select(
-            F.lit(name).alias("list"), F.col(col).cast("string").alias("value")
-        )
-        for name, source, col, where in lists
-    ]
+    tables.define_list("portfolio", "src_customer", "c_mktsegment")
+    tables.define_list("trading dates", "src_tdates", "tdate")
+    tables.define_list("sector", "src_part", "p_type")
+    tables.define_list("benchmark_constituent", "src_orders", "o_custkey", of="o_orderstatus")
+    tables.define_list("rate", "src_events", "event_type")
+    wanted = {"portfolio": None, "trading dates": None, "sector": None, "benchmark_constituent": "p", "rate": None}
+    parts = []
+    for name, of in wanted.items():
+        values = group_list(tables, name, of)
+        parts.append(values.select(F.lit(name).alias("list"), F.col(values.columns[0]).cast("string").alias("value")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

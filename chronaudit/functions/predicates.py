@@ -28,9 +28,32 @@ def in_month(c: Column, year: int, month: int) -> Column:
     return in_period(c, date(year, month, 1), following - timedelta(days=1))
 
 
+def _spelled_between(c: Column, values: list[str]) -> list[Column]:
+    """Bounds that every spelling of the values keeps to, whatever the case of its letters.
+
+    In code points a text lies between its spellings in capitals and in small letters. That
+    holds for ASCII; the letter k also is the small letter of a sign outside of it, which
+    sorts after them all, so a value with that letter has no upper bound.
+    """
+    if not values or not all(v.isascii() for v in values):
+        return []
+    bounds = [c >= min(v.upper() for v in values)]
+    if not any("k" in v.lower() for v in values):
+        bounds.append(c <= max(v.lower() for v in values))
+    return bounds
+
+
 def text_in(c: Column, values: Iterable[str]) -> Column:
-    """Membership that ignores case, as in the usual database collation."""
-    return F.lower(c).isin([v.lower() for v in values])
+    """Membership that ignores case, as in the usual database collation.
+
+    The comparison of lower-cased texts is hidden from the scan; bounds on the bare column
+    beside it are not, and let Parquet skip what cannot match.
+    """
+    values = list(values)
+    wanted = F.lower(c).isin([v.lower() for v in values])
+    for bound in _spelled_between(c, values):
+        wanted = bound & wanted
+    return wanted
 
 
 def text_not_in(c: Column, values: Iterable[str]) -> Column:

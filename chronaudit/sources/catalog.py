@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +44,7 @@ class TableRegistry:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._tables: dict[str, DataFrame] = {}
+        self._lists: dict[str, tuple[str, str, str | None]] = {}
 
     def add(self, name: str, df: DataFrame, required: Iterable[str] = ()) -> DataFrame:
         absent = [c for c in required if c not in df.columns]
@@ -56,6 +57,20 @@ class TableRegistry:
     def add_parquet(self, name: str, path: str, required: Iterable[str] = ()) -> DataFrame:
         return self.add(name, self.spark.read.parquet(path), required)
 
+    def define_list(self, name: str, table: str, col: str, of: str | None = None) -> None:
+        """Where one of the frequently used lists is found; ``of`` is the column that picks a part of it."""
+        if name not in GROUP_LISTS:
+            raise ValueError(f"unknown list {name!r}; choose from {', '.join(GROUP_LISTS)}")
+        absent = [c for c in (col, of) if c is not None and c not in self[table].columns]
+        if absent:
+            raise ValueError(f"{table}: no column {', '.join(absent)}")
+        self._lists[name] = (table, col, of)
+
+    def list_source(self, name: str) -> tuple[str, str, str | None]:
+        if name not in self._lists:
+            raise KeyError(f"the list {name!r} is not defined")
+        return self._lists[name]
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._tables:
             return self._tables[name]
@@ -104,15 +119,19 @@ def predefined(
     return df.where(F.col(id_col).isin(list(identifiers)))
 
 
-def group_list(
-    tables: TableRegistry, name: str, table: str, col: str, where: Mapping[str, str] | None = None
-) -> DataFrame:
-    """One of the frequently used lists: the distinct values of a column."""
+def group_list(tables: TableRegistry, name: str, of: str | None = None) -> DataFrame:
+    """One of the frequently used lists by its name: the distinct values of its column.
+
+    ``of`` takes the part of it that belongs to one identifier, such as a benchmark.
+    """
     if name not in GROUP_LISTS:
         raise ValueError(f"unknown list {name!r}; choose from {', '.join(GROUP_LISTS)}")
+    table, col, part = tables.list_source(name)
     df = tables[table]
-    for c, value in (where or {}).items():
-        df = df.where(text_in(F.col(c), [value]))
+    if of is not None:
+        if part is None:
+            raise ValueError(f"the list {name!r} has no parts")
+        df = df.where(text_in(F.col(part), [of]))
     return df.where(F.col(col).isNotNull()).select(col).distinct()
 
 
@@ -218,7 +237,7 @@ def standard_specs(tables: TableRegistry, period: tuple[date, date] | None = Non
         ),
         TableSpec(
             "bg_div", source["bg_div"](), "exdate", "fsym_id", None, None,
-            "BG Div", (NO_FLAG,), event_rule=EventRule("div_type", "suspension", "div_initiation"),
+            "BG Div", (NO_FLAG,), event_rule=EventRule("div_type", "suspension", "div_initiation", ("div_type", "div_initiation"), "year"),
         ),
         # Unmatched dividends are dated by exdate, months by the matched date.
         TableSpec(

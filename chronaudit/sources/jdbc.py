@@ -48,5 +48,9 @@ class JdbcSource:
         table: str | None = None,
         query: str | None = None,
         slices: JdbcSlices | None = None,
+        one_task: bool = False,
     ) -> DataFrame:
+        """Read in slices. A read without them passes through one task, and has to be asked for."""
+        if slices is None and not one_task:
+            raise ValueError("name the slices of the read, or ask for one_task if it is small")
         return spark.read.format("jdbc").options(**self.options(table, query, slices)).load()

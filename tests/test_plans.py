@@ -39,3 +39,10 @@ def test_null_test_reaches_the_scan(spark, spec):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = plan_of(null_id_dates(spec, Calendar.for_year(spark, 1997), date(2001, 8, 3)))
     assert "IsNull(o_orderkey)" in plan
+
+
+@pytest.mark.parametrize("name", ["f03_in_list", "s01_named_queries"])
+def test_text_filters_reach_the_scan(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    assert "GreaterThanOrEqual(c_mktsegment" in plan or "GreaterThanOrEqual" in plan.split("PushedFilters")[1]

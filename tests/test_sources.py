@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronaudit import Calendar, run_checks
 from chronaudit.functions.dates import parse_text_date
-from chronaudit.functions.predicates import in_month, in_year
+from chronaudit.functions.predicates import in_month, in_year, text_in, text_not_in
 from chronaudit.sources import catalog, files, jdbc, series, sinks
 
 
@@ -106,11 +106,19 @@ def test_predefined_and_lists(spark, tables):
     assert catalog.predefined(tables, "holding", ids).count() == 4
     with pytest.raises(ValueError):
         catalog.predefined(tables, "rateholding")
-    assert rows(catalog.group_list(tables, "portfolio", "portholding", "pid")) == [("BG001",), ("BG099",)]
-    only = catalog.group_list(tables, "benchmark_constituent", "bmc_monthly", "fsym_id", {"bm_id": "sp500"})
-    assert rows(only) == [("a",)]
+    tables.define_list("portfolio", "portholding", "pid")
+    tables.define_list("benchmark_constituent", "bmc_monthly", "fsym_id", of="bm_id")
+    assert rows(catalog.group_list(tables, "portfolio")) == [("BG001",), ("BG099",)]
+    assert rows(catalog.group_list(tables, "benchmark_constituent", "sp500")) == [("a",)]
+    assert rows(catalog.group_list(tables, "benchmark_constituent")) == [("a",), ("c",)]
     with pytest.raises(ValueError):
-        catalog.group_list(tables, "nope", "portholding", "pid")
+        catalog.group_list(tables, "nope")
+    with pytest.raises(ValueError):
+        catalog.group_list(tables, "portfolio", "bg001")
+    with pytest.raises(ValueError):
+        tables.define_list("rate", "portholding", "nothing")
+    with pytest.raises(KeyError):
+        catalog.group_list(tables, "sector")
 
 
 @pytest.mark.parametrize(
@@ -177,6 +185,22 @@ def test_series(spark):
     assert rows(some) == [("GDP", date(1994, 12, 31), 1.0)]
 
 
+def test_jdbc_reads_are_sliced(spark):
+    with pytest.raises(ValueError, match="slices"):
+        jdbc.JdbcSource("jdbc:x://h/db").load(spark, table="t")
+
+
+def test_text_filters_find_every_spelling(spark):
+    texts = ["building", "BUILDING", "BuildinG", "buildingx", "Building ", "bank", "BANK", "ban\u212a", "éa", "ÉA", None, "", "_x", "_X"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for values in (["Building"], ["bank", "building"], ["éa", "bank"], ["_x"], [], [""]):
+        wanted = [t for t in texts if t is not None and t.lower() in [v.lower() for v in values]]
+        assert sorted(r["t"] for r in df.where(text_in(F.col("t"), values)).collect()) == sorted(wanted), values
+        others = [t for t in texts if t is not None and t.lower() not in [v.lower() for v in values]]
+        if values:
+            assert sorted(r["t"] for r in df.where(text_not_in(F.col("t"), values)).collect()) == sorted(others)
+
+
 def test_jdbc_options():
     source = jdbc.JdbcSource("jdbc:x://h/db", {"user": "u"})
     slices = jdbc.JdbcSlices("rdate", "2020-01-01", "2021-01-01", 12)
