@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -17,12 +18,18 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Pieces that a worker keeps; beyond that it starts anew, which costs time, not results.
-MEMO_PIECES = 600_000
+#: Pieces that a worker keeps from now on, beside as many from before; others are encoded again.
+MEMO_PIECES = 500_000
+
+#: Pieces that the library is asked for at once.
+ASKED_AT_ONCE = 4096
 
 #: The characters with the Unicode property White_Space, as a pattern class.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 
+#: Fixed value: the character that stands for a space in byte-level vocabularies.
+SPACE_LETTER = "Ġ"
+
 #: Fixed value: the pattern of tokenizers whose words exclude white space.
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -71,6 +78,26 @@ def _layout(config: dict) -> str:
     return "whole"
 
 
+class PieceMemo:
+    """What pieces were encoded as. Once there are many, those not met since the last time go."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.old: dict = {}
+
+    def missing(self, pieces: set) -> list:
+        """The pieces that have no value; all others can then be found in ``now``."""
+        if len(self.now) > MEMO_PIECES:
+            self.old, self.now = self.now, {}
+        now, old, rest = self.now, self.old, []
+        for piece in [p for p in pieces if p not in now]:
+            if piece in old:
+                now[piece] = old[piece]
+            else:
+                rest.append(piece)
+        return rest
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizer library, asking it once for each distinct piece.
 
@@ -81,7 +108,7 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
-        self.memo: dict = {}
+        self.memo, self.leads = PieceMemo(), None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -99,35 +126,50 @@ class PieceEncoder:
         self.layout = _layout(config)
         self.special = tuple(x["content"] for x in config.get("added_tokens", []))
         self._ask = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.layout == "spaced":
+            self.leads = np.zeros(model.get_vocab_size(), dtype=bool)
+            for token, i in model.get_vocab().items():
+                self.leads[i] = token.startswith(SPACE_LETTER)
 
     def _pieces(self, text: str) -> list[str] | list[bytes]:
         if self.layout == "whole" or any(x in text for x in self.special):
             return None
         return spaced_pieces(text) if self.layout == "spaced" else text.encode().split()
 
-    def _apply(self, texts: Sequence[str], keep: Callable, join: Callable) -> list:
+    def _apply(self, texts: Sequence[str], ask: Callable, join: Callable) -> list:
         cut = [self._pieces(x) for x in texts]
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        new = list({p for pieces in cut if pieces for p in pieces if p not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            asked = part if self.layout == "spaced" else [x.decode() for x in part]
-            memo.update(zip(part, map(keep, self._ask(asked)), strict=True))
-        find = memo.__getitem__
+        new = self.memo.missing(set().union(*[x for x in cut if x is not None]))
+        for at in range(0, len(new), ASKED_AT_ONCE):
+            part = new[at : at + ASKED_AT_ONCE]
+            self.memo.now.update(zip(part, ask(part), strict=True))
+        find = self.memo.now.__getitem__
         return [
-            keep(self._ask([text])[0]) if pieces is None else join(map(find, pieces))
+            ask([text])[0] if pieces is None else join(map(find, pieces))
             for text, pieces in zip(texts, cut, strict=True)
         ]
 
+    def _ask_count(self, pieces: list) -> list[int]:
+        return list(map(len, self._ask([x.decode() if isinstance(x, bytes) else x for x in pieces])))
+
+    def _ask_ids(self, pieces: list) -> list[bytes]:
+        """The ids of each piece. Pieces that begin with their only space are asked for in one text."""
+        if self.leads is None or len(pieces) == 1:
+            return [np.array(x, dtype="<u4").tobytes() for x in self._ask(pieces)]
+        plain = [" " + x.strip() == x and len(x.split()) == 1 for x in pieces]
+        joined = np.array(self._ask(["".join(itertools.compress(pieces, plain))])[0], dtype="<u4")
+        begins = (4 * np.flatnonzero(self.leads[joined])).tolist()
+        others = iter(self._ask([x for x, p in zip(pieces, plain, strict=True) if not p]))
+        raw = joined.tobytes()
+        parts = iter([raw[i:j] for i, j in zip(begins, [*begins[1:], len(raw)])])  # noqa: B905
+        return [next(parts) if p else np.array(next(others), dtype="<u4").tobytes() for p in plain]
+
     def counts(self, texts: Sequence[str]) -> list[int]:
         """Tokens of each text."""
-        return self._apply(texts, len, sum)
+        return self._apply(texts, self._ask_count, sum)
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self._apply(texts, lambda x: np.array(x, dtype="<u4").tobytes(), b"".join)
+        return self._apply(texts, self._ask_ids, b"".join)
 
 
 @functools.lru_cache(maxsize=4)
