@@ -9,6 +9,7 @@ those that it breaks are recognised as stale when their turn comes.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import re
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronaudit.llm.common import byte_slices
-from chronaudit.llm.encoding import MEMO_PIECES, WHITE_SPACE, spaced_pieces
+from chronaudit.llm.encoding import WHITE_SPACE, PieceMemo, spaced_pieces
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _W = WHITE_SPACE
 #: Fixed value: the word pattern of byte-level tokenizers, white space spelled out.
@@ -78,7 +79,7 @@ class PairIndexCodec:
         self.added = {token: np.array([i], dtype="<u4").tobytes() for token, i in added.items()}
         longest = sorted(added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo = PieceMemo()
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair; -1 where there is none."""
@@ -152,10 +153,6 @@ class PairIndexCodec:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text, as the tokenizer's own library gives them."""
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-            memo[""] = b""
         cut: list[list] = []
         for text in texts:
             if self.cut and any(x in text for x in self.added):
@@ -163,13 +160,15 @@ class PairIndexCodec:
                 for part in self.cut.split(text):
                     if part in self.added:
                         pieces.append((part,))  # apart from the same string as a piece
-                        memo[(part,)] = self.added[part]
                     else:
                         pieces += spaced_pieces(part)
             else:
                 pieces = spaced_pieces(text)
             cut.append(pieces)
-        new = list({p for pieces in cut for p in pieces if p not in memo})
+        new = self.memo.missing(set().union(*cut))
+        memo = self.memo.now
+        memo.update({p: self.added[p[0]] for p in new if isinstance(p, tuple)})
+        new = [p for p in new if isinstance(p, str)]
         split = [_WORDS.findall(p) for p in new]
         words = list({w for part in split for w in part})
         ids = dict(zip(words, self.merge_words([w.encode() for w in words]), strict=True)) if words else {}
@@ -232,10 +231,19 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     Null texts count as empty. Other columns are not read; repeated rows and null ids are kept.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    coded = decode_column(encode_column(rows, tokenizer_path).drop("text"), tokenizer_path)
-    return coded.select(
-        F.col("id").alias(id_col),
-        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+
+    def there_and_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = codec(tokenizer_path)  # one worker for both ways
+        for part in byte_slices(batches, "text", SLICE_BYTES):
+            ids = both.encode([x or "" for x in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(both.decode(x).encode()).hexdigest() for x in ids]),
+                ],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return rows.mapInArrow(there_and_back, schema).withColumnRenamed("id", id_col)
