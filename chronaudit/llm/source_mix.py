@@ -60,6 +60,69 @@ def water_fill(sources: DataFrame, max_epochs: float, total: float | None = None
     return sources.withColumn("target", F.when(clamped, cap).otherwise(F.col("weight") * F.lit(level)))
 
 
+def _same() -> F.Column:
+    return F.col("a.source").eqNullSafe(F.col("b.source"))
+
+
+def _seeded(id_col: F.Column, seed: int) -> F.Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit(""))))
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
+    """For each source its size and target, how often it takes all, and up to which draw once more."""
+    bins = in_files(
+        sized.groupBy("source", F.substring("draw", 1, BIN_DIGITS).alias("bin")).agg(F.sum("size").alias("words")),
+        "mix-bins",
+    )
+    totals = in_files(bins.groupBy("source").agg(F.sum("words").alias("source_size")), "mix-sources")
+    filled = in_files(
+        water_fill(cycled_weights(totals, weights), max_epochs)
+        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+        .withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size")),
+        "mix-targets",
+    )
+    # the bin in which a source reaches its quota
+    running = Window.partitionBy("source").orderBy("bin")
+    reached = in_files(
+        bins.withColumn("before", F.sum("words").over(running) - F.col("words"))
+        .alias("a").join(filled.alias("b"), _same())
+        .filter((F.col("before") < F.col("quota")) & (F.col("before") + F.col("words") >= F.col("quota")))
+        .select("a.source", "bin", "before", "quota"),
+        "mix-reached",
+    )
+    # the last draw in it that is taken
+    ordered = Window.partitionBy("source", "bin").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = (
+        sized.alias("a").join(reached.alias("b"), _same() & (F.substring("a.draw", 1, BIN_DIGITS) == F.col("b.bin")))
+        .select("a.source", "bin", "draw", "size", "before", "quota")
+        .repartition("source", "bin")  # else the join would have to keep a source's rows together
+        .withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
+        .filter(F.col("ahead") + F.col("size") / 2 <= F.col("quota"))
+    )
+    last = within.groupBy("source").agg(F.max(F.struct("draw", "size")).alias("last"))
+    cut = reached.alias("a").join(last.alias("b"), _same(), "left").select("a.source", "bin", "last")
+    return in_files(
+        filled.alias("a").join(cut.alias("b"), _same(), "left")
+        .select("a.source", "source_size", "target", "whole", "bin", "last"),
+        "mix-plan",
+    )
+
+
+def _epochs() -> F.Column:
+    """How often the mix takes a row that has draw, size and its source's plan."""
+    own = F.substring("draw", 1, BIN_DIGITS)
+    more = (own < F.col("bin")) | ((own == F.col("bin")) & (F.struct("draw", "size") <= F.col("last")))
+    return F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")
+
+
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(text).alias("size"),
+        _seeded(F.col(id_col), seed).alias("draw"),
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
@@ -69,69 +132,48 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per input row: the id, size, source_size, target, epochs and taken.
+    """One row per input row: the id, source, size, source_size, target, epochs and taken.
 
     ``size`` is the number of words, ``epochs`` how often the mix takes the document whole,
     ``taken`` their product. A source takes each document ``floor(target / size)`` times,
     and documents in a seeded order once more until the next would go further beyond the
     target than it stays below: the words taken differ from the target by half a document
     at most. Null texts have size zero, a null source is a source, repeated rows and ids
-    are rows of their own. An empty table gives no rows. Other columns are not read.
+    are rows of their own; rows with the same id, source and size are taken equally often.
+    An empty table gives no rows. Other columns are not read.
 
     The seeded order is cut into bins by a digest. Sizes are summed by source and bin in
     partial aggregates, so a source with a third of all rows needs no sort of its rows; only
     the one bin in which it reaches its target is put in order.
     """
-    seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    text = F.col(text_col).cast("string")
-    sized = in_files(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(text).alias("size"),
-            seeded.alias("draw"),
-        ),
-        "mix-sizes",
-    )
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    bins = in_files(
-        sized.groupBy("source", F.substring("draw", 1, BIN_DIGITS).alias("bin")).agg(F.sum("size").alias("words")),
-        "mix-bins",
-    )
-    totals = in_files(bins.groupBy("source").agg(F.sum("words").alias("source_size")), "mix-sources")
-    filled = in_files(
-        water_fill(cycled_weights(totals, weights), max_epochs)
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-        .withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size")),
-        "mix-targets",
+    sized = in_files(_sized(docs, seed, id_col, text_col, source_col), "mix-sizes")
+    plan = _plan(sized, weights, max_epochs)
+    planned = sized.alias("a").join(plan.alias("b"), _same()).select("a.*", "source_size", "target", "whole", "bin", "last")
+    return planned.select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _epochs().cast("bigint").alias("epochs"),
+        (F.col("size") * _epochs()).cast("bigint").alias("taken"),
     )
 
-    # the bin in which a source reaches its quota
-    running = Window.partitionBy("source").orderBy("bin")
-    reached = (
-        bins.withColumn("before", F.sum("words").over(running) - F.col("words"))
-        .alias("a").join(filled.alias("b"), same)
-        .filter((F.col("before") < F.col("quota")) & (F.col("before") + F.col("words") >= F.col("quota")))
-        .select("a.source", "bin", "before")
-    )
-    plan = (
-        filled.alias("a").join(reached.alias("b"), same, "left")
-        .select("a.*", "bin", "before")
-    )
-    rows = (
-        sized.alias("a").join(plan.alias("b"), same)
-        .select("a.*", "source_size", "target", "whole", "quota", "before", "bin", F.substring("draw", 1, BIN_DIGITS).alias("own_bin"))
-    )
-    within = F.coalesce(F.col("own_bin") == F.col("bin"), F.lit(False))
-    ordered = Window.partitionBy("source", "bin").orderBy("draw", "size")
-    last = (
-        rows.filter(within)
-        .withColumn("ahead", F.col("before") + F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("ahead", F.coalesce("ahead", "before"))
-        .withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("quota")).cast("int"))
-        .drop("ahead")
-    )
-    first = rows.filter(~within).withColumn("more", F.coalesce(F.col("own_bin") < F.col("bin"), F.lit(False)).cast("int"))
-    return first.unionByName(last).select(
-        F.col("id").alias(id_col), "size", "source_size", "target",
-        (F.col("whole") + F.col("more")).cast("bigint").alias("epochs"),
-        (F.col("size") * (F.col("whole") + F.col("more"))).cast("bigint").alias("taken"),
+
+def repeat_rows(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
+    max_epochs: int = 3,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: every row as often as ``mix_sources`` says, with all its columns.
+
+    Rows of epochs zero go, among them all of sources without words. Whole rows are not
+    shuffled where the plan, one row per source, is small enough for Spark to broadcast.
+    """
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    plan = _plan(in_files(sized, "mix-sizes"), weights, max_epochs)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"),
+        count_words(F.col(text_col).cast("string")).alias("size"), _seeded(F.col(id_col), seed).alias("draw"),
     )
+    planned = rows.alias("a").join(plan.alias("b"), _same()).select("a.*", "whole", "bin", "last")
+    return planned.select("row", F.explode(F.array_repeat(F.lit(1), _epochs().cast("int"))).alias("turn")).select("row.*")
