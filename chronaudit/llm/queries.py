@@ -115,7 +115,7 @@ FROM placed
 
 @_bound("op5_source_mix", SQL_MIX)
 def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return source_mix.mix_sources(_table(spark, folder, "documents")).drop("epochs")
+    return source_mix.mix_sources(_table(spark, folder, "documents")).drop("epochs", "source")
 
 
 RULES = [
@@ -188,6 +188,31 @@ def op7_block_topk(spark: SparkSession, folder: str) -> DataFrame:
     return block_topk.top_k(_table(spark, folder, "embeddings"), k=10, every=100, scale=1024)
 
 
-@_bound("op8_cross_polytope")
+# All pairs; it agrees where hashing finds them all.
+SQL_NEAR_VECTORS = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id, b.vec_id AS other
+  FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.other FROM reach r JOIN links l ON r.other = l.vec_id
+), heads AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), degrees AS (
+  SELECT vec_id, count(*) AS n FROM links GROUP BY vec_id
+)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, h.component_id, e.vec_id = h.component_id AS kept
+FROM embeddings e JOIN heads h USING (vec_id) LEFT JOIN degrees d USING (vec_id)
+"""
+
+
+@_bound("op8_cross_polytope", SQL_NEAR_VECTORS)
 def op8_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return cross_polytope.near_vectors(_table(spark, folder, "embeddings"), least_cosine=0.98)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from chronaudit.llm.common import byte_slices, in_files, text_or_empty
@@ -141,6 +142,14 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     return pairs.unionByName(stars.filter("other < fp").select(F.col("other").alias("a"), F.col("fp").alias("b"))).distinct()
 
 
+def _members(named: DataFrame, max_bits: int) -> DataFrame:
+    """Each fingerprint with the least id of its rows (first) and the fingerprint that stands for its component (root)."""
+    classes = in_files(named.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    roots = in_files(components(links(classes.select("fp"), max_bits)), "roots")
+    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return in_files(joined.withColumn("root", F.coalesce("root", "fp")), "members")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -156,11 +165,40 @@ def near_duplicates(
     An empty table gives no rows. Other columns are not read.
     """
     named = in_files(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = in_files(named.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    roots = in_files(components(links(classes.select("fp"), max_bits)), "roots")
-    member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = _members(named, max_bits)
     heads = in_files(member.groupBy("root").agg(F.min("first").alias("component_id")), "heads")
-    found = in_files(member.join(heads, "root").select("fp", "component_id"), "members")
+    found = in_files(member.join(heads, "root").select("fp", "component_id"), "found")
     return named.join(found, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(
+    docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each component, with all its columns: that with the least id, null ids last.
+
+    Of rows that share that id, those with the least fingerprint stay, and one of them if
+    they are repeated. Whole rows are shuffled once, repeats having been left out per task.
+    """
+    named = in_files(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    member = _members(named, max_bits)
+    least = F.min(F.struct(F.col("first").isNull().alias("last"), "first", "fp")).alias("kept")
+    taken = {c.lower() for c in docs.columns}
+    fp_name, key_name = (next(n for n in (f"{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("fp_", "key_"))
+
+    def key(doc_id: F.Column, fp: F.Column) -> F.Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.hex(fp))
+
+    keepers = in_files(
+        member.groupBy("root").agg(least).select(key(F.col("kept.first"), F.col("kept.fp")).alias(key_name)), "keepers")
+
+    def tag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in byte_slices(batches, text_col, SLICE_BYTES):
+            found = [fingerprint((x or "").encode(), shingle) for x in rows.column(text_col).to_pylist()]
+            found = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*rows.columns, found], [*rows.schema.names, fp_name])
+
+    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(fp_name, T.LongType())]))
+    tagged = tagged.withColumn(key_name, key(F.col(id_col).cast("bigint"), F.col(fp_name)))
+    return tagged.dropDuplicates([key_name]).join(keepers, key_name, "left_semi").select(*docs.columns)

@@ -1,19 +1,66 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Rejected, repeated and unmixed documents go; all stages but the last return the columns of
+documents. Every stage works on all rows that the one before it kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chronaudit.llm import pair_index, secret_scan, simhash, site_quality, source_mix
 from chronaudit.llm.common import reach_workers, scratch_path
 
-STAGES: list = []
+SHINGLE_WORDS, MAX_BITS = 3, 2
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    reach_workers(spark)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return site_quality.keep_good(docs, labels)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    reach_workers(spark)
+    return simhash.keep_one(docs, shingle=SHINGLE_WORDS, max_bits=MAX_BITS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and their numbers of characters as they are then."""
+    reach_workers(spark)
+    masked = secret_scan.mask_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return source_mix.repeat_rows(docs)
 
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers of tokens and digests of the ids and of what they decode to, for each row."""
+    reach_workers(spark)
+    return pair_index.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("simhash", near_dedup),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("bpe", encoding),
+]
+
+#: SQL cannot express the classifier, the fingerprints or the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of a folder."""
-    reach_workers(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
