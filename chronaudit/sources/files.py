@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,12 @@ def read_csv(
     date_cols: Iterable[str] = (),
     null_text: str | None = None,
     drop_index: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """CSV with a header. Date columns may hold any of the known text forms.
 
+    Text that is no date reads as null; with ``strict`` it is an error, blank text apart.
+
     Without a schema every column is text. A blank first header, left behind by an
     index column, is dropped. ``null_text`` (such as N/A) reads as null.
     """
@@ -39,13 +42,30 @@ def read_csv(
     if null_text is not None:
         texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
         df = df.withColumns({c: F.nullif(F.col(c), F.lit(null_text)) for c in texts})
-    return df.withColumns({c: parse_text_date(F.col(c)) for c in date_cols}) if date_cols else df
+    parsed = {c: _parsed(c, strict) for c in date_cols}
+    return df.withColumns(parsed) if parsed else df
+
+
+def _parsed(name: str, strict: bool) -> Column:
+    text, parsed = F.col(name).cast("string"), parse_text_date(F.col(name))
+    if not strict:
+        return parsed
+    said = F.concat(F.lit(f"{name}: not a date: "), text)
+    return F.when(parsed.isNull() & (F.trim(text) != ""), F.raise_error(said).cast("date")).otherwise(parsed)
 
 
-def write_by_year(df: DataFrame, path: str, date_col: str, year_col: str = "year") -> None:
-    """Parquet in one folder per year, for ``TableSpec(year_col=...)``."""
+def write_by_year(
+    df: DataFrame, path: str, date_col: str, year_col: str = "year", files_per_year: int = 1
+) -> None:
+    """Parquet in one folder per year, for ``TableSpec(year_col=...)``.
+
+    Rows are dealt out by year and a part of it, so a year has ``files_per_year`` files at
+    most, however many tasks read the rows; the more rows a year has, the more it should be.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_year))
     (
         df.withColumn(year_col, F.year(date_col))
+        .repartition(year_col, part)
         .write.mode("errorifexists")
         .partitionBy(year_col)
         .parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,8 @@ def append(
         raise ValueError(f"choose a database from {', '.join(allowed_databases)}")
     if not spark.catalog.tableExists(table):
         raise ValueError(f"table {table} does not exist")
-    rows = aligned(df, spark.table(table))
-    if df.isEmpty():
-        raise ValueError("nothing to append")
+    written = Observation()  # counted while writing, so the input is computed once
+    rows = aligned(df, spark.table(table)).observe(written, F.count(F.lit(1)).alias("n"))
     rows.write.insertInto(table, overwrite=False)
+    if not written.get["n"]:
+        raise ValueError("nothing to append")

@@ -2,6 +2,7 @@ from datetime import date
 
 import pytest
 from helpers import dates, day, frame, rows
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from chronaudit import Calendar, run_checks
@@ -147,6 +148,25 @@ def test_csv(spark, tmp_path):
     assert rows(df) == [("A, B", date(2021, 3, 2), "AA"), ("B19ST9-R", date(2020, 1, 1), None), ("C", None, None)]
 
 
+def test_strict_csv(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("k,d\na,2021-03-02\nb,\nc,soon\n", encoding="utf-8")
+    path = str(tmp_path / "bad.csv")
+    assert rows(files.read_csv(spark, path, date_cols=["d"]))[0] == ("a", date(2021, 3, 2))
+    with pytest.raises(PySparkException, match="not a date: soon"):
+        files.read_csv(spark, path, date_cols=["d"], strict=True).collect()
+    kept = files.read_csv(spark, path, date_cols=["d"], null_text="soon", strict=True)
+    assert [r["k"] for r in kept.where("d is null").orderBy("k").collect()] == ["b", "c"]
+
+
+def test_files_by_year(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 16).select("id", F.expr("date_add(date'2019-01-01', cast(id % 1000 as int))").alias("d"))
+    for n in (1, 3):
+        path = tmp_path / f"t{n}"
+        files.write_by_year(df, str(path), "d", files_per_year=n)
+        assert all(1 <= len(list(y.glob("part-*"))) <= n for y in path.glob("year=*"))
+        assert spark.read.parquet(str(path)).count() == 4000
+
+
 def test_append(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.sql(f"CREATE TABLE sink_test (a STRING, b DOUBLE, c INT) USING parquet LOCATION '{path}'")
