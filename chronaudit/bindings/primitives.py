@@ -301,13 +301,16 @@ def full_outer(spark, d):
 @bound(
     "j09_groups_by_calendar",
     f"""WITH {SQL_CALENDAR}
-SELECT g.o_custkey, d.date AS rdate FROM (SELECT DISTINCT o_custkey FROM orders) g
-CROSS JOIN (SELECT date FROM days WHERE date = last_day(date)) d""",
+SELECT g.o_custkey, d.date AS rdate
+FROM (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY o_custkey) g
+JOIN (SELECT date FROM days WHERE date = last_day(date)) d ON d.date BETWEEN g.a AND g.b""",
 )
 def groups_by_calendar(spark, d):
-    """Each group with each month end, unrolled from one literal list of dates."""
-    ends = fd.month_ends_between(F.lit(START), F.lit(END))
-    return orders(spark, d).select("o_custkey").distinct().select("o_custkey", F.explode(ends).alias("rdate"))
+    """Each group with each month end of the calendar within the group's own span."""
+    spans = dated_orders(spark, d).groupBy("o_custkey").agg(
+        F.greatest(F.min("rdate"), F.lit(START)).alias("a"), F.least(F.max("rdate"), F.lit(END)).alias("b")
+    ).where("a <= b")
+    return spans.select("o_custkey", F.explode(fd.month_ends_between(F.col("a"), F.col("b"))).alias("rdate"))
 
 
 # Aggregations
