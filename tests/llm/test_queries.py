@@ -1,6 +1,8 @@
 """The registered queries of this package, and the pipeline."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 from compare import compare, database
@@ -24,6 +26,11 @@ def test_all_are_registered():
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
 
 
+def test_import_needs_no_session():
+    root = os.path.dirname(os.path.abspath(entry_points.__file__))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(), e.oracle_sql()"], cwd=root, check=True)
+
+
 @pytest.mark.parametrize("name", ["op1_token_counts", "op2_token_files", "op3_pair_index_bpe", "op4_site_quality", "op9_simhash", "op10_secret_scan"])
 def test_a_row_for_each_document(spark, name):
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect())

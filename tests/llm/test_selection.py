@@ -185,3 +185,16 @@ def test_many_rules_are_joined_by_a_shuffle(spark, monkeypatch):
 def test_features_of_a_text():
     assert len(site_quality.features("")) == len(site_quality.features("a b c"))
     assert np.isfinite(site_quality.features("x " * 50_000)).all()
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    """About as many labelled rows as asked for are collected, the same ones every time."""
+    rows = spark.range(3000).select("id", F.array(*[F.lit(0.5).cast("float")] * 44).alias("x"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("cast(id % 3 = 0 as int)").alias("quality"))
+    seen = []
+    monkeypatch.setattr(site_quality.Classifier, "fit", classmethod(lambda cls, x, good: seen.append(good.tolist())))
+    for _ in range(2):
+        site_quality.train(rows, labels, "doc_id", "quality", most=200)
+    assert 120 <= len(seen[0]) <= 200 and seen[0] == seen[1]
+    site_quality.train(rows, labels, "doc_id", "quality", most=5000)
+    assert len(seen[2]) == 3000
