@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronaudit.llm.common import byte_slices, read_if_there, text_or_empty
+from chronaudit.llm.common import byte_slices, in_files, read_if_there, text_or_empty
 from chronaudit.llm.encoding import piece_encoder, tokenizer_digest
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint"
 SLICE_BYTES = 2 << 20
+#: Digests (of 32 bytes) of missing texts that are broadcast at most.
+BROADCAST_MISSES = 20_000
 
 
 def _counter(tokenizer_path: str):
@@ -48,8 +50,9 @@ def count_tokens(
     time; null ids are kept. Other columns are not read. Counts cover whole texts: there is
     no truncation, and special tokens are counted only where their strings stand in a text.
 
-    The digests shuffle with one text each at most per task, so many copies of a text cost
-    no more than one; the cache lies in ``cache_path``, one folder for each tokenizer.
+    Only texts that the cache lacks are encoded, one for each digest: a task hands on one
+    text of a digest at most, so many copies cost no more than one. The cache lies in
+    ``cache_path``, one folder for each tokenizer.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
@@ -60,17 +63,20 @@ def count_tokens(
     spaces = "collapsed" if collapse_spaces else "exact"
     folder = f"{cache_path.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer_path)[:32]}-{spaces}"
 
-    misses = (
-        keyed.select("digest", "content")
-        .dropDuplicates(["digest"])
-        .join(read_if_there(spark, folder, CACHE_SCHEMA), "digest", "left_anti")
-    )
-    misses.mapInArrow(_counter(tokenizer_path), CACHE_SCHEMA).write.mode("append").parquet(folder)
+    keys = in_files(keyed.select("id", "n_bytes", "digest"), "text-digests")
+    distinct = in_files(keys.select("digest").distinct(), "distinct-digests")
+    misses = in_files(distinct.join(read_if_there(spark, folder, CACHE_SCHEMA), "digest", "left_anti"), "misses")
+    texts = keyed.select("digest", "content")
+    if misses.count() <= BROADCAST_MISSES:  # most texts then need not be shuffled
+        new = texts.join(F.broadcast(misses), "digest", "left_semi").dropDuplicates(["digest"])
+    else:
+        new = texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
+    new.mapInArrow(_counter(tokenizer_path), CACHE_SCHEMA).write.mode("append").parquet(folder)
 
     # two runs at once may both have stored a count
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(folder).join(distinct, "digest", "left_semi")
+    counts = in_files(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest-counts")
     return (
-        keyed.select("id", "n_bytes", "digest")
-        .join(stored, "digest", "left")
+        keys.join(counts, "digest", "left")
         .select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
     )
