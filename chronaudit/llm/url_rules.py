@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronaudit.llm.common import in_files
+
 #: Hexadecimal digits of the digest that the join compares.
 PREFIX_DIGITS = 8
 #: Rules up to this number are broadcast; more are joined by a shuffle.
@@ -93,7 +95,8 @@ def judge_urls(
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "verdict")).alias("best"))
     )
-    return named.join(best, ["host", "path"], "left").select(
+    # read from files it is dealt out for the join, so Spark can split a URL that many pages share
+    return named.join(in_files(best, "url-verdicts"), ["host", "path"], "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
