@@ -2,10 +2,11 @@
 
 Known forms are found by patterns. Other long tokens are tested: is the alphabet of their
 inferred encoding used evenly (chi-squared), do symbols alternate as by chance (runs), and
-does a symbol depend on the one before (serial correlation)? A token is added where it is
-much more even than natural text of its length would be, judged with the corpus's own
-character frequencies, and no test finds structure in it. Which tokens those are is decided
-over the whole corpus by the Benjamini-Hochberg procedure in each class of length.
+does a symbol depend on the one before (serial correlation)? A token is added where no test finds
+structure in it and it is unlike natural text, judged with the corpus's own letters: either
+random symbols explain it far better than pairs of letters as the corpus has them, or it is
+much more even than the corpus's characters would be. Which tokens those are is decided over
+the whole corpus by the Benjamini-Hochberg procedure in each class of length.
 """
 
 from __future__ import annotations
@@ -52,22 +53,34 @@ _PLACES = [{c: i for i, c in enumerate(x)} for x in ALPHABETS.values()]
 LEAST_TOKEN = 20
 #: Lower ends of the classes of length within which discoveries are controlled.
 LENGTH_CLASSES = (20, 28, 40, 64)
-FALSE_DISCOVERIES = 0.001
+FALSE_DISCOVERIES = 0.01
+#: The part of that level that letter pairs have; evenness has the rest.
+PAIRS_PART = 0.9
 STRUCTURE_LEVEL = 0.001
 #: Bins of the p-values: so many for each power of ten, down to 10 to the minus LEAST_POWER.
 BINS_PER_POWER, LEAST_POWER = 50, 40
+#: Letter pairs: places of bytes, 0 for other than letters; the weight of single letters; and the
+#: share of natural letters that need not be like the corpus, which bounds what a pair can say.
+PLACES = 27
+SINGLE_WEIGHT, UNUSUAL = 26.0, 0.1
 SLICE_BYTES = 4 << 20
 MASK = "[secret]"
 
 _FORMS = {kind: re.compile(pattern) for kind, (pattern, _, _) in KNOWN_FORMS.items()}
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")  # where a match of the form that is long enough begins
+_LETTERS = np.zeros(256, dtype=np.int64)
+for _i in range(1, PLACES):
+    _LETTERS[[64 + _i, 96 + _i]] = _i
+#: Lower, upper, digit, other; and the bits of a digit and of another symbol among its like.
+_CLASS = np.array([0 if 97 <= i < 123 else 1 if 65 <= i < 91 else 2 if 48 <= i < 58 else 3 for i in range(256)])
+_OWN_BITS = np.array([0.0, 0.0, math.log2(10), 2.0])
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _HINTS = ("passw", "secret", "token", "api")
 
 EVIDENCE_SCHEMA = (
     "id bigint, base array<struct<kind:int,start:bigint,end:bigint>>,"
-    " tokens array<struct<start:bigint,end:bigint,encoding:int,n:int,chi2:double,structure:double>>,"
-    " histogram array<bigint>"
+    " tokens array<struct<start:bigint,end:bigint,encoding:int,n:int,chi2:double,structure:double,"
+    "bits:double,pairs:array<int>,times:array<int>>>, histogram array<bigint>, pairs array<bigint>"
 )
 
 
@@ -119,8 +132,34 @@ def battery(token: str) -> tuple[int, int, float, float] | None:
     return encoding, n, chi2, min(1.0, 3 * min(uneven, alternating, serial))
 
 
+def letter_pairs(raw: bytes) -> np.ndarray:
+    """How often each place follows each, letters without case; the text begins after another symbol."""
+    at = _LETTERS[np.frombuffer(b" " + raw, dtype=np.uint8)]
+    return np.bincount(at[:-1] * PLACES + at[1:], minlength=PLACES * PLACES)
+
+
+def natural_code(token: str, encoding: int) -> tuple[float, list[int], list[int]]:
+    """What natural text needs for a token: bits more than random symbols, without letters; and its letter pairs.
+
+    Lower case, upper case, digits and other symbols follow each other at rates learnt within
+    the token; digits and other symbols are even. Letters are left to the corpus's pairs.
+    """
+    raw = token.rstrip("=").encode()
+    kinds = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
+    moves = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16).reshape(4, 4).tolist()
+    learnt = sum(math.lgamma(sum(x) + 2) - sum(math.lgamma(n + 0.5) - math.lgamma(0.5) for n in x) for x in moves)
+    bits = 2 + learnt / math.log(2) + float(_OWN_BITS[kinds].sum())  # any of the four may begin
+    counts = letter_pairs(raw)
+    pairs = np.flatnonzero(counts)
+    pairs = pairs[pairs % PLACES > 0]
+    return bits - len(raw) * math.log2(len(ALPHABETS[NAMES[encoding]])), pairs.tolist(), counts[pairs].tolist()
+
+
+_FIELDS = ("start", "end", "encoding", "n", "chi2", "structure", "bits", "pairs", "times")
+
+
 def token_evidence(text: str, known: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, end, encoding, n, chi2, structure) of the long tokens that no known span touches."""
+    """The fields of the long tokens that no known span touches."""
     found, i = [], 0
     spans = sorted((s, e) for _, s, e in known)
     for m in _TOKEN.finditer(text):
@@ -130,18 +169,31 @@ def token_evidence(text: str, known: list[tuple[int, int, int]]) -> list[tuple]:
             continue
         tested = battery(m[0])
         if tested:
-            found.append((m.start(), m.end(), *tested))
+            found.append((m.start(), m.end(), *tested, *natural_code(m[0], tested[0])))
     return found
 
 
+def _short(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with a space for each long token and known span, so these do not make themselves natural."""
+    parts, at = [], 0
+    for start, end in sorted(spans):
+        if end > at:
+            parts.append(text[at:max(at, start)])
+            at = end
+    return " ".join([*parts, text[at:]])
+
+
 def _evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base_kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
     token_kind = pa.list_(pa.struct([
         ("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.int32()), ("n", pa.int32()),
         ("chi2", pa.float64()), ("structure", pa.float64()),
+        ("bits", pa.float64()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
     ]))
-    names = ["id", "base", "tokens", "histogram"]
+    counts_kind = pa.list_(pa.int64())
+    names = ["id", "base", "tokens", "histogram", "pairs"]
     histogram = np.zeros(256, dtype=np.int64)
+    pairs = np.zeros(PLACES * PLACES, dtype=np.int64)
     for rows in byte_slices(batches, "text", SLICE_BYTES):
         base, tokens = [], []
         for text in rows.column("text").to_pylist():
@@ -149,37 +201,54 @@ def _evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             histogram += np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
             known = known_spans(text)
             base.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in known])
-            fields = ("start", "end", "encoding", "n", "chi2", "structure")
-            tokens.append([dict(zip(fields, x, strict=True)) for x in token_evidence(text, known)])
+            long = token_evidence(text, known)
+            tokens.append([dict(zip(_FIELDS, x, strict=True)) for x in long])
+            pairs += letter_pairs(_short(text, [x[:2] for x in long] + [x[1:] for x in known]).encode())
         yield pa.RecordBatch.from_arrays(
             [rows.column("id"), pa.array(base, base_kind), pa.array(tokens, token_kind),
-             pa.nulls(len(base), pa.list_(pa.int64()))], names)
+             pa.nulls(len(base), counts_kind), pa.nulls(len(base), counts_kind)], names)
     yield pa.RecordBatch.from_arrays(
         [pa.array([None], pa.int64()), pa.array([None], base_kind), pa.array([None], token_kind),
-         pa.array([histogram.tolist()], pa.list_(pa.int64()))], names)
+         pa.array([histogram.tolist()], counts_kind), pa.array([pairs.tolist()], counts_kind)], names)
 
 
 def evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans and tested tokens of every row, in files; and for each task a row with its character counts."""
+    """Spans and tested tokens of every row, in files; and for each task a row with its counts."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return in_files(rows.mapInArrow(_evidence, EVIDENCE_SCHEMA), "secret-evidence")
 
 
 @dataclass(frozen=True)
 class Natural:
-    """Mean and variance of chi-squared in natural text: a constant and a share for each symbol."""
+    """Mean and variance of chi-squared in natural text: a constant and a share for each symbol; and bits of letter pairs."""
 
     moments: tuple[tuple[float, float, float, float], ...]
+    letters: tuple[float, ...] = ()
 
     @classmethod
-    def of(cls, histogram: np.ndarray) -> Natural:
+    def of(cls, histogram: np.ndarray, pairs: np.ndarray | None = None) -> Natural:
         found = []
         for alphabet in ALPHABETS.values():
             counts = histogram[[ord(c) for c in alphabet]].astype(float) + 1
             f = counts / counts.sum()
             k, second, third = len(f), float((f**2).sum()), float((f**3).sum())
             found.append((k * (1 - second), k * second - 1, 2 * (k - 1), 4 * k * k * max(0.0, third - second**2)))
-        return cls(tuple(found))
+        after = np.zeros((PLACES, PLACES)) if pairs is None else pairs.reshape(PLACES, PLACES).astype(float)
+        after = after[:, 1:]  # letters, after each place
+        single = after.sum(axis=0) + 1
+        own = (after + SINGLE_WEIGHT * single / single.sum()) / (after.sum(axis=1, keepdims=True) + SINGLE_WEIGHT)
+        bits = np.zeros((PLACES, PLACES))
+        bits[:, 1:] = -np.log2((1 - UNUSUAL) * own + UNUSUAL / (PLACES - 1))
+        return cls(tuple(found), tuple(bits.ravel().tolist()))
+
+    def p_of_pairs(self, bits: float, pairs: list[int], times: list[int]) -> float:
+        """A bound of the chance that natural text is so much likelier as random symbols of some encoding.
+
+        By Markov's inequality a likelihood ratio of r against a model has a chance of 1 / r
+        at most under it; the random model is the even mixture of the encodings.
+        """
+        more = bits + sum(self.letters[x] * t for x, t in zip(pairs, times, strict=True)) - math.log2(len(ALPHABETS))
+        return 10.0 ** -min(LEAST_POWER, max(0.0, more * math.log10(2)))
 
     def p_value(self, encoding: int, n: int, chi2: float) -> float:
         """The chance that natural text of this length is as even as that."""
@@ -220,9 +289,12 @@ class SecretModel:
     least: dict[int, int]
 
     def bin_of(self, token: tuple) -> tuple[int, int]:
-        _, _, encoding, n, chi2, structure = token
+        _, _, encoding, n, chi2, structure, bits, pairs, times = token
         group = length_class(n)
-        return group, -1 if structure < STRUCTURE_LEVEL else p_bin(self.natural.p_value(encoding, n, chi2))
+        if structure < STRUCTURE_LEVEL:
+            return group, -1
+        even = self.natural.p_value(encoding, n, chi2) / (1 - PAIRS_PART)
+        return group, p_bin(min(1.0, even, self.natural.p_of_pairs(bits, pairs, times) / PAIRS_PART))
 
     def secret(self, token: tuple) -> bool:
         group, b = self.bin_of(token)
@@ -235,16 +307,18 @@ class SecretModel:
         return sorted(known + added, key=lambda x: (x[1], x[0]))
 
 
-_FIELDS = ("start", "end", "encoding", "n", "chi2", "structure")
+def _totals(found: DataFrame, column: str, width: int) -> np.ndarray:
+    """The sums, place by place, of the counts of all tasks."""
+    totals = np.zeros(width, dtype=np.int64)
+    sums = found.select(F.posexplode(column).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+    for row in sums.collect():
+        totals[row["at"]] = row["n"]
+    return totals
 
 
 def fit(found: DataFrame) -> SecretModel:
-    """The model of a corpus from its evidence; the driver gets 256 counts and the counts of bins."""
-    totals = np.zeros(256, dtype=np.int64)
-    sums = found.select(F.posexplode("histogram").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
-    for row in sums.collect():
-        totals[row["at"]] = row["n"]
-    start = SecretModel(Natural.of(totals), {})
+    """The model of a corpus from its evidence; the driver gets the counts of bytes, letter pairs and bins."""
+    start = SecretModel(Natural.of(_totals(found, "histogram", 256), _totals(found, "pairs", PLACES * PLACES)), {})
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int], int] = {}

@@ -1,0 +1,63 @@
+"""Planted keys that the secret scan has to find, and natural tokens that it has to leave."""
+
+import random
+import re
+import string
+
+import pytest
+
+from chronaudit.llm import secret_scan as scan
+
+BASE62 = string.ascii_letters + string.digits
+
+
+def slugs(sample, n, draw):
+    """Natural tokens of 20 characters or more: words of the sample, joined in several ways."""
+    words = sorted({w for r in sample.select("text").collect() for w in re.findall("[A-Za-z]{3,12}", r["text"] or "")})
+    found = []
+    for i in range(n):
+        chosen = [draw.choice(words).lower() for _ in range(draw.randint(8, 12))]
+        found.append(["-".join(chosen), "/".join(chosen), "".join(x.title() for x in chosen[:6]), "".join(chosen[:6]), "_".join(chosen).upper()][i % 5])
+    return found
+
+
+def scanned(spark, sample, tokens):
+    """Which of the tokens, put into one text each, are covered by an added span and nothing else."""
+    rows = [(10_000 + i, f"see {x} there") for i, x in enumerate(tokens)]
+    docs = sample.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    spans = {r["doc_id"]: r["spans"] for r in scan.find_secrets(docs).collect()}
+    return [spans[10_000 + i] == f"random:4:{4 + len(x)}" for i, x in enumerate(tokens)]
+
+
+@pytest.mark.parametrize(("alphabet", "least"), [(BASE62, 0.8), (string.ascii_uppercase + "234567", 0.85)])
+def test_few_short_keys_among_natural_tokens(spark, sample, alphabet, least):
+    draw = random.Random(11)
+    keys = ["".join(draw.choices(alphabet, k=n)) for n in (20, 24, 28, 32, 40, 48, 64) for _ in range(6)]
+    natural = slugs(sample, 4000, draw)
+    found = scanned(spark, sample, keys + natural)
+    assert sum(found[: len(keys)]) >= least * len(keys)
+    assert sum(found[len(keys) :]) <= 1
+
+
+def test_natural_code_is_learnt_step_by_step():
+    """The closed form of the rates of kinds of symbols is what adding up symbol by symbol gives."""
+    token = "aB3-xYz99/QrS_tuvWX+0a"
+    encoding = scan.battery(token)[0]
+    bits, last, seen = 2.0, None, [[0.5] * 4 for _ in range(4)]
+    for byte in token.encode():
+        kind = scan._CLASS[byte]
+        if last is not None:
+            bits -= scan.math.log2(seen[last][kind] / sum(seen[last]))
+            seen[last][kind] += 1
+        bits, last = bits + scan._OWN_BITS[kind], kind
+    bits -= len(token) * scan.math.log2(len(scan.ALPHABETS[scan.NAMES[encoding]]))
+    own, pairs, times = scan.natural_code(token, encoding)
+    assert abs(own - bits) < 1e-9
+    assert sum(times) == sum(x.isalpha() for x in token) and all(x % scan.PLACES for x in pairs)
+
+
+def test_keys_do_not_make_themselves_natural():
+    text = "a word and Zq8Xv0Kp3WjT6Rb1Lm9N, then"
+    spans = [(m.start(), m.end()) for m in re.finditer("Zq[A-Za-z0-9]+", text)]
+    assert scan._short(text, spans) == "a word and  , then"
+    assert scan._short(text, [(0, 6), (2, 4), (5, 8)]) == "  nd Zq8Xv0Kp3WjT6Rb1Lm9N, then"
