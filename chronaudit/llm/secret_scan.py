@@ -6,7 +6,8 @@ does a symbol depend on the one before (serial correlation)? A token is added wh
 structure in it and it is unlike natural text, judged with the corpus's own letters: either
 random symbols explain it far better than pairs of letters as the corpus has them, or it is
 much more even than the corpus's characters would be. Which tokens those are is decided over
-the whole corpus by the Benjamini-Hochberg procedure in each class of length.
+the whole corpus by the Benjamini-Hochberg procedure in each class of length, where a token
+counts once however often it occurs.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ _HINTS = ("passw", "secret", "token", "api")
 EVIDENCE_SCHEMA = (
     "id bigint, base array<struct<kind:int,start:bigint,end:bigint>>,"
     " tokens array<struct<start:bigint,end:bigint,encoding:int,n:int,chi2:double,structure:double,"
-    "bits:double,pairs:array<int>,times:array<int>>>, histogram array<bigint>, pairs array<bigint>"
+    "bits:double,pairs:array<int>,times:array<int>,digest:binary>>, histogram array<bigint>, pairs array<bigint>"
 )
 
 
@@ -148,14 +149,15 @@ def natural_code(token: str, encoding: int) -> tuple[float, list[int], list[int]
     kinds = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
     moves = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16).reshape(4, 4).tolist()
     learnt = sum(math.lgamma(sum(x) + 2) - sum(math.lgamma(n + 0.5) - math.lgamma(0.5) for n in x) for x in moves)
-    bits = 2 + learnt / math.log(2) + float(_OWN_BITS[kinds].sum())  # any of the four may begin
+    # any of the four may begin; half of natural tokens are taken to be of one kind throughout
+    bits = 3 + float(_OWN_BITS[kinds].sum()) + (learnt / math.log(2) if (kinds != kinds[0]).any() else 0.0)
     counts = letter_pairs(raw)
     pairs = np.flatnonzero(counts)
     pairs = pairs[pairs % PLACES > 0]
     return bits - len(raw) * math.log2(len(ALPHABETS[NAMES[encoding]])), pairs.tolist(), counts[pairs].tolist()
 
 
-_FIELDS = ("start", "end", "encoding", "n", "chi2", "structure", "bits", "pairs", "times")
+_FIELDS = ("start", "end", "encoding", "n", "chi2", "structure", "bits", "pairs", "times", "digest")
 
 
 def token_evidence(text: str, known: list[tuple[int, int, int]]) -> list[tuple]:
@@ -169,7 +171,8 @@ def token_evidence(text: str, known: list[tuple[int, int, int]]) -> list[tuple]:
             continue
         tested = battery(m[0])
         if tested:
-            found.append((m.start(), m.end(), *tested, *natural_code(m[0], tested[0])))
+            digest = hashlib.sha256(m[0].encode()).digest()[:16]
+            found.append((m.start(), m.end(), *tested, *natural_code(m[0], tested[0]), digest))
     return found
 
 
@@ -189,6 +192,7 @@ def _evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.int32()), ("n", pa.int32()),
         ("chi2", pa.float64()), ("structure", pa.float64()),
         ("bits", pa.float64()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
+        ("digest", pa.binary()),
     ]))
     counts_kind = pa.list_(pa.int64())
     names = ["id", "base", "tokens", "histogram", "pairs"]
@@ -289,7 +293,7 @@ class SecretModel:
     least: dict[int, int]
 
     def bin_of(self, token: tuple) -> tuple[int, int]:
-        _, _, encoding, n, chi2, structure, bits, pairs, times = token
+        _, _, encoding, n, chi2, structure, bits, pairs, times, _ = token
         group = length_class(n)
         if structure < STRUCTURE_LEVEL:
             return group, -1
@@ -317,22 +321,28 @@ def _totals(found: DataFrame, column: str, width: int) -> np.ndarray:
 
 
 def fit(found: DataFrame) -> SecretModel:
-    """The model of a corpus from its evidence; the driver gets the counts of bytes, letter pairs and bins."""
+    """The model of a corpus from its evidence; the driver gets the counts of bytes, letter pairs and bins.
+
+    A token counts once, however often it occurs, so copies do not move what is decided.
+    """
     start = SecretModel(Natural.of(_totals(found, "histogram", 256), _totals(found, "pairs", PLACES * PLACES)), {})
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int], int] = {}
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            judged: dict[bytes, tuple[int, int]] = {}
             for tokens in batch.column("tokens").to_pylist():
                 for token in tokens:
-                    key = start.bin_of(tuple(token[x] for x in _FIELDS))
-                    counts[key] = counts.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([g for g, _ in counts], pa.int32()), pa.array([b for _, b in counts], pa.int32()),
-             pa.array(list(counts.values()), pa.int64())], ["group", "bin", "n"])
+                    if token["digest"] not in judged:
+                        judged[token["digest"]] = start.bin_of(tuple(token[x] for x in _FIELDS))
+            groups, bins = ([x[i] for x in judged.values()] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(judged), pa.binary()), pa.array(groups, pa.int32()), pa.array(bins, pa.int32())],
+                ["digest", "group", "bin"])
 
     tested = found.filter(F.size("tokens") > 0).select("tokens")
-    binned = tested.mapInArrow(count, "group int, bin int, n bigint").groupBy("group", "bin").agg(F.sum("n").alias("n"))
+    distinct = tested.mapInArrow(judge, "digest binary, group int, bin int").groupBy("digest").agg(
+        F.min("group").alias("group"), F.min("bin").alias("bin"))
+    binned = distinct.groupBy("group", "bin").agg(F.count("*").alias("n"))
     return SecretModel(start.natural, controlled({(r["group"], r["bin"]): r["n"] for r in binned.collect()}))
 
 

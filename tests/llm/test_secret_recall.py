@@ -3,6 +3,7 @@
 import random
 import re
 import string
+from collections import Counter
 
 import pytest
 
@@ -50,7 +51,7 @@ def test_natural_code_is_learnt_step_by_step():
             bits -= scan.math.log2(seen[last][kind] / sum(seen[last]))
             seen[last][kind] += 1
         bits, last = bits + scan._OWN_BITS[kind], kind
-    bits -= len(token) * scan.math.log2(len(scan.ALPHABETS[scan.NAMES[encoding]]))
+    bits += 1 - len(token) * scan.math.log2(len(scan.ALPHABETS[scan.NAMES[encoding]]))
     own, pairs, times = scan.natural_code(token, encoding)
     assert abs(own - bits) < 1e-9
     assert sum(times) == sum(x.isalpha() for x in token) and all(x % scan.PLACES for x in pairs)
@@ -61,3 +62,28 @@ def test_keys_do_not_make_themselves_natural():
     spans = [(m.start(), m.end()) for m in re.finditer("Zq[A-Za-z0-9]+", text)]
     assert scan._short(text, spans) == "a word and  , then"
     assert scan._short(text, [(0, 6), (2, 4), (5, 8)]) == "  nd Zq8Xv0Kp3WjT6Rb1Lm9N, then"
+
+
+def test_copies_count_once(spark, sample):
+    """One token in very many places decides no more than in one; the keys are found."""
+    draw = random.Random(3)
+    keys = ["".join(draw.choices(scan.ALPHABETS["HEX"], k=20)) for _ in range(30)]
+    keys = [x for x in keys if scan.battery(x)[3] >= scan.STRUCTURE_LEVEL]
+    natural = [x[:27] for x in slugs(sample, 30, draw)]
+    texts = [r["text"] for r in sample.collect()] + keys + natural + [" ".join(natural[:1] * 5_000)] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = scan.fit(scan.evidence(docs))
+    places = [x for t in texts if t for x in scan.token_evidence(t, scan.known_spans(t))]
+    distinct = {x[-1]: x for x in places}
+    assert model.least == scan.controlled(Counter(map(model.bin_of, distinct.values())))
+    assert model.least != scan.controlled(Counter(map(model.bin_of, places)))
+    found = [model.spans(x) == [(len(scan.KINDS) - 1, 0, len(x))] for x in keys]
+    assert sum(found) >= 0.9 * len(keys)
+
+
+def test_digits_alone_are_no_secret():
+    """However long they are and however many random tokens there are."""
+    natural = scan.Natural.of(scan.np.ones(256, dtype="int64"), scan.np.ones(scan.PLACES**2, dtype="int64"))
+    for n in (20, 100, 10_000):
+        coded = scan.natural_code("".join(random.Random(n).choices(string.digits, k=n)), 0)
+        assert natural.p_of_pairs(*coded) == 1
