@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 
 from chronaudit.llm.common import byte_slices, in_files
 
-#: Labelled documents that the classifier is fitted on at most, drawn by a digest of the id.
+#: Labelled documents that the classifier is fitted on at most, drawn by a digest of id and features.
 TRAINING_ROWS = 20_000
-#: Of that number the share that is aimed at, and the draws that an id may have.
+#: Of that number the share that is aimed at, and the draws that a row may have.
 DRAWN, DRAWS = 0.95, 1 << 30
 SLICE_BYTES = 4 << 20
 PUNCTUATION = string.punctuation
@@ -102,18 +102,18 @@ def _feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(feature_rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int = TRAINING_ROWS) -> Classifier:
     """Fit on labelled rows, ``most`` at most; null labels and ids are left out, of repeated ids one label counts.
 
-    Where there are more, a share of the ids is drawn by a digest before anything is joined
-    or collected, so the driver's part does not grow with the labels.
+    Where more rows have a label, a share of them is drawn by a digest before anything is
+    collected, so the driver's part does not grow with the labels, and labels of other
+    documents do not count.
     """
-    known = in_files(
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).dropna()
-        .groupBy("id").agg(F.min("good").alias("good")),
-        "labels",
-    )
-    n = known.count()
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).dropna()
+    known = known.groupBy("id").agg(F.min("good").alias("good"))
+    labelled = in_files(feature_rows.select("id", "x").join(known, "id"), "labelled")
+    n = labelled.count()
+    draw = F.xxhash64("id", "x")
     if n > most:
-        known = known.filter(F.pmod(F.xxhash64("id"), F.lit(DRAWS)) < int(DRAWS * DRAWN * most / n))
-    rows = feature_rows.select("id", "x").join(known, "id").limit(most).collect()
+        labelled = labelled.filter(F.pmod(draw, F.lit(DRAWS)) < int(DRAWS * DRAWN * most / n))
+    rows = labelled.orderBy(draw, "id", "x").limit(most).collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))  # sums in the same order every time
     width = len(PUNCTUATION) + 12
     x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, width)

@@ -198,3 +198,19 @@ def test_training_is_bounded(spark, monkeypatch):
     assert 120 <= len(seen[0]) <= 200 and seen[0] == seen[1]
     site_quality.train(rows, labels, "doc_id", "quality", most=5000)
     assert len(seen[2]) == 3000
+
+
+def test_training_sample_is_of_labelled_rows(spark, monkeypatch):
+    """Labels of other documents do not thin the sample, and rows under one id are drawn one by one."""
+    seen = []
+    monkeypatch.setattr(site_quality.Classifier, "fit", classmethod(lambda cls, x, good: seen.append(x.tolist())))
+    width = len(site_quality.PUNCTUATION) + 12
+    labels = spark.range(200_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    x = f"transform(sequence(1, {width}), i -> cast(i + n as float)) as x"
+    unique = spark.range(0, 1000).selectExpr("id", "id as n").selectExpr("id", x)
+    site_quality.train(unique, labels, "doc_id", "quality", most=2000)
+    assert len(seen[-1]) == 1000
+    repeated = spark.range(0, 4000, numPartitions=7).selectExpr("id % 2 as id", "id as n").selectExpr("id", x)
+    for rows in (repeated, repeated.repartition(3)):
+        site_quality.train(rows, labels, "doc_id", "quality", most=1000)
+    assert 850 <= len(seen[-1]) <= 1000 and sorted(seen[-1]) == sorted(seen[-2])
