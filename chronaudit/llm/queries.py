@@ -12,6 +12,7 @@ from chronaudit.llm import (
     block_topk,
     cross_polytope,
     pair_index,
+    piece_merge,
     secret_scan,
     simhash,
     site_quality,
@@ -19,6 +20,7 @@ from chronaudit.llm import (
     token_counts,
     token_files,
     url_rules,
+    whitening,
 )
 from chronaudit.llm.common import reach_workers, scratch_path
 
@@ -216,3 +218,13 @@ FROM embeddings e JOIN heads h USING (vec_id) LEFT JOIN degrees d USING (vec_id)
 @_bound("op8_cross_polytope", SQL_NEAR_VECTORS)
 def op8_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return cross_polytope.near_vectors(_table(spark, folder, "embeddings"), least_cosine=0.98)
+
+
+@_bound("op12_spectrum_whitening")
+def op12_spectrum_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(_table(spark, folder, "embeddings"), components=32)
+
+
+@_bound("op13_merge_rounds")
+def op13_merge_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_merge.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -1,0 +1,112 @@
+"""Spectrum slicing and whitening against plain linear algebra."""
+
+import numpy as np
+import pytest
+from odd_rows import clashing
+
+from chronaudit.llm import queries, spectrum, whitening
+
+RNG = np.random.default_rng(5)
+BASIS = np.linalg.qr(RNG.standard_normal((48, 48)))[0]
+SPECTRA = {
+    "spread": np.linspace(9, 1, 48),
+    "equal": np.ones(48),
+    "groups": np.repeat([5.0, 3.0, 2.0, 1e-3], 12),
+    "close": 1 + 1e-13 * np.arange(48),
+    "falling": 10.0 ** -np.arange(48.0),
+    "three": np.r_[1, 1 + 1e-9, 1 + 2e-9, np.zeros(45)],
+    "none": np.zeros(48),
+}
+
+
+@pytest.mark.parametrize("name", SPECTRA)
+def test_leading_eigenpairs(name):
+    matrix = (BASIS * SPECTRA[name]) @ BASIS.T
+    matrix = (matrix + matrix.T) / 2
+    values, vectors = spectrum.leading(matrix, 32)
+    wanted = np.linalg.eigvalsh(matrix)[::-1]
+    scale = max(np.abs(matrix).max(), 1e-300)
+    assert len(values) == min(32, (wanted > 8 * 48 * np.finfo(float).eps * np.abs(matrix).sum(axis=1).max()).sum())
+    assert np.abs(values - wanted[: len(values)]).max(initial=0) <= 1e-13 * scale
+    assert np.abs(matrix @ vectors - vectors * values).max(initial=0) <= 1e-12 * scale
+    assert np.abs(vectors.T @ vectors - np.eye(len(values))).max(initial=0) <= 1e-13
+
+
+def test_counts_of_indefinite_matrices():
+    for size in (1, 2, 3, 20):
+        matrix = RNG.standard_normal((size, size))
+        matrix += matrix.T
+        for shift in (-3.0, -0.5, 0.0, 0.5, 3.0):
+            assert spectrum.eigenvalues_above(matrix, shift) == (np.linalg.eigvalsh(matrix) > shift).sum()
+    assert spectrum.eigenvalues_above(np.array([[0.0, 1.0], [1.0, 0.0]]), 0.0) == 1  # no pivot on the diagonal
+    assert spectrum.eigenvalues_above(np.zeros((3, 3)), 0.0) == 0
+
+
+def plain(vectors, most):
+    """What the contract says, by plain linear algebra."""
+    x = np.array([[int(np.floor(64 * float(c))) + 1_000_000 for c in v] for v in vectors], dtype=object)
+    n, sums = len(x), x.sum(axis=0)
+    deviations = [int(sum((n * a - s) ** 2 for a, s in zip(row, sums))) for row in x]
+    centred = np.array([[float(n * a - s) / n for a, s in zip(row, sums)] for row in x])
+    values, q = np.linalg.eigh(centred.T @ centred / n)
+    values, q = values[::-1], q[:, ::-1]
+    keep = min(most, int((values > 1e-9 * values[0]).sum()))
+    return n, deviations, centred @ q[:, :keep] / np.sqrt(values[:keep]), values[:keep] / values.sum()
+
+
+def test_query_agrees_with_plain_linear_algebra(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    n, deviations, whitened, explained = plain([r["embedding"] for r in rows], 32)
+    found = {(r["vec_id"], r["component"]): r for r in queries.queries()["op12_spectrum_whitening"](spark, folder).collect()}
+    assert len(found) == n * len(explained)
+    ours = np.array([[found[r["vec_id"], k + 1]["whitened"] for k in range(len(explained))] for r in rows])
+    assert np.abs(np.abs(ours) - np.abs(whitened)).max() < 1e-8
+    assert np.abs(ours.T @ ours / n - np.eye(len(explained))).max() < 1e-9  # one sign for all rows
+    for r, deviation in zip(rows, deviations, strict=True):
+        one = found[r["vec_id"], 1]
+        assert (one["n"], one["deviation"]) == (n, deviation)
+        assert 0 <= one["identity_error"] < 1e-9
+    assert [found[rows[0]["vec_id"], k + 1]["explained"] for k in range(len(explained))] == pytest.approx(list(explained), rel=1e-9)
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+NAN, INF = float("nan"), float("inf")
+
+
+def test_odd_vectors(spark):
+    good = [(1, [1.0, 0.0, 3.0], 0), (1, [1.0, 0.0, 3.0], 0), (None, [2.0, 1.0, -1.0], None), (3, [0.5, 7.0, 0.0], 1), (4, [0.0, 0.0, 0.0], 1)]
+    bad = [(5, None, 0), (6, [], 0), (7, [1.0, None, 2.0], 0), (8, [NAN, 1.0, 2.0], 0), (9, [1.0, INF, 2.0], 0), (9, [1.0, -INF, 2.0], 0)]
+    table = clashing(spark.createDataFrame(good + bad, SCHEMA))
+    n, deviations, whitened, explained = plain([v for _, v, _ in good], 2)
+    rows = whitening.whitened_rows(table, components=2).collect()
+    assert sorted((str(r["vec_id"]), r["deviation"]) for r in rows if r["component"] == 2) == sorted(
+        (str(i), x) for (i, _, _), x in zip(good, deviations, strict=True))
+    assert sorted(round(abs(r["whitened"]), 9) for r in rows) == sorted(np.abs(whitened).round(9).ravel().tolist())
+    assert {r["n"] for r in rows} == {n}
+
+
+def test_nothing_to_whiten(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert whitening.whitened_rows(empty).collect() == []
+    same = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0)], SCHEMA)
+    fitted = whitening.fit(same)
+    assert (fitted.n, len(fitted.values)) == (2, 0)
+    assert whitening.whitened_rows(same).collect() == []
+    assert [(r["vec_id"], r["deviation"], r["whitened"]) for r in whitening.whiten(same, fitted).orderBy("vec_id").collect()] == [(1, 0, []), (2, 0, [])]
+    line = spark.createDataFrame([(i, [float(i), 2.0 * i, 5.0], 0) for i in range(10)], SCHEMA)
+    assert len(whitening.fit(line).values) == 1  # one direction only
+
+
+def test_vectors_of_two_lengths_are_refused(spark):
+    table = spark.createDataFrame([(1, [1.0], 0), (2, [1.0, 2.0], 0)], SCHEMA)
+    with pytest.raises(Exception, match="different lengths"):
+        whitening.fit(table)
+
+
+def test_large_numbers_are_exact():
+    fitted = whitening.Whitening(10**8, np.array([10**15, 5]), np.ones(1), np.ones((2, 1)), 1.0, 64, 0)
+    grid = np.array([[2 * 10**7, -3]])
+    assert fitted.deviations(grid) == [(10**8 * 2 * 10**7 - 10**15) ** 2 + (-3 * 10**8 - 5) ** 2]
+    huge = whitening.Whitening(10**12, np.array([10**18, 0]), np.ones(1), np.ones((2, 1)), 1.0, 64, 0)
+    assert huge.deviations(np.array([[10**9, 1]])) == [(10**21 - 10**18) ** 2 + 10**24]
