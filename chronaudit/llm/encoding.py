@@ -103,10 +103,11 @@ class PieceEncoder:
 
     No begin, end or added special tokens, truncation or padding. Strings of special tokens
     inside a text are treated as the library does by default; texts that hold one are not
-    cut into pieces, since the library looks for them first.
+    cut into pieces, since the library looks for them first. With ``plain`` such strings are
+    ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.memo, self.leads = PieceMemo(), None
         if path.endswith(".model"):
@@ -121,10 +122,11 @@ class PieceEncoder:
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
+        model.encode_special_tokens = plain
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         self.layout = _layout(config)
-        self.special = tuple(x["content"] for x in config.get("added_tokens", []))
+        self.special = () if plain else tuple(x["content"] for x in config.get("added_tokens", []))
         self._ask = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
         if self.layout == "spaced":
             self.leads = np.zeros(model.get_vocab_size(), dtype=bool)

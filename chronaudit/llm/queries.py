@@ -19,6 +19,7 @@ from chronaudit.llm import (
     source_mix,
     token_counts,
     token_files,
+    token_overlap,
     url_rules,
     whitening,
 )
@@ -220,6 +221,15 @@ def op8_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return cross_polytope.near_vectors(_table(spark, folder, "embeddings"), least_cosine=0.98)
 
 
+@_bound("op11_token_overlap")
+def op11_token_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return token_overlap.token_agreement(
+        _table(spark, folder, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 @_bound("op12_spectrum_whitening")
 def op12_spectrum_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(_table(spark, folder, "embeddings"), components=32)
