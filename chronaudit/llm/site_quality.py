@@ -72,8 +72,7 @@ class Classifier:
         """Newton steps with a ridge. With one class only, or no rows, the evidence is zero everywhere."""
         width = x.shape[1]
         if not len(x) or good.min() == good.max():
-            share = float(good.mean()) if len(x) else 0.5
-            return cls(np.zeros(width), np.ones(width), np.zeros(width + 1), min(max(share, 0.01), 0.99))
+            return cls(np.zeros(width), np.ones(width), np.zeros(width + 1), 0.5)
         mean, scale = x.mean(axis=0), x.std(axis=0)
         scale[scale < 1e-9] = 1.0
         z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
@@ -146,21 +145,28 @@ class SiteModel:
     host_strength: float
     path_strength: float
 
-    def posterior(self, scored: DataFrame, host: str, path: str, evidence: str) -> DataFrame:
-        """The rows with ``site_posterior`` and ``posterior``; a document's own part in the sums is taken out."""
+    def posterior(
+        self, scored: DataFrame, host: str, path: str, evidence: str, names: tuple[str, str] = ("site_posterior", "posterior")
+    ) -> DataFrame:
+        """The rows with their site's and their own posterior, under these names.
+
+        A document's own part in the sums is taken out, and its path's part in those of its
+        host, so that nothing counts twice.
+        """
         left, right = scored.alias("d"), self.sites.alias("s")
         same = F.col(f"d.`{host}`").eqNullSafe(F.col("s.site_host")) & F.col(f"d.`{path}`").eqNullSafe(F.col("s.site_path"))
         own = F.col(f"d.`{evidence}`")
         prior = math.log(self.share / (1 - self.share))
         p = 1 / (1 + F.exp(-(own + F.lit(prior))))
-        of_host = (F.lit(self.host_strength * self.share) + F.col("s.host_good") - p) / (
-            F.lit(self.host_strength) + F.col("s.host_n") - 1)
+        others = F.col("s.host_n") - F.col("s.path_n")
+        of_host = (F.lit(self.host_strength * self.share) + F.when(others > 0, F.col("s.host_good") - F.col("s.path_good")).otherwise(0.0)) / (
+            F.lit(self.host_strength) + others)
         of_path = (F.lit(self.path_strength) * of_host + F.col("s.path_good") - p) / (
             F.lit(self.path_strength) + F.col("s.path_n") - 1)
         bounded = F.least(F.lit(0.999), F.greatest(F.lit(0.001), of_path))
         return left.join(right, same).select(
-            "d.*", bounded.alias("site_posterior"),
-            (1 / (1 + F.exp(-(own + F.ln(bounded / (1 - bounded)))))).alias("posterior"),
+            "d.*", bounded.alias(names[0]),
+            (1 / (1 + F.exp(-(own + F.ln(bounded / (1 - bounded)))))).alias(names[1]),
         )
 
 
@@ -193,11 +199,13 @@ def fit_sites(
     host_strength = _strength(hosts, F.lit(share))
     named = hosts.select(
         F.col("host").alias("site_host"), F.col("n").alias("host_n"), F.col("good").alias("host_good"),
-        ((F.lit(host_strength * share) + F.col("good")) / (F.lit(host_strength) + F.col("n"))).alias("host_share"),
     )
+    others = F.col("host_n") - F.col("n")
+    host_share = (F.lit(host_strength * share) + F.when(others > 0, F.col("host_good") - F.col("good")).otherwise(0.0)) / (
+        F.lit(host_strength) + others)
     nested = in_files(
         paths.join(named, F.col("host").eqNullSafe(F.col("site_host")))
-        .select("site_host", F.col("path").alias("site_path"), "n", "good", "host_n", "host_good", "host_share"),
+        .select("site_host", F.col("path").alias("site_path"), "n", "good", "host_n", "host_good", host_share.alias("host_share")),
         "sites",
     )
     path_strength = _strength(nested, F.col("host_share"))
@@ -213,8 +221,10 @@ def judge_quality(
 
     ``labels`` has ids and labels (1 is good); a bounded sample trains the classifier, all
     else covers every row. Null texts count as empty and have the evidence of an empty text;
-    null hosts and paths are sites of their own; repeated rows and null ids are kept. Without
-    usable labels the evidence is zero and every document is kept. Other columns are not read.
+    null hosts and paths are sites of their own; repeated rows and null ids are kept; texts count
+    whole, however long; of equal posteriors all are kept or none. Without labels of both
+    classes the evidence is zero and every document is kept. An empty table gives an empty
+    table. Other columns are not read.
     """
     model, evidence = fit_sites(docs, labels, id_col, text_col, host_col, path_col, label_col)
     return model.posterior(evidence, "host", "path", "evidence").select(
@@ -229,12 +239,13 @@ def keep_good(
     """The rows that ``judge_quality`` keeps, with all their columns.
 
     Evidence is computed again beside the rows, so whole texts are not shuffled by id, and
-    rows that share an id are judged each by its own text.
+    rows that share an id are judged each by its own text. Columns may have any names. Odd
+    rows are judged as ``judge_quality`` says.
     """
     model, _ = fit_sites(docs, labels, id_col, text_col, host_col, path_col, label_col)
     classifier, columns = model.classifier, docs.columns
     taken = {c.lower() for c in columns}
-    names = [next(n for n in (f"{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("evidence_", "host_", "path_")]
+    names = [next(n for n in (f"{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("evidence_", "host_", "path_", "site_", "posterior_")]
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in byte_slices(batches, text_col, SLICE_BYTES):
@@ -243,5 +254,5 @@ def keep_good(
 
     scored = docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType())]))
     scored = scored.withColumns({names[1]: F.col(host_col).cast("string"), names[2]: F.col(path_col).cast("string")})
-    judged = model.posterior(scored, names[1], names[2], names[0])
-    return judged.filter(judged["posterior"] >= keep_from).select([judged[c] for c in columns])
+    judged = model.posterior(scored, names[1], names[2], names[0], (names[3], names[4]))
+    return judged.filter(judged[names[4]] >= keep_from).select([judged[f"`{c}`"] for c in columns])

@@ -7,6 +7,7 @@ import pytest
 from odd_rows import clashing
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chronaudit.llm import site_quality, source_mix, url_rules
 
 
@@ -51,14 +52,19 @@ def test_posteriors_are_those_of_the_hierarchy(spark):
     share = sum(g for _, g in hosts.values()) / len(rows)
     assert model.share == pytest.approx(share)
     k_host = strength(hosts, lambda _: share, len(rows))
-    host_share = {h: (k_host * share + g) / (k_host + n) for h, (n, g) in hosts.items()}
-    k_path = strength(paths, lambda key: host_share[key[0]], len(rows))
+
+    def without(key):
+        """The host's shrunken share, without this path."""
+        n, g = (a - b for a, b in zip(hosts[key[0]], paths[key], strict=True))
+        return (k_host * share + (g if n else 0)) / (k_host + n)
+
+    k_path = strength(paths, without, len(rows))
     assert model.host_strength == pytest.approx(k_host) and model.path_strength == pytest.approx(k_path)
     found = {r["id"]: r for r in model.posterior(evidence, "host", "path", "evidence").collect()}
     for r in rows:
         p = sigmoid(r["evidence"] + math.log(share / (1 - share)))
-        (nh, gh), (np_, gp) = hosts[r["host"]], paths[r["host"], r["path"]]
-        of_host = (k_host * share + gh - p) / (k_host + nh - 1)
+        np_, gp = paths[r["host"], r["path"]]
+        of_host = without((r["host"], r["path"]))
         of_path = min(0.999, max(0.001, (k_path * of_host + gp - p) / (k_path + np_ - 1)))
         assert found[r["id"]]["site_posterior"] == pytest.approx(of_path)
         assert found[r["id"]]["posterior"] == pytest.approx(sigmoid(r["evidence"] + math.log(of_path / (1 - of_path))))
@@ -79,6 +85,19 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert site_quality.keep_good(no_docs, none).collect() == []
 
 
+@pytest.mark.parametrize("labelled", [[(1, 1), (4, 1), (9, 1)], [(1, 0), (4, 0), (9, 0)], [(9, 1)], [(9, 0)], [(None, 1), (1, None)], []])
+def test_labels_of_one_class_say_nothing(spark, odd_docs, tmp_path, labelled):
+    """Only good, only bad, unusable and no labels: evidence is zero, and every row is kept, in the stage as well."""
+    labels = spark.createDataFrame([(i, q, 0) for i, q in labelled], "doc_id bigint, quality int, toxic int")
+    found = site_quality.judge_quality(odd_docs, labels).collect()
+    assert len(found) == odd_docs.count()
+    assert all(r["kept"] and r["evidence"] == 0 and r["posterior"] == 0.5 for r in found)
+    wanted = sorted(map(tuple, odd_docs.collect()), key=str)
+    assert sorted(map(tuple, site_quality.keep_good(odd_docs, labels).collect()), key=str) == wanted
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(map(tuple, corpus_pipeline.quality(spark, odd_docs, str(tmp_path)).collect()), key=str) == wanted
+
+
 def filled(sizes, weights, epochs, total):
     """Water-filling by bisection on the level."""
     low, high = 0.0, 1e12
