@@ -84,7 +84,7 @@ def search(
 ) -> tuple[Best, int]:
     """The k best of a chunk for each query, and how many (query, block) pairs were scored.
 
-    ``own`` has the queries' ids, whose vectors are no candidates for them; ``floor`` a score
+    ``own`` has the queries' own numbers, whose rows are no candidates for them; ``floor`` a score
     that k candidates of the whole table are known to reach (or minus infinity). Candidates
     below the floor may be left out.
     """
@@ -131,17 +131,18 @@ def _cells(k: int):
             is_query = np.asarray(rows["query"])
             if not is_query.any() or is_query.all():
                 continue
-            vectors, names = _matrix(rows["vector"]), np.asarray(rows["id"])
-            places = np.asarray(pc.fill_null(rows["row"], 0))
+            vectors, names, ids = _matrix(rows["vector"]), np.asarray(rows["row"]), np.asarray(rows["id"])
+            numbers, own = names[~is_query], ids[~is_query]  # numbers ascend, as cells are sorted
             floor = np.array([-np.inf if x is None else _below(x) for x in rows["floor"].to_pylist()])[is_query]
             best, _ = search(vectors[is_query], names[is_query], floor, vectors[~is_query], names[~is_query], k)
             r, c = np.nonzero(best.ids != LONGEST)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(places[is_query][r]), pa.array(names[is_query][r]), pa.array(best.ids[r, c]),
+                    pa.array(names[is_query][r]), pa.array(ids[is_query][r]), pa.array(best.ids[r, c]),
+                    pa.array(own[np.searchsorted(numbers, best.ids[r, c])]),
                     pa.array([int(x) for x in best.scores[r, c]], pa.int64()),
                 ],
-                ["row", "query_id", "vec_id", "score"])
+                ["row", "query_id", "other", "vec_id", "score"])
 
     return run
 
@@ -194,9 +195,10 @@ def top_k(
     ``floor(scale * x)`` and the score is the integer inner product (beyond the range of a
     long, its end). Ties go to the smaller id. Null and empty vectors, those with null or
     not finite components, and rows without an id take no part. A vector that is shorter
-    counts as filled up with zeros. Exact repeats of a row count once; rows that share an id
-    with other vectors are rows of their own, and not candidates for each other's queries.
-    Other columns are not read. Queries are a share of the table, so the number of cells of
+    counts as filled up with zeros. Every row counts, however often it is repeated, and is a
+    candidate for all queries but its own: a query's other copies are found too, and each copy
+    of a query has a result of its own. An empty table gives an empty table. Other columns
+    are not read. Queries are a share of the table, so the number of cells of
     the grid, not the size of one, grows with the square of it.
     """
     v = F.col(vector_col)
@@ -206,24 +208,23 @@ def top_k(
         vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & usable & whole)
         .select(
             F.col(id_col).cast("bigint").alias("id"),
-            F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("vector"))
-        .distinct(), "search-vectors")
-    docs = in_files(_numbered(rows, CHUNK, "chunk", ["id", "vector"]), "search-chunks")
-    asked = in_files(_numbered(rows.filter(F.col("id") % every == 0), TILE, "tile", ["id", "vector"]), "search-tiles")
-    asked = asked.withColumn("row", F.xxhash64("id", "vector"))
+            F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("vector")),
+        "search-vectors")
+    # every row has a number; in order of ids, so ties go to the smaller number
+    docs = in_files(_numbered(rows, CHUNK, "chunk", ["id", "vector"]).withColumn("row", F.monotonically_increasing_id()), "search-chunks")
+    asked = in_files(_numbered(docs.drop("chunk").filter(F.col("id") % every == 0), TILE, "tile", ["row"]), "search-tiles")
     n_chunks = docs.agg(F.coalesce(F.max("chunk"), F.lit(0))).first()[0] + 1
     n_tiles = asked.agg(F.coalesce(F.max("tile"), F.lit(0))).first()[0] + 1
 
     def meet(queries: DataFrame, chunks: F.Column, tiles: F.Column) -> DataFrame:
         """Search the cells that rows are sent to."""
-        none = F.lit(None)
         left = docs.select(
-            "chunk", F.explode(tiles).alias("tile"), F.lit(False).alias("query"), none.cast("bigint").alias("row"), "id",
-            "vector", none.cast("bigint").alias("floor"))
+            "chunk", F.explode(tiles).alias("tile"), F.lit(False).alias("query"), "row", "id", "vector",
+            F.lit(None).cast("bigint").alias("floor"))
         right = queries.select(
             F.explode(chunks).alias("chunk"), "tile", F.lit(True).alias("query"), "row", "id", "vector", "floor")
-        cells = left.unionByName(right).repartition("chunk", "tile").sortWithinPartitions("chunk", "tile", "query", "id")
-        return cells.mapInArrow(_cells(k), "row bigint, query_id bigint, vec_id bigint, score bigint")
+        cells = left.unionByName(right).repartition("chunk", "tile").sortWithinPartitions("chunk", "tile", "query", "row")
+        return cells.mapInArrow(_cells(k), "row bigint, query_id bigint, other bigint, vec_id bigint, score bigint")
 
     all_tiles = F.sequence(F.lit(0), F.lit(n_tiles - 1))
     # a first cell for each tile gives scores that k vectors are known to reach
@@ -231,13 +232,13 @@ def top_k(
     start = asked.withColumn("floor", F.lit(None).cast("bigint"))
     served = F.filter(all_tiles, lambda t: t % n_chunks == F.col("chunk"))
     first = in_files(meet(start, F.array(own_chunk), served), "search-first")
-    floors = first.groupBy("row", F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    floors = floors.select("row", "id", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    warm = in_files(asked.join(floors, ["row", "id"], "left"), "search-warm")
+    floors = first.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floors = floors.select("row", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+    warm = in_files(asked.join(floors, "row", "left"), "search-warm")
     others = F.filter(F.sequence(F.lit(0), F.lit(n_chunks - 1)), lambda c: c != own_chunk)
     rest = F.filter(all_tiles, lambda t: t % n_chunks != F.col("chunk"))
     found = first.unionByName(in_files(meet(warm, others, rest), "search-rest"))
-    place = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
+    place = Window.partitionBy("row").orderBy(F.desc("score"), "other")
     return (
         found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

@@ -172,15 +172,16 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_TOP_K = """
 WITH valid AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), scored AS (
-  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v::DOUBLE[], d.v::DOUBLE[]) AS BIGINT) AS score
-  FROM valid q JOIN valid d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+  SELECT q.k, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v::DOUBLE[], d.v::DOUBLE[]) AS BIGINT) AS score
+  FROM valid q JOIN valid d ON q.vec_id % 100 = 0 AND q.k <> d.k
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """

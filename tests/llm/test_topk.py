@@ -2,24 +2,26 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
+from compare import compare
 from odd_rows import clashing
 
-from chronaudit.llm import block_topk
+from chronaudit.llm import block_topk, queries
 
 
 def brute(rows, k, every, scale=1024):
-    usable = {
+    usable = [
         (i, tuple(math.floor(scale * x) for x in v))
         for i, v in rows
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v)
-    }
+    ]
     out = []
-    for q, a in usable:
+    for at, (q, a) in enumerate(usable):
         if q % every:
             continue
-        exact = ((sum(x * y for x, y in zip(a, b)), i) for i, b in usable if i != q)  # noqa: B905
+        exact = ((sum(x * y for x, y in zip(a, b)), i) for j, (i, b) in enumerate(usable) if j != at)  # noqa: B905
         scores = sorted((-max(-(2**63), min(2**63 - 1, s)), i) for s, i in exact)
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
@@ -29,6 +31,7 @@ def rows_of(seed, n, dim):
     draw = np.random.default_rng(seed)
     rows = [(int(i), np.float32(draw.normal(size=dim) * draw.choice([0.1, 1, 3])).tolist()) for i in range(n)]
     rows += [(n + i, rows[i % 7][1]) for i in range(40)]  # ties
+    rows += [(10, rows[10][1])] * 12 + [(10, rows[11][1]), (20, rows[20][1])]  # copies, and another vector under an id
     rows += [(3, rows[3][1]), (None, rows[0][1]), (5000, None), (5100, []), (5200, [None] * dim), (5300, [math.nan] * dim),
              (5400, [-math.inf] + [0.0] * (dim - 1)), (5500, [1.5, -2.5]), (5600, [0.0] * dim), (-10, rows[5][1])]
     return rows
@@ -46,6 +49,18 @@ def test_top_k(spark, monkeypatch, block, chunk, tile):
     assert sorted(map(tuple, found.collect())) == brute(rows, 10, 10)
 
 
+def test_repeated_rows_are_candidates(spark):
+    """Every row but the query's own."""
+    rows = [(100, [1.0]), (100, [1.0]), (1, [1.0]), (1, [1.0]), (2, [0.5])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted(map(tuple, block_topk.top_k(table).collect()))
+    assert found == brute(rows, 10, 100) and len(found) == 8
+    assert [r[2] for r in found[::2]] == [1, 1, 100, 2]
+    db = duckdb.connect()
+    db.register("embeddings", table.toArrow())
+    assert compare(block_topk.top_k(table), db, queries.SQL_TOP_K) == []
+
+
 def test_few_and_no_rows(spark):
     rows = [(100, [1.0, 2.0]), (1, [0.5, 0.5])]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
