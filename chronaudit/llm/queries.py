@@ -85,7 +85,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 SQL_MIX = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS size,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS draw
   FROM documents
 ), weighed AS (
   SELECT source, source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
@@ -107,7 +107,7 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
 ), placed AS (
   SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS quota,
-         sum(size) OVER (PARTITION BY sized.source ORDER BY draw, size ROWS UNBOUNDED PRECEDING) - size AS ahead
+         sum(size) OVER (PARTITION BY sized.source ORDER BY draw ROWS UNBOUNDED PRECEDING) - size AS ahead
   FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
