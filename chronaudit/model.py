@@ -41,15 +41,13 @@ ISSUE_SCHEMA = T.StructType([
 class EventRule:
     """A follow-up to an event must carry a flag (``missing_flag_after_event``).
 
-    Without ``tie_break`` rows of one date are in order of all their columns. The more rows
-    a key may have, the shorter ``stretch`` should be (``with_neighbours``).
+    Without ``tie_break`` rows of one date are in order of all their columns.
     """
 
     type_col: str
     event_value: str
     flag_col: str
     tie_break: Sequence[str] = ()
-    stretch: str = "month"
 
 
 @dataclass(frozen=True)

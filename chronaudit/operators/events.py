@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronaudit.functions.predicates import is_set
-from chronaudit.operators.ordered import with_neighbours
+from chronaudit.operators.ordered import free_names, neighbours
 
 
 def missing_flag_after_event(
@@ -20,34 +20,34 @@ def missing_flag_after_event(
     event_value: str,
     flag_col: str,
     tie_break: Sequence[str] = (),
-    stretch: str | Column = "month",
 ) -> DataFrame:
     """An event's next row without its flag, together with the event itself.
 
     Each key's latest row is not judged. A row that is both a faulty follow-up and
     an event with a faulty follow-up appears once. Rows that share a date are in order of
     ``tie_break``, or of all other columns if none is given, so that only one of them is
-    the latest; rows that are equal in all columns are one event. ``stretch`` is explained
-    at ``with_neighbours``.
+    the latest; rows that are equal in all columns are one event. Columns may have any names.
     """
-    tie_break = list(tie_break) or [c for c in df.columns if c not in (key, date_col)]
-    near = with_neighbours(df, key, date_col, tie_break, [type_col, flag_col], stretch)
-    order = [date_col, *tie_break]
+    order = [date_col, *(list(tie_break) or [c for c in df.columns if c not in (key, date_col)])]
+    near = neighbours(df, key, order, [type_col, flag_col])
 
-    def position(of=None):
-        return F.struct(*[F.col(c if of is None else f"{of}.{c}") for c in order])
+    def field(of: str, name: str) -> Column:
+        return F.col(of).getField(name)
+
+    def position(of: str) -> Column:
+        return F.struct(*[field(of, c) for c in order])
 
     last = position("latest")
     faulty = (
-        (F.col(f"previous.{type_col}") == event_value) & ~is_set(F.col(flag_col)) & (position() != last)
+        (field("previous", type_col) == event_value) & ~is_set(field("row", flag_col)) & (position("row") != last)
     )
     leads_to_faulty = (
-        (F.col(type_col) == event_value)
+        (field("row", type_col) == event_value)
         & F.col("next").isNotNull()
-        & ~is_set(F.col(f"next.{flag_col}"))
+        & ~is_set(field("next", flag_col))
         & (position("next") != last)
     )
-    return near.where(is_set(faulty) | is_set(leads_to_faulty)).select(*df.columns)
+    return near.where(is_set(faulty) | is_set(leads_to_faulty)).select("row.*")
 
 
 def date_gaps(df: DataFrame, group: str, date_col: str, first_gap: int = 1) -> DataFrame:
@@ -149,23 +149,27 @@ def irregular_gaps(
     the others gap 0. The first is that by ``order_by``, then the date and the other columns; of
     rows that are equal in all columns one is the first. The gaps are found on one row per
     group and date; only flagged days are joined back, and Spark splits a hot day on that
-    join. The first rows of those days are a minimum, combined before the shuffle.
+    join. The first rows of those days are a minimum, combined before the shuffle. Where the
+    table has a column weekday or diff_days, the new one gets an underscore behind its name.
     """
+    packed = df.select(
+        F.col(group).alias("group"), F.to_date(date_col).alias("day"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     bad = (
-        _with_verdict(date_gaps(df, group, date_col, first_gap), holidays, holiday_col)
+        _with_verdict(date_gaps(packed, "group", "day", first_gap), holidays, holiday_col)
         .where(F.col("gap_bad") | F.col("repeat_bad"))
-        .withColumnRenamed("rdate", "_day")
-        .drop("n_rows", "after_holiday", "after_long_weekend")
+        .select("group", F.col("rdate").alias("day"), "gap_bad", "repeat_bad", "diff_days")
     )
-    order = list(dict.fromkeys([*order_by, date_col, *df.columns]))
-    verdict = ["_day", "gap_bad", "repeat_bad", "diff_days"]
-    flagged = df.withColumn("_day", F.to_date(date_col)).join(bad, [group, "_day"])
-    same = flagged.groupBy(*df.columns, *verdict).agg(F.count(F.lit(1)).alias("_n"))
-    first = same.groupBy(group, "_day").agg(F.min(F.struct(*order)).alias("_first"))
-    marked = same.join(first, [group, "_day"]).withColumn("_is_first", F.struct(*order).eqNullSafe(F.col("_first")))
+    order = F.struct(*[F.col("row").getField(c) for c in dict.fromkeys([*order_by, date_col, *df.columns])])
+    flagged = packed.join(bad, ["group", "day"])
+    same = flagged.groupBy("row", *bad.columns).agg(F.count(F.lit(1)).alias("n"))
+    first = same.groupBy("group", "day").agg(F.min(order).alias("first"))
+    marked = same.join(first, ["group", "day"]).withColumn("is_first", order.eqNullSafe(F.col("first")))
+    none = F.array().cast("array<int>")
     gaps = F.concat(
-        F.when(F.col("_is_first") & F.col("gap_bad"), F.array("diff_days")).otherwise(F.array().cast("array<int>")),
-        F.when(F.col("repeat_bad"), F.array_repeat(F.lit(0), (F.col("_n") - F.col("_is_first").cast("int")).cast("int")))
-        .otherwise(F.array().cast("array<int>")),
+        F.when(F.col("is_first") & F.col("gap_bad"), F.array("diff_days")).otherwise(none),
+        F.when(F.col("repeat_bad"), F.array_repeat(F.lit(0), (F.col("n") - F.col("is_first").cast("int")).cast("int")))
+        .otherwise(none),
     )
-    return marked.select(*df.columns, F.weekday("_day").alias("weekday"), F.explode(gaps).alias("diff_days"))
+    weekday, diff_days = free_names(df.columns, "weekday", "diff_days")
+    return marked.select("row", F.weekday("day").alias("weekday"), F.explode(gaps).alias("gap")).select(
+        "row.*", F.col("weekday").alias(weekday), F.col("gap").alias(diff_days))

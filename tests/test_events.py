@@ -8,7 +8,7 @@ from helpers import frame, rows
 from pyspark.sql import functions as F
 
 from chronaudit import irregular_gap_days, irregular_gaps, missing_flag_after_event
-from chronaudit.operators.ordered import drop_latest, first_per_group, last_per_group, with_neighbours
+from chronaudit.operators.ordered import drop_latest, first_per_group, last_per_group, neighbours, with_neighbours
 
 EVENTS = "fsym_id string, exdate date, seq int, div_type string, div_initiation boolean"
 
@@ -89,32 +89,99 @@ def test_missing_flag_matches_brute_force(spark, seed):
     assert flagged(spark, shuffled) == flagged(spark, events)
 
 
-@pytest.mark.parametrize("stretch", ["month", "year", "week", "day"])
-def test_neighbours_match_a_plain_order(spark, stretch):
-    events = random_events(3, list("ab"), 300) + [("a", None, 900, R, None), ("a", None, 901, R, None)]
-    near = with_neighbours(
-        frame(spark, EVENTS, events), "fsym_id", "exdate", "seq", carry="div_type", stretch=stretch
-    )
-    got = {
+@pytest.fixture
+def conf(spark):
+    """Settings for one test."""
+    kept = {}
+
+    def put(name, value):
+        kept.setdefault(name, spark.conf.get(name, None))
+        spark.conf.set(name, value)
+
+    yield put
+    for name, value in kept.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def near_rows(spark, events):
+    near = with_neighbours(frame(spark, EVENTS, events), "fsym_id", "exdate", "seq", carry="div_type")
+    return {
         r["seq"]: (r["previous"] and r["previous"]["seq"], r["next"] and r["next"]["seq"], r["latest"]["seq"])
         for r in near.collect()
     }
+
+
+@pytest.mark.parametrize("ranges, batch", [(1, 10_000), (3, 7), (8, 1), (64, 2), (200, 10_000)])
+def test_neighbours_match_a_plain_order(spark, conf, ranges, batch):
+    """Also where ranges and batches end within keys, between them, and after every row."""
+    conf("spark.sql.shuffle.partitions", ranges)
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    events = random_events(3, list("ab"), 300) + [("a", None, 900, R, None), ("a", None, 901, R, None)]
+    events += [(f"key{i}", date(2020, 1, 1), 1000 + i, R, None) for i in range(60)]
     want = {}
     for key in {e[0] for e in events}:
         own = sorted((e for e in events if e[0] == key), key=lambda e: (e[1] or date.min, e[2]))
         seqs = [e[2] for e in own]
         for i, s in enumerate(seqs):
             want[s] = (seqs[i - 1] if i else None, seqs[i + 1] if i + 1 < len(seqs) else None, seqs[-1])
-    assert got == want
-
-
-def test_neighbours_within_one_hot_day(spark):
-    day_rows = [("hot", date(2020, 1, 1), i, R, None) for i in range(400)]
-    near = with_neighbours(
-        frame(spark, EVENTS, day_rows), "fsym_id", "exdate", "seq", stretch=F.floor(F.col("seq") / 50)
-    )
-    got = {r["seq"]: (r["previous"] and r["previous"]["seq"], r["next"] and r["next"]["seq"]) for r in near.collect()}
-    assert got == {i: (i - 1 if i else None, i + 1 if i < 399 else None) for i in range(400)}
+    assert near_rows(spark, events + [(None, date(2020, 1, 1), 5000, R, None)]) == want
+    assert near_rows(spark, []) == {}
+
+
+def test_neighbours_within_one_hot_day(spark, conf):
+    """A key with all rows on one day is spread over many ranges, whose sizes are alike."""
+    conf("spark.sql.shuffle.partitions", 20)
+    day_rows = [("hot", date(2020, 1, 1), i, R, None) for i in range(4000)]
+    found = near_rows(spark, day_rows)
+    assert found == {i: (i - 1 if i else None, i + 1 if i < 3999 else None, 3999) for i in range(4000)}
+    table = frame(spark, EVENTS, day_rows)
+    sizes = neighbours(table, "fsym_id", ["exdate", "seq"]).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 15 and max(r["count"] for r in sizes) < 600
+
+
+def test_rows_are_shuffled_once(spark):
+    """One exchange of whole rows, which the ends of ranges are read from as well; no window over keys."""
+    table = frame(spark, EVENTS, random_events(3, list("ab"), 300))
+    found = missing_flag_after_event(table, "fsym_id", "exdate", "div_type", "suspension", "div_initiation", ["seq"])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("rangepartitioning") == 2 and "ReusedExchange" in plan  # once, and where it is named again
+    assert "hashpartitioning" not in plan and "Window" in plan
+
+
+def test_keys_of_several_columns_and_kinds(spark, conf):
+    conf("spark.sql.shuffle.partitions", 5)
+    schema = "a string, b double, c array<int>, d int"
+    events = [("x", float("nan"), [1], 3), ("x", float("nan"), [1], 1), ("x", 1.0, [1], 2), ("x", 1.0, [2], 4), ("y", 1.0, [2], 5),
+              ("x", float("nan"), [1], 7), ("x", None, [1], 8)]
+    near = with_neighbours(spark.createDataFrame(events, schema), ["a", "b", "c"], "d")
+    got = {r["d"]: (r["previous"] and r["previous"]["d"], r["next"] and r["next"]["d"], r["latest"]["d"]) for r in near.collect()}
+    assert got == {1: (None, 3, 7), 3: (1, 7, 7), 7: (3, None, 7), 2: (None, None, 2), 4: (None, None, 4), 5: (None, None, 5)}
+
+
+CLASHES = ["previous", "next", "latest", "row", "key", "near", "range", "diff_days", "gap_bad", "_n", "_day", "weekday", "n", "day", "group",
+           "first", "is_first", "rdate", "n_rows", "_row", "a.b"]
+
+
+def test_columns_may_have_any_names(spark):
+    """Extra columns named like the operators' own change nothing and come back as they were."""
+    events = random_events(1, list("abc"), 200)
+    plain = frame(spark, EVENTS, events)
+    wide = plain.withColumns({c: F.lit(f"<{c}>") for c in CLASHES})
+    args = "fsym_id", "exdate", "div_type", "suspension", "div_initiation", ["seq"]
+    found = missing_flag_after_event(wide, *args)
+    assert found.columns == wide.columns
+    assert rows(found.select(plain.columns)) == rows(missing_flag_after_event(plain, *args))
+    assert {r["a.b"] for r in found.collect()} == {"<a.b>"}
+
+    near = with_neighbours(wide, "fsym_id", "exdate", "seq")
+    assert near.columns == [*wide.columns, "previous_", "next_", "latest_"]
+    gaps = irregular_gaps(wide, "fsym_id", "exdate", order_by=["seq"])
+    assert gaps.columns == [*wide.columns, "weekday_", "diff_days_"]
+    wanted = irregular_gaps(plain, "fsym_id", "exdate", order_by=["seq"])
+    assert rows(gaps.select(*plain.columns, "weekday_", "diff_days_")) == rows(wanted)
+    assert rows(drop_latest(wide, "fsym_id", ["exdate", "seq"]).select(plain.columns)) == rows(drop_latest(plain, "fsym_id", ["exdate", "seq"]))
+    assert rows(last_per_group(wide, "fsym_id", ["exdate", "seq"]).select(plain.columns)) == rows(last_per_group(plain, "fsym_id", ["exdate", "seq"]))
 
 
 def test_first_last_and_drop_latest(spark):
