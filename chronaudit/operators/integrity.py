@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from chronaudit.model import TableSpec
 from chronaudit.operators.calendar import Calendar
+from chronaudit.operators.ordered import free_names
+from chronaudit.operators.prefilter import may_be_in
 from chronaudit.operators.rollup import cutoff
 
 
@@ -69,21 +71,50 @@ def orphan_ids(df: DataFrame, ref: DataFrame, key: str, ref_key: str | None = No
     return difference(df.select(key), ref.select(ref_key or key))
 
 
+def _without_partner(left: DataFrame, keys: Sequence[str], known: DataFrame, null_safe: bool) -> DataFrame:
+    """Rows of left whose keys are not among those known.
+
+    First the distinct keys of left alone meet the known ones. What is left of them makes a
+    Bloom filter, which drops nearly all rows that have a partner while they are scanned;
+    only the others are shuffled to meet the unknown keys themselves.
+    """
+    marked = [f"_k{i}" for i in range(len(keys))]
+    own = left.select(*[F.col(k).alias(m) for k, m in zip(keys, marked, strict=True)])
+    if not null_safe:
+        own = own.dropna()
+    found = known.toDF(*[f"_known{i}" for i in range(len(keys))]).distinct()
+
+    def met(names: Sequence[str], others: Sequence[str]):
+        pairs = [(F.col(a), F.col(b)) for a, b in zip(names, others, strict=True)]
+        return reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
+
+    unknown = own.distinct().join(found, met(marked, found.columns), "left_anti")
+    (row,) = free_names([*keys, *marked], "_row")
+    packed = left.select(
+        F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias(row), *[F.col(k).alias(f"{m}_") for k, m in zip(keys, marked, strict=True)])
+    own_keys = [f"{m}_" for m in marked]
+    suspects = packed.where(may_be_in(unknown, [F.col(c) for c in own_keys]))
+    orphans = suspects.join(unknown, met(own_keys, marked), "left_semi")
+    if not null_safe:  # null keys never match, so their rows need no partner to be looked for
+        absent = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in own_keys])
+        orphans = orphans.unionByName(packed.where(absent))
+    return orphans.select(f"{row}.*")
+
+
 def orphan_rows(df: DataFrame, ref: DataFrame, key: str, ref_key: str | None = None) -> DataFrame:
-    """Whole rows whose id the reference table lacks; a null id matches a null id."""
-    known = ref.select(F.col(ref_key or key).alias("_known")).distinct()
-    return df.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+    """Whole rows whose id the reference table lacks; a null id matches a null id.
+
+    Rows are read twice, the first time for their ids alone; only rows without a partner, and
+    the few that a filter takes for such, are shuffled.
+    """
+    return _without_partner(df, [key], ref.select(ref_key or key), null_safe=True)
 
 
 def unmatched_events(
     left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """Rows of left without a partner in right; null keys never match."""
-    right_keys = right_keys or left_keys
-    marked = [f"_k{i}" for i in range(len(right_keys))]
-    keys = right.select(*[F.col(k).alias(m) for k, m in zip(right_keys, marked)]).distinct()
-    match = [F.col(k) == F.col(m) for k, m in zip(left_keys, marked)]
-    return left.join(keys, reduce(lambda a, b: a & b, match), "left_anti")
+    """Rows of left without a partner in right; null keys never match. Shuffles as ``orphan_rows``."""
+    return _without_partner(left, list(left_keys), right.select(*(right_keys or left_keys)), null_safe=False)
 
 
 def row_mismatch(

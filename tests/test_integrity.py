@@ -1,6 +1,7 @@
 from datetime import date
 
 from helpers import frame, rows
+from pyspark.sql import functions as F
 
 from chronaudit import (
     TableSpec,
@@ -13,6 +14,7 @@ from chronaudit import (
     unmatched_events,
 )
 from chronaudit.operators.integrity import difference, intersection
+from chronaudit.operators.prefilter import key_words, may_be_in
 
 
 def ids(spark, *values):
@@ -46,6 +48,64 @@ def test_unmatched_events_never_match_null(spark):
     assert rows(unmatched_events(left, right, ["k", "d"])) == [(None, date(2021, 1, 1)), ("a", date(2021, 1, 2))]
 
 
+def test_no_partner_is_lost_or_invented(spark):
+    """Many keys, also more than the filter has room for, against plain anti-joins."""
+    left = spark.range(30_000).selectExpr("if(id % 3 = 0, 77, id) as k", "if(id % 50 = 0, null, cast(id % 9 as string)) as g", "id as n")
+    right = spark.range(0, 60_000, 7).selectExpr("id as k", "cast(id % 9 as string) as g")
+    want = left.join(right.distinct(), ["k", "g"], "left_anti").select("k", "g", "n")
+    assert rows(unmatched_events(left, right, ["k", "g"])) == rows(want)
+    assert rows(orphan_rows(left, right, "k")) == rows(left.join(right.select("k").distinct(), "k", "left_anti"))
+
+
+def test_filter_keeps_all_keys_and_drops_most_others(spark):
+    keys = spark.range(2000).selectExpr("id * 3 as k", "if(id = 5, null, cast(id as string)) as s")
+    for words, most in ((1 << 16, 30), (64, 4000), (1, 4000)):
+        seen = may_be_in(keys, [F.col("k"), F.col("s")], words)
+        assert keys.where(seen).count() == 2000
+        others = spark.range(4000).selectExpr("id * 3 + 1 as k", "cast(id as string) as s")
+        assert others.where(seen).count() <= most
+    assert spark.range(10).where(may_be_in(spark.range(0), [F.col("id")])).count() == 0
+
+
+def test_filters_of_parts_merge(spark):
+    keys = spark.range(5000)
+    parts = key_words(keys.where("id % 2 = 0")).unionByName(key_words(keys.where("id % 2 = 1")))
+    merged = parts.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    assert rows(merged) == rows(key_words(keys))
+
+
+def test_filter_lies_under_the_shuffle(spark, tmp_path):
+    """Rows meet the filter while they are scanned, and only then are dealt out."""
+    for name, df in (("a", spark.range(5000).selectExpr("id as k", "id as n")), ("b", spark.range(4990).selectExpr("id as k"))):
+        df.write.parquet(str(tmp_path / name))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (orphan_rows(a, b, "k"), unmatched_events(a, b, ["k"])):
+            assert sorted(r["n"] for r in found.collect()) == list(range(4990, 5000))
+            lines = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+            filtered = next(i for i, x in enumerate(lines) if "Filter" in x and "subquery" in x.lower())
+            assert any("Exchange hashpartitioning" in x for x in lines[:filtered])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_types_of_keys_may_differ(spark):
+    left = frame(spark, "k int, n int", [(1, 1), (2, 2), (None, 3)])
+    right = frame(spark, "k bigint", [(1,), (None,)])
+    assert rows(orphan_rows(left, right, "k")) == [(2, 2)]
+    assert rows(unmatched_events(left, right, ["k"])) == [(None, 3), (2, 2)]
+
+
+def test_orphans_of_columns_with_any_names(spark):
+    table = frame(spark, "fsym_id string, n int", [("a", 1), ("b", 3), (None, 4)])
+    wide = table.withColumns({c: F.lit(c) for c in ("_k0", "_k0_", "_row", "_known0", "word", "bits", "mask")})
+    found = orphan_rows(wide, ids(spark, "b"), "fsym_id")
+    assert found.columns == wide.columns and rows(found.select("fsym_id", "n")) == [(None, 4), ("a", 1)]
+    assert unmatched_events(wide, ids(spark, "b"), ["fsym_id"]).columns == wide.columns
+
+
 def test_null_rows(spark):
     table = frame(spark, "a string, b int", [("x", 1), (None, 2), (None, None)])
     assert rows(null_rows(table, "a")) == [(None, None), (None, 2)]
