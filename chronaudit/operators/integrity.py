@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronaudit.model import TableSpec
@@ -117,6 +117,42 @@ def unmatched_events(
     return _without_partner(left, list(left_keys), right.select(*(right_keys or left_keys)), null_safe=False)
 
 
+#: Buckets of keys whose digests are compared, first coarse and then fine.
+LEVELS = (1 << 8, 1 << 16)
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+def _digests(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], buckets: int) -> DataFrame:
+    """Per bucket of keys the number of rows and sums of their hashes, whatever their order.
+
+    Two hashes of 64 bits are summed by halves, which no number of rows overflows. Hashes
+    pass over nulls, so which columns are null is hashed too.
+    """
+    hashed = [*cols, *[F.col(c).isNull() for c in cols]]
+    halves = []
+    for seed in (F.lit(1), F.lit("2")):
+        h = F.xxhash64(seed, *hashed)
+        halves += [h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)]
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(halves)]
+    return rows.groupBy(_bucket(keys, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def _differing(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str], buckets: int) -> DataFrame:
+    """The buckets whose rows are not the same in both; there are no more than ``buckets``."""
+    digests = (_digests(x, keys, cols, buckets).withColumn("side", F.lit(side)) for side, x in enumerate((a, b)))
+    both = reduce(DataFrame.unionByName, digests)
+    sums = [c for c in both.columns if c not in ("bucket", "side")]
+    apart = reduce(lambda x, y: x | y, [F.min(c) != F.max(c) for c in sums])
+    return both.groupBy("bucket").agg((apart | (F.count(F.lit(1)) < 2)).alias("apart")).where("apart").select("bucket")
+
+
+def _in_buckets(rows: DataFrame, keys: Sequence[str], found: DataFrame, buckets: int) -> DataFrame:
+    return rows.join(F.broadcast(found), _bucket(keys, buckets) == F.col("bucket"), "left_semi")
+
+
 def row_mismatch(
     a: DataFrame,
     b: DataFrame,
@@ -129,12 +165,30 @@ def row_mismatch(
     Null differs from null unless ``null_equal``. A row of b that a lacks differs. Keys
     are matched with null as a value; where a has a key repeatedly, a row of b differs if
     none of those rows equals it. Every row of b is returned once at most.
+
+    Buckets of keys are compared by digests first: 256 of them, then 65,536 within those that
+    differ. Only rows in fine buckets that differ are shuffled and joined; tables that are
+    equal move digests alone. Where types of the columns differ between the tables, which
+    digests cannot tell from other values, all rows are joined.
     """
     keys = [key] if isinstance(key, str) else list(key)
     compare = list(compare or [c for c in a.columns if c not in keys and c in b.columns])
-    other = a.select(*[F.col(c).alias(f"_a_{c}") for c in [*keys, *compare]]).distinct()
-    met = [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in keys]
-    met += [
-        F.col(c).eqNullSafe(F.col(f"_a_{c}")) if null_equal else F.col(c) == F.col(f"_a_{c}") for c in compare
-    ]
-    return b.join(other, reduce(lambda x, y: x & y, met), "left_anti")
+    given = [*keys, *compare]
+    cols = [f"_c{i}" for i in range(len(given))]
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(given, cols, strict=True)]
+    other, mine = a.select(*own), b.select(F.struct(*[F.col(f"`{c}`") for c in b.columns]).alias("_row"), *own)
+    kinds = [[x.schema[c].dataType for c in given] for x in (a, b)]
+    never = []  # rows with a null that equals nothing
+    if not null_equal and compare:
+        absent = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in cols[len(keys) :]])
+        never = [mine.where(absent)]
+        other, mine = other.where(~absent), mine.where(~absent)
+    if kinds[0] == kinds[1]:
+        own_keys = cols[: len(keys)]
+        for buckets in LEVELS:
+            found = _differing(other, mine.select(*cols), own_keys, cols, buckets)
+            other, mine = _in_buckets(other, own_keys, found, buckets), _in_buckets(mine, own_keys, found, buckets)
+    renamed = other.toDF(*[f"_a{i}" for i in range(len(cols))]).distinct()
+    met = [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(cols, renamed.columns, strict=True)]
+    differing = mine.join(renamed, reduce(lambda x, y: x & y, met), "left_anti")
+    return reduce(DataFrame.unionByName, [differing, *never]).select("_row.*")

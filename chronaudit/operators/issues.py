@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronaudit.functions.dates import iso_text
 from chronaudit.functions.predicates import in_month, in_period
@@ -22,6 +21,7 @@ from chronaudit.model import (
     SIZE_JUMP,
 )
 from chronaudit.operators.calendar import single_row
+from chronaudit.operators.ordered import numbered
 
 # Messages of the per-date verdict.
 VERDICT_NO_DATA = "no data"
@@ -176,7 +176,8 @@ def join_by_date(frames: Mapping[str, DataFrame], date_col: str = "rdate", repea
     without a date stay apart, each table's own. A date that occurs twice within a table
     is an error, unless ``repeats`` asks for all rows: those of one date are then numbered
     within their table, in order of their columns, and rows of the same number stand side
-    by side, with the number as ``n``. All rows of a date and table are numbered in one task.
+    by side, with the number as ``n``. Numbers are given in ranges of the rows (``numbered``),
+    so a date with many rows is spread over many tasks, as are the rows without a date.
     """
     tagged, columns = [], []
     for name, df in frames.items():
@@ -195,9 +196,8 @@ def join_by_date(frames: Mapping[str, DataFrame], date_col: str = "rdate", repea
     undated = F.when(F.col("rdate").isNull(), F.col("_from")).alias("_undated")
     cells = [F.max(c).alias(c) for c in columns]
     if repeats:
-        within = Window.partitionBy("rdate", "_from").orderBy(*(columns or ["_from"]))
-        numbered = stacked.withColumn("n", F.row_number().over(within))
-        return numbered.groupBy("rdate", undated, "n").agg(*cells).select("rdate", "n", *columns)
+        placed = numbered(stacked, ["rdate", "_from"], columns, "n").withColumn("n", F.col("n").cast("int"))
+        return placed.groupBy("rdate", undated, "n").agg(*cells).select("rdate", "n", *columns)
     counts = [F.count_if(F.col("_from") == n).alias(f"_n{i}") for i, n in enumerate(frames)]
     joined = stacked.groupBy("rdate", undated).agg(*cells, *counts)
     repeated = F.greatest(*[F.col(f"_n{i}") for i in range(len(frames))], F.lit(0))

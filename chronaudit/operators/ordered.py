@@ -135,11 +135,8 @@ def neighbours(
     )
 
 
-def _reader(ends: bool):
-    """Reads a range from its end: its rows with their neighbours within it, or its ends.
-
-    It needs nothing of this package where it runs.
-    """
+def _starts():
+    """A function for workers, which need nothing of this package for it."""
 
     def starts(keys):
         """Where a key is not the one before; the first is always taken for a new one."""
@@ -153,12 +150,87 @@ def _reader(ends: bool):
             if pa.types.is_nested(part.type):
                 same &= np.array([x == y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], dtype=bool)
                 continue
-            equal = pc.equal(a, b)
+            equal = pc.fill_null(pc.equal(a, b), False)
             if pa.types.is_floating(part.type):
-                equal = pc.or_(equal, pc.and_(pc.is_nan(a), pc.is_nan(b)))
-            same &= equal.to_numpy(zero_copy_only=False)
+                equal = pc.or_(equal, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+            same &= pc.or_(equal, pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
         return np.concatenate((np.ones(min(len(keys), 1), dtype=bool), ~same))
 
+    return starts
+
+
+def numbered(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str, name: str) -> DataFrame:
+    """The rows with their number within their key, from 1, in the given order; null is a key.
+
+    Rows are dealt out by ranges of key and order and counted in each; a key that goes on from
+    earlier ranges starts behind their rows of it. So a hot key is counted in many tasks. One
+    row for each range is gathered in one task and broadcast. Rows that agree in keys and
+    order lie in one range, and are numbered in any order.
+    """
+    keys, order = _names(keys), _names(order)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.struct(*keys).alias("key"))
+    place = [F.col("key"), *[F.col("row").getField(c) for c in order]]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = packed.repartitionByRange(n, *place).withColumn("range", F.spark_partition_id()).sortWithinPartitions(*place)
+    kinds = {f.name: f.dataType for f in ranged.schema}
+
+    def schema(**columns: T.DataType) -> T.StructType:
+        return T.StructType([T.StructField(c, kind) for c, kind in columns.items()])
+
+    rows = ranged.mapInArrow(_counter(ends=False), schema(
+        row=kinds["row"], range=kinds["range"], place=T.LongType(), first_key=T.BooleanType()))
+    ends = ranged.mapInArrow(_counter(ends=True), schema(
+        range=kinds["range"], first=kinds["key"], last=kinds["key"], held=T.LongType()))
+    by_range = Window.orderBy("range")
+    goes_on = F.lag("last").over(by_range).eqNullSafe(F.col("first")) & F.lag("range").over(by_range).isNotNull()
+    begun = F.when(goes_on & F.col("first").eqNullSafe(F.col("last")), 0).otherwise(1)  # the last key begins in this range
+    ends = ends.select("range", "held", goes_on.alias("goes_on"), begun.alias("begun"))
+    ends = ends.withColumn("key_no", F.sum("begun").over(by_range))
+    ends = ends.withColumn("so_far", F.sum("held").over(Window.partitionBy("key_no").orderBy("range")))
+    offsets = ends.select("range", F.when(F.col("goes_on"), F.lag("so_far").over(by_range)).otherwise(0).alias("offset"))
+    counted = rows.join(F.broadcast(offsets), "range")
+    return counted.select("row.*", (F.col("place") + F.when(F.col("first_key"), F.col("offset")).otherwise(0)).alias(name))
+
+
+def _counter(ends: bool):
+    """Numbers a range's rows within their keys, or tells its first and last key and how many rows the last one has."""
+    starts = _starts()
+
+    def count(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        first = last = None
+        held, on_first = 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key")
+            new = starts(keys if last is None else pa.concat_arrays([last, keys]))
+            new = new if last is None else new[1:]
+            begins = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            place = np.where(begins < 0, held + np.arange(len(new)), np.arange(len(new)) - begins) + 1
+            own = on_first & (np.cumsum(new) <= (first is None))
+            if not ends:
+                columns = [batch.column("row"), batch.column("range"), pa.array(place), pa.array(own)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "range", "place", "first_key"])
+            first = batch.slice(0, 1) if first is None else first
+            last, held, on_first = keys.slice(len(keys) - 1, 1), int(place[-1]), bool(own[-1])
+        if ends and first is not None:
+            columns = [first.column("range"), first.column("key"), last, pa.array([held])]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "first", "last", "held"])
+
+    return count
+
+
+def _reader(ends: bool):
+    """Reads a range from its end: its rows with their neighbours within it, or its ends.
+
+    It needs nothing of this package where it runs.
+    """
+
+    starts = _starts()
+
     def ahead(batches):
         """Each batch with the first row of the one after it, if there is one."""
         last = None

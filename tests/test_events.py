@@ -8,7 +8,7 @@ from helpers import frame, rows
 from pyspark.sql import functions as F
 
 from chronaudit import irregular_gap_days, irregular_gaps, missing_flag_after_event
-from chronaudit.operators.ordered import drop_latest, first_per_group, last_per_group, neighbours, with_neighbours
+from chronaudit.operators.ordered import drop_latest, first_per_group, last_per_group, neighbours, numbered, with_neighbours
 
 EVENTS = "fsym_id string, exdate date, seq int, div_type string, div_initiation boolean"
 
@@ -159,6 +159,26 @@ def test_keys_of_several_columns_and_kinds(spark, conf):
     assert got == {1: (None, 3, 7), 3: (1, 7, 7), 7: (3, None, 7), 2: (None, None, 2), 4: (None, None, 4), 5: (None, None, 5)}
 
 
+@pytest.mark.parametrize("ranges, batch", [(1, 10_000), (3, 7), (8, 1), (40, 2)])
+def test_numbers_within_keys(spark, conf, ranges, batch):
+    conf("spark.sql.shuffle.partitions", ranges)
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    values = [("hot" if i % 3 else None, i % 5 if i % 7 else None, i) for i in range(300)] + [(f"k{i}", 1, 1000 + i) for i in range(40)]
+    table = spark.createDataFrame(values, "a string, b int, i int")
+    want = []
+    for key in {v[:2] for v in values}:
+        want += [(*key, i, n) for n, (_, _, i) in enumerate(sorted((v for v in values if v[:2] == key), key=lambda v: v[2]), 1)]
+    assert rows(numbered(table, ["a", "b"], ["i"], "no")) == rows_of(want)
+    assert numbered(table.limit(0), ["a", "b"], ["i"], "no").collect() == []
+
+
+def test_a_hot_key_is_numbered_in_many_tasks(spark, conf):
+    conf("spark.sql.shuffle.partitions", 20)
+    table = spark.range(6000).selectExpr("if(id % 3 = 0, 0, id) as k", "id")
+    sizes = numbered(table, "k", "id", "no").where("k = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 6 and max(r["count"] for r in sizes) < 700
+
+
 CLASHES = ["previous", "next", "latest", "row", "key", "near", "range", "diff_days", "gap_bad", "_n", "_day", "weekday", "n", "day", "group",
            "first", "is_first", "rdate", "n_rows", "_row", "a.b"]
 

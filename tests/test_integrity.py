@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from helpers import frame, rows
 from pyspark.sql import functions as F
 
@@ -126,6 +127,75 @@ def test_row_mismatch_with_null_and_repeated_keys(spark):
     assert rows(row_mismatch(old, new, "k")) == [(None, "m"), (1, "w")]
 
 
+def both_tables(spark, n):
+    """Two tables of n rows that differ here and there, with nulls, repeated keys and rows on one side only."""
+    a = spark.range(n).selectExpr("if(id % 10 < 3, 7, id) as k", "if(id % 11 = 0, null, cast(id % 5 as string)) as s", "id % 3 as v")
+    b = spark.range(n + 5).selectExpr(
+        "if(id % 10 < 3, 7, id) as k", "if(id % 11 = 0, null, cast(id % 5 as string)) as s", "if(id % 997 = 1, -1, id % 3) as v")
+    return a, b
+
+
+@pytest.mark.parametrize("null_equal", [True, False])
+def test_row_mismatch_by_digests_is_the_join(spark, null_equal):
+    a, b = both_tables(spark, 20_000)
+    found = rows(row_mismatch(a, b, "k", null_equal=null_equal))
+    if null_equal:
+        kept = {tuple(r) for r in a.collect()}
+        want = [tuple(r) for r in b.collect() if tuple(r) not in kept]
+    else:
+        kept = {tuple(r) for r in a.collect() if None not in r[1:]}
+        want = [tuple(r) for r in b.collect() if tuple(r) not in kept]
+    assert found == sorted(want, key=lambda r: tuple((v is not None, str(v)) for v in r)) and found
+
+
+def test_swapped_nulls_and_doubled_rows_differ(spark):
+    schema = "k int, a string, b string"
+    old = frame(spark, schema, [(1, None, "x"), (2, "y", "y")])
+    new = frame(spark, schema, [(1, "x", None), (2, "y", "y"), (2, "y", "y")])
+    assert rows(row_mismatch(old, new, "k", null_equal=True)) == [(1, "x", None)]
+
+
+def test_equal_tables_move_digests_only(spark, tmp_path):
+    a, _ = both_tables(spark, 20_000)
+    for name in "ab":
+        a.repartition(4).write.parquet(str(tmp_path / name))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    found = row_mismatch(a, b, "k", null_equal=True)
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan()
+    assert shuffled(plan) <= 2 * 4 * 256 + 2 * 256  # a row for each coarse bucket and task, and their comparison
+    changed = b.withColumn("v", F.when((F.col("k") == 13) & F.col("v").isNotNull(), -5).otherwise(F.col("v")))
+    found = row_mismatch(a, changed, "k", null_equal=True)
+    assert {r["k"] for r in found.collect()} == {13}
+
+
+def shuffled(plan):
+    """Rows written to shuffles that were run, as the plan's own counters say."""
+    seen, total, todo = set(), 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        if name == "Exchange" and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_mismatch_of_columns_with_any_names_and_kinds(spark):
+    old = frame(spark, "k int, a string, bucket int, side int, n int", [(1, "x", 1, 1, 1), (2, "x", 2, 2, 2)])
+    new = old.withColumns({"_row": F.lit("r"), "apart": F.lit(True)}).withColumn("n", F.when(F.col("k") == 2, 9).otherwise(F.col("n")))
+    found = row_mismatch(old, new, "k")
+    assert found.columns == new.columns and [r["k"] for r in found.collect()] == [2]
+    wide = old.withColumn("n", F.col("n").cast("bigint"))
+    assert row_mismatch(old, wide, "k").count() == 0
+
+
 def sized(spark, counts):
     rows_ = [(g, d, f"{g}{i}") for g, d, n in counts for i in range(n)]
     return TableSpec("snapshot", frame(spark, "univ_id string, rdate date, fsym_id string", rows_),
