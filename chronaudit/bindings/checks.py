@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from chronaudit.bindings.fixtures import (
     orders_by_month,
     orders_spec,
     orders_with_lines,
+    specs,
     sql_missing,
     sql_missing_any,
     sql_missing_months,
@@ -33,7 +35,7 @@ from chronaudit.bindings.fixtures import (
 )
 from chronaudit.bindings.registry import bound, table
 from chronaudit.functions.dates import MONTH_NAMES, WEEKDAY_LABELS
-from chronaudit.model import BAD_ROW, NO_DATA, TableSpec
+from chronaudit.model import BAD_ROW, NO_DATA, SIZE_JUMP, TableSpec
 from chronaudit.operators import (
     completeness,
     events,
@@ -43,7 +45,10 @@ from chronaudit.operators import (
     status,
 )
 from chronaudit.operators.calendar import calendar_spanning, holidays
+from chronaudit.plans import findings
 from chronaudit.plans.audit import keep_issues
+from chronaudit.plans.state import STATE_CHECKS, AuditState
+from chronaudit.sources.files import scratch_path
 
 VERDICT_DAY = date(2000, 6, 14)
 
@@ -463,6 +468,18 @@ def issues_on_date(spark, d):
     return issues.issues_on_date(table_issues(spark, d), VERDICT_DAY, EXACT)
 
 
+@bound("c24b_issues_on_stored_date", f"WITH {SQL_TABLE_ISSUES},{SQL_NEAR} SELECT * FROM near")
+def issues_on_stored_date(spark, d):
+    """The findings are kept by table and month; one month is replaced by a second run, and one is read."""
+    path, found = scratch_path(spark, "findings"), keep_issues(table_issues(spark, d))
+    first, last = VERDICT_DAY.replace(day=1), VERDICT_DAY.replace(day=28)
+    dated = found.where((F.col("rdate") < F.lit(first)) | (F.col("rdate") > F.last_day(F.lit(first))))
+    findings.store_issues(dated, path, TABLES, START, END)
+    month = found.where(F.col("rdate").isNull() | (F.date_trunc("month", "rdate") == F.lit(first)))
+    findings.store_issues(month, path, TABLES, first, last)
+    return issues.issues_on_date(findings.stored_issues(spark, path), VERDICT_DAY, EXACT)
+
+
 SQL_STATE = f"""state AS (
   SELECT t.table_name,
          count(*) FILTER (n.issue_type IN ('is_daily', 'is_monthly')) > 0 AS absent,
@@ -600,6 +617,26 @@ def run_checks_grouped(spark, d):
     return grouped_issues(spark, d)
 
 
+@bound(
+    "c33c_audit_state",
+    f"""WITH {SQL_GROUPED_ISSUES} SELECT * FROM issues
+WHERE table_name = 'portholding' OR (table_name = 'univsnapshot' AND issue_type IN ('{NO_DATA}', '{SIZE_JUMP}'))""",
+)
+def audit_by_state(spark, d):
+    """Three deliveries of each table, out of order and one of them repeated, each read once."""
+    found = []
+    for spec in specs(spark, d):
+        if spec.name not in ("portholding", "univsnapshot"):
+            continue
+        kept = AuditState(spark, scratch_path(spark, f"state-{spec.name}"))
+        wanted = [c for c in spec.checks if c in STATE_CHECKS]
+        for part in (2, 0, 2, 1):
+            delivery = F.pmod(F.col("o_orderkey"), F.lit(3)) == part
+            kept.add(replace(spec, df=spec.df.where(delivery), reference=None, reference_key=None, checks=wanted), f"delivery-{part}")
+        found.append(kept.issues(spec.name, calendar(spark), AS_OF, checks=wanted, frequency=spec.frequency))
+    return found[0].unionByName(found[1])
+
+
 @bound("c33b_run_checks_by_table", f"WITH {SQL_TABLE_ISSUES} SELECT * FROM issues")
 def run_checks_table(spark, d):
     return table_issues(spark, d)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from chronaudit.bindings.registry import bound, table
-from chronaudit.sources import files, series, sinks
+from chronaudit.sources import files, publish, series, sinks
 from chronaudit.sources.catalog import (
     TableRegistry,
     first_column,
@@ -167,6 +168,24 @@ def append(spark, d):
     return spark.read.parquet(path)
 
 
+@bound(
+    "s06b_publish",
+    """SELECT doc_id, CAST(quality AS DOUBLE) AS quality, CAST(NULL AS VARCHAR) AS note FROM labels WHERE quality IS NOT NULL
+UNION ALL SELECT doc_id, 2.0, 'kept' FROM documents""",
+)
+def publish_batches(spark, d):
+    """Two batches, one of them delivered twice, and one that fails its check."""
+    target = publish.BatchTable(spark, files.scratch_path(spark, "publish"), "doc_id bigint, quality double, note string")
+    target.append(table(spark, d, "documents").select("doc_id", F.lit(2.0).alias("quality"), F.lit("kept").alias("note")), "documents")
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    known = {"quality": F.col("quality").isNotNull()}
+    for _ in range(2):
+        target.append(labels.where("quality is not null"), "labels", known)
+    with contextlib.suppress(ValueError):
+        target.append(labels.withColumn("quality", F.lit(None).cast("double")), "broken", known)
+    return target.read()
+
+
 @bound(
     "s07_rate_series",
     """SELECT event_type AS series_id, CAST(ts AS DATE) AS date, value FROM events
@@ -198,6 +217,24 @@ def csv_files(spark, d):
     return files.read_csv(spark, path, schema, date_cols=["rdate", "packed"])
 
 
+@bound(
+    "s08c_csv_quarantine",
+    """SELECT o_orderkey, o_totalprice AS price, CAST(o_orderdate AS DATE) AS rdate, NULL AS line, NULL AS reason
+FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT NULL, NULL, NULL, o_orderkey || ',' || o_orderpriority || ',' || strftime(o_orderdate, '%Y%m%d'),
+  'price: not double: ' || o_orderpriority FROM orders WHERE o_orderstatus = 'P'""",
+)
+def csv_quarantine(spark, d):
+    """Files in which some prices are texts: typed rows, and the lines of the others."""
+    path = files.scratch_path(spark, "csv")
+    price = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise(F.col("o_totalprice").cast("string"))
+    table(spark, d, "orders").select(
+        "o_orderkey", price.alias("price"), F.date_format("o_orderdate", "yyyyMMdd").alias("rdate")
+    ).write.option("header", True).csv(path)
+    found = files.read_csv_checked(spark, path, "o_orderkey bigint, price double, rdate date", date_cols=["rdate"])
+    return found.typed.unionByName(found.quarantined.drop("file"), allowMissingColumns=True)
+
+
 @bound(
     "s08b_parquet_by_year",
     """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS rdate, CAST(year(o_orderdate) AS INTEGER) AS year

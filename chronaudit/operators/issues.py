@@ -28,6 +28,9 @@ VERDICT_NO_DATA = "no data"
 VERDICT_BAD_ROWS = "problematic rows"
 VERDICT_SUCCESS = "success"
 
+# The column that stored findings are kept by, and its value for findings without a date.
+MONTH, UNDATED = "month", "undated"
+
 # Issue types that say "nothing there" as against "something wrong there".
 ABSENCE_TYPES = (NO_DATA, NOT_DAILY, NOT_MONTHLY)
 # Issue types that concern one day; all others concern the month around the date.
@@ -112,8 +115,11 @@ def issues_on_date(
     """Findings that concern a date: daily checks on the day, all others in its month.
 
     ``exact`` lists further (table, issue type) pairs to be matched on the day;
-    ``monthly`` names tables kept by month, whose missing dates concern the month.
+    ``monthly`` names tables kept by month, whose missing dates concern the month. Of stored
+    findings (``plans.findings``) only the month's folders are read.
     """
+    if MONTH in issues.columns:
+        issues = issues.where(F.col(MONTH) == f"{day:%Y-%m}").drop(MONTH)
     t = F.col("issue_type")
     by_day = t.isin(*DAY_TYPES) & ~F.col("table_name").isin(*monthly)
     for table, kind in exact:
@@ -135,7 +141,7 @@ def date_verdict(
 
     Missing data hides problematic rows, unless ``show_all`` asks for one row each.
     """
-    near = issues_on_date(issues, day, exact, monthly)
+    near = issues_on_date(issues.where(F.col("table_name").isin(*tables)), day, exact, monthly)
     absent = F.col("issue_type").isin(*ABSENCE_TYPES)
     state = near.groupBy("table_name").agg(
         F.bool_or(absent).alias("absent"), F.bool_or(~absent).alias("bad")
@@ -162,6 +168,8 @@ def date_verdict(
 
 def bad_dates(issues: DataFrame, tables: Sequence[str]) -> DataFrame:
     """Distinct dates with any finding in the chosen tables."""
+    if MONTH in issues.columns:
+        issues = issues.where(F.col(MONTH) != UNDATED)
     return (
         issues.where(F.col("table_name").isin(*tables) & F.col("rdate").isNotNull())
         .select("rdate")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,32 +91,44 @@ def profile(spec: TableSpec, calendar: Calendar, expected: DataFrame, wanted: se
     ``expected`` comes from ``expected_by_year``. Returns group_value, issue_type,
     rdate and metric.
     """
-    due = spec.frequency or "daily"
     rows = dated_rows(spec, calendar)
     id_missing = "id_missing"
-    collected, candidates, sources, tests = [], [], [], []
+    collected = []
     if SIZE_JUMP in wanted:
         rows = with_previous(rollup(spec, calendar)).withColumn("growth", growth())
         rows = rows.selectExpr("*", "year(rdate) as year", f"{daybits.slot('rdate')} as slot")
         id_missing = "n_null_ids > 0"
-        jumps = F.expr(
-            f"collect_list(named_struct('issue_type', '{SIZE_JUMP}', 'rdate', rdate, 'metric', growth))"
-            f" filter (where growth > {spec.growth_threshold!r}D)"
-        )
-        collected.append(jumps.alias("jumps"))
+        collected.append(jumps(spec.growth_threshold))
+    if NO_DATA in wanted:
+        collected += daybits.gather("seen", "slot")
+    if NO_ID in wanted:
+        collected += daybits.gather("faulty", "slot", id_missing)
+    per_year = rows.groupBy("group_value", "year").agg(*collected)
+    return judged_years(per_year, expected, wanted, spec.frequency or "daily")
+
+
+def jumps(threshold: float) -> Column:
+    """An aggregate: the dates whose growth is above the threshold, as findings."""
+    return F.expr(
+        f"collect_list(named_struct('issue_type', '{SIZE_JUMP}', 'rdate', rdate, 'metric', growth))"
+        f" filter (where growth > {threshold!r}D)"
+    ).alias("jumps")
+
+
+def judged_years(per_year: DataFrame, expected: DataFrame, wanted: set[str], due: str) -> DataFrame:
+    """Findings of groups and years from their day bits (``seen``, ``faulty``) and ``jumps``."""
+    candidates, sources, tests = [], [], []
+    if SIZE_JUMP in wanted:
         sources.append("jumps")
         tests.append(f"issue_type = '{SIZE_JUMP}'")
     if NO_DATA in wanted:
-        collected += daybits.gather("seen", "slot")
         candidates.append(_candidates(NO_DATA, due))
         sources.append(f"if({daybits.some_absent(due, 'seen')}, {NO_DATA}_days, null)")
         tests.append(f"issue_type = '{NO_DATA}' and not {daybits.member('seen', 'rdate')}")
     if NO_ID in wanted:
-        collected += daybits.gather("faulty", "slot", id_missing)
         candidates.append(_candidates(NO_ID, "daily"))
         sources.append(f"if({daybits.some_shared('daily', 'faulty')}, {NO_ID}_days, null)")
         tests.append(f"issue_type = '{NO_ID}' and {daybits.member('faulty', 'rdate')}")
-    per_year = rows.groupBy("group_value", "year").agg(*collected)
     listed = expected.selectExpr(
         "year", *daybits.names("daily"), *daybits.names("monthly"), *candidates
     )

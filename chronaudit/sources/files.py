@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,61 @@ def read_csv(
     return df.withColumns(parsed) if parsed else df
 
 
+class CheckedCsv(NamedTuple):
+    """Rows whose cells all read as they should, and the lines of all others."""
+
+    typed: DataFrame
+    quarantined: DataFrame
+
+
+def read_csv_checked(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    date_cols: Iterable[str] = (),
+    null_text: str | None = None,
+) -> CheckedCsv:
+    """CSV lines as typed rows, or as quarantined ones: file, line and reason.
+
+    Every line but headers and blank ones is in one of the two. A line is quarantined if it
+    has more or fewer cells than the header, or a cell that is neither blank nor of its
+    column's type; the reason names all such cells. Columns are found by the names in the
+    header, which all files under the path share; header columns that the schema lacks are
+    not read. ``date_cols`` are dates in any of the known text forms; ``null_text`` (such as
+    N/A) and blank cells read as null. A quoted cell must not run over the end of a line.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.where(F.trim("line") != "")
+    first = lines.select("line").first()
+    if first is None:
+        raise ValueError(f"{path}: no header")
+    header = next(csv.reader([first["line"]]))
+    fields = list(spark.createDataFrame([], schema).schema)
+    lacking = [f.name for f in fields if f.name not in header]
+    if lacking:
+        raise ValueError(f"{path}: no column {', '.join(lacking)}")
+    cells = ", ".join(f"c{i} string" for i in range(len(header)))
+    parsed = F.from_csv("line", f"{cells}, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    rows = lines.where(F.col("line") != first["line"]).select("file", "line", parsed.alias("cells"))
+
+    dated, values, faults = set(date_cols), [], []
+    for f in fields:
+        raw = F.col(f"cells.c{header.index(f.name)}")
+        text = F.when(F.trim(raw) != "", raw)
+        if null_text is not None:
+            text = F.nullif(text, F.lit(null_text))
+        kind = "date" if f.name in dated else f.dataType.simpleString()
+        value = parse_text_date(text) if f.name in dated else text if kind == "string" else F.trim(text).try_cast(f.dataType)
+        values.append(value.alias(f.name))
+        if kind != "string":
+            faults.append(F.when(text.isNotNull() & value.isNull(), F.concat(F.lit(f"{f.name}: not {kind}: "), text)))
+    count = F.when(F.col("cells.bad").isNotNull(), F.lit(f"not {len(header)} cells"))
+    reason = F.coalesce(count, F.concat_ws("; ", *faults) if faults else F.lit(""))
+    judged = rows.select("file", "line", reason.alias("reason"), F.struct(*values).alias("row"))
+    return CheckedCsv(
+        judged.where("reason = ''").select("row.*"), judged.where("reason <> ''").select("file", "line", "reason"))
+
+
 def _parsed(name: str, strict: bool) -> Column:
     text, parsed = F.col(name).cast("string"), parse_text_date(F.col(name))
     if not strict:
