@@ -7,7 +7,8 @@ structure in it and it is unlike natural text, judged with the corpus's own lett
 random symbols explain it far better than pairs of letters as the corpus has them, or it is
 much more even than the corpus's characters would be. Which tokens those are is decided over
 the whole corpus by the Benjamini-Hochberg procedure in each class of length, where a token
-counts once however often it occurs.
+counts once however often it occurs. Parts of a token between slashes, dashes and underscores are
+tested as well as the whole, and count where the whole does not.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ ALPHABETS = {
 NAMES = list(ALPHABETS)
 _PLACES = [{c: i for i, c in enumerate(x)} for x in ALPHABETS.values()]
 
+#: Tokens, and parts of tokens, of fewer characters are not tested: too few symbols tell nothing.
 LEAST_TOKEN = 20
 #: Lower ends of the classes of length within which discoveries are controlled.
 LENGTH_CLASSES = (20, 28, 40, 64)
@@ -75,7 +77,9 @@ for _i in range(1, PLACES):
 #: Lower, upper, digit, other; and the bits of a digit and of another symbol among its like.
 _CLASS = np.array([0 if 97 <= i < 123 else 1 if 65 <= i < 91 else 2 if 48 <= i < 58 else 3 for i in range(256)])
 _OWN_BITS = np.array([0.0, 0.0, math.log2(10), 2.0])
-_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}={{0,2}}")
+#: Long parts of a token between the signs that join words, as in paths and after prefixes.
+_PART = re.compile(rf"[A-Za-z0-9+]{{{LEAST_TOKEN},}}={{0,2}}")
 _HINTS = ("passw", "secret", "token", "api")
 
 EVIDENCE_SCHEMA = (
@@ -161,21 +165,37 @@ _FIELDS = ("start", "end", "encoding", "n", "chi2", "structure", "bits", "pairs"
 
 
 def token_evidence(text: str, known: list[tuple[int, int, int]]) -> list[tuple]:
-    """The fields of the long tokens that no known span touches."""
+    """The fields of the long tokens, and of long parts of tokens, that no known span touches."""
     found, i = [], 0
     spans = sorted((s, e) for _, s, e in known)
     for m in _TOKEN.finditer(text):
         while i < len(spans) and spans[i][1] <= m.start():
             i += 1
-        if any(s < m.end() and e > m.start() for s, e in spans[i : i + 4]):
-            continue
-        tested = battery(m[0])
-        if tested:
-            digest = hashlib.sha256(m[0].encode()).digest()[:16]
-            found.append((m.start(), m.end(), *tested, *natural_code(m[0], tested[0]), digest))
+        near, at = [], i
+        while at < len(spans) and spans[at][0] < m.end():
+            near.append(spans[at])
+            at += 1
+        parts = [(m.start() + x.start(), m.start() + x.end()) for x in _PART.finditer(m[0])]
+        for start, end in dict.fromkeys([m.span(), *parts]):
+            if any(s < end and e > start for s, e in near):
+                continue
+            token = text[start:end]
+            tested = battery(token)
+            if tested:
+                digest = hashlib.sha256(token.encode()).digest()[:16]
+                found.append((start, end, *tested, *natural_code(token, tested[0]), digest))
     return found
 
 
+def outermost(tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Start and end of those that lie in no other; a part counts only where its token does not."""
+    kept: list[tuple[int, int]] = []
+    for start, end in sorted(tokens, key=lambda x: (x[0], -x[1])):
+        if not kept or end > kept[-1][1]:
+            kept.append((start, end))
+    return kept
+
+
 def _short(text: str, spans: list[tuple[int, int]]) -> str:
     """The text with a space for each long token and known span, so these do not make themselves natural."""
     parts, at = [], 0
@@ -307,7 +327,7 @@ class SecretModel:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """All spans (kind, start, end) of a text, by start and then kind."""
         known = known_spans(text)
-        added = [(len(KINDS) - 1, x[0], x[1]) for x in token_evidence(text, known) if self.secret(x)]
+        added = [(len(KINDS) - 1, *x) for x in outermost([x[:2] for x in token_evidence(text, known) if self.secret(x)])]
         return sorted(known + added, key=lambda x: (x[1], x[0]))
 
 
@@ -357,8 +377,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``random``), by start and then kind, in code points with the end exclusive;
     ``base_sha256`` is the digest of the same list of the known forms alone. Null and empty
     texts have no spans. Rows may repeat and ids be null; other columns are not read. An
-    empty table gives no rows. Texts are read once; the frequencies and the control of
-    false discoveries cover all of them.
+    empty table gives no rows. Texts count whole, however long, and are read once; the
+    frequencies and the control of false discoveries cover all of them. Tokens and parts of
+    fewer than ``LEAST_TOKEN`` characters are not tested.
     """
     found = evidence(docs, id_col, text_col)
     model = fit(found)
@@ -369,7 +390,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out: list[tuple] = []
             for base, tokens in zip(batch.column("base").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 known = [(x["kind"], x["start"], x["end"]) for x in base]
-                added = [(len(KINDS) - 1, x["start"], x["end"]) for x in tokens if model.secret(tuple(x[f] for f in _FIELDS))]
+                secret = [(x["start"], x["end"]) for x in tokens if model.secret(tuple(x[f] for f in _FIELDS))]
+                added = [(len(KINDS) - 1, *x) for x in outermost(secret)]
                 kinds = [x[0] for x in known]
                 digest = hashlib.sha256(_named(known).encode()).hexdigest()
                 everything = sorted(known + added, key=lambda x: (x[1], x[0]))

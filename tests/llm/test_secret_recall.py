@@ -1,9 +1,12 @@
 """Planted keys that the secret scan has to find, and natural tokens that it has to leave."""
 
+import itertools
+import math
 import random
 import re
 import string
 from collections import Counter
+from statistics import NormalDist
 
 import pytest
 
@@ -40,6 +43,96 @@ def test_few_short_keys_among_natural_tokens(spark, sample, alphabet, least):
     assert sum(found[len(keys) :]) <= 1
 
 
+def placed(keys, draw, words):
+    """Keys inside longer tokens: text, and where the key begins and ends."""
+    out = []
+    for i, key in enumerate(keys):
+        w = [draw.choice(words) for _ in range(3)]
+        form = ["/{0}/{1}/{k}", "/{0}/{k}/{1}", "{0}_{1}_{k}", "{0}-{1}-{k}-{2}", "sk_live_{k}", "ghp_{k}", "https://{0}.org/{1}/{k}"][i % 7]
+        text = "see " + form.format(*w, k=key) + " there"
+        out.append((text, text.index(key), text.index(key) + len(key)))
+    return out
+
+
+def test_keys_within_longer_tokens(spark, sample):
+    """In paths, between words and after prefixes a key is covered; natural tokens of these forms are not."""
+    draw = random.Random(12)
+    words = sorted({w.lower() for r in sample.select("text").collect() for w in re.findall("[A-Za-z]{3,12}", r["text"] or "")})
+    keys = ["".join(draw.choices(BASE62, k=n)) for n in (24, 32, 40) for _ in range(28)]
+    texts = placed(keys, draw, words)
+    natural = [t for t, _, _ in placed(slugs(sample, 3000, draw), draw, words)]
+    rows = [(10_000 + i, t) for i, t in enumerate([t for t, _, _ in texts] + natural)]
+    docs = sample.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    spans = {r["doc_id"]: r["spans"] for r in scan.find_secrets(docs).collect()}
+    covered = 0
+    for i, (_, start, end) in enumerate(texts):
+        found = [tuple(map(int, x.split(":")[1:])) for x in spans[10_000 + i].split(",") if x.startswith("random")]
+        covered += any(s <= start and e >= end for s, e in found)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))  # noqa: B905
+    assert covered >= 0.9 * len(texts)
+    assert sum("random" in spans[10_000 + len(texts) + i] for i in range(len(natural))) <= 1
+
+
+def test_outermost_spans():
+    assert scan.outermost([(4, 9), (0, 20), (10, 20), (25, 30), (25, 28)]) == [(0, 20), (25, 30)]
+    assert scan.outermost([]) == []
+
+
+def test_parts_beside_known_spans_are_tested():
+    key = "Zq8Xv0Kp3WjT6Rb1Lm9NaB"
+    text = f"/0123456789abcdef01/{key}/x"
+    assert [text[x[0] : x[1]] for x in scan.token_evidence(text, scan.known_spans(text))] == [key]
+
+
+def tail_of_chi_squared(x, k):
+    """The upper tail by the series of the lower incomplete gamma function."""
+    a, x = k / 2, x / 2
+    if x <= 0:
+        return 1.0
+    term = total = 1 / a
+    for n in range(1, 2000):
+        term *= x / (a + n)
+        total += term
+    return max(0.0, 1 - math.exp(a * math.log(x) - x - math.lgamma(a)) * total)
+
+
+def plain_battery(token):
+    """The tests as textbooks have them, symbol by symbol."""
+    symbols = token.rstrip("=")
+    alphabet = next(x for x in scan.ALPHABETS.values() if set(symbols) <= set(x))
+    n, k = len(symbols), len(alphabet)
+    seen = Counter(symbols)
+    chi2 = sum((seen[c] - n / k) ** 2 / (n / k) for c in alphabet)
+    high = [alphabet.index(c) >= k / 2 for c in symbols]
+    n1, n2 = sum(high), n - sum(high)
+    runs = sum(1 for _ in itertools.groupby(high))
+    alternating = 0.0
+    if n1 and n2 and n > 2:
+        mean, variance = 2 * n1 * n2 / n + 1, 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1))
+        alternating = 2 * NormalDist().cdf(-abs(runs - mean) / math.sqrt(variance)) if variance > 0 else 0.0
+    at = [alphabet.index(c) for c in symbols]
+    middle = sum(at) / n
+    power = sum((x - middle) ** 2 for x in at)
+    r = sum((x - middle) * (y - middle) for x, y in zip(at, at[1:])) / power if power else None  # noqa: B905
+    serial = 0.0 if r is None else 2 * NormalDist().cdf(-abs(r + 1 / n) * math.sqrt(n))
+    return chi2, min(1.0, 3 * min(tail_of_chi_squared(chi2, k - 1), alternating, serial)), (alternating, serial)
+
+
+def test_battery_against_an_independent_version():
+    draw = random.Random(20)
+    for _ in range(400):
+        alphabet = draw.choice(list(scan.ALPHABETS.values()))
+        weights = draw.choice([[1] * len(alphabet), [1 / (i + 1) for i in range(len(alphabet))]])
+        token = "".join(draw.choices(alphabet, weights, k=draw.randint(20, 90)))
+        _, n, chi2, structure = scan.battery(token)
+        wanted, level, exact = plain_battery(token)
+        assert n == len(token.rstrip("=")) and chi2 == pytest.approx(wanted, rel=1e-9)
+        if level < 3 * min(exact) - 1e-12:  # chi-squared decides, whose tail is approximated
+            assert abs(structure - level) <= 0.02 * 3 or structure == pytest.approx(level, rel=0.25)
+        else:
+            assert structure == pytest.approx(level, rel=1e-6, abs=0.03)
+
+
 def test_natural_code_is_learnt_step_by_step():
     """The closed form of the rates of kinds of symbols is what adding up symbol by symbol gives."""
     token = "aB3-xYz99/QrS_tuvWX+0a"
