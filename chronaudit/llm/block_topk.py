@@ -6,9 +6,11 @@ value. A query's bound on a block is the sum, over dimensions, of the larger pro
 value with those two. For each query blocks are taken by descending bound, and scored
 through their forward indexes until a bound falls below the k-th score so far.
 
-Blocks lie in chunks and queries in tiles; every tile meets every chunk once, as cells of a
-grid that are dealt out by a shuffle. A tile brings along, for each query, a score that k
-vectors are known to reach, so blocks can be passed over from the start.
+Blocks lie in chunks and queries in tiles, and a tile and a chunk that meet are a cell, which
+is dealt out by a shuffle. First every tile meets one chunk, which gives each query a score
+that k vectors are known to reach. Then the bounds of pieces of all chunks, a few rows for each
+chunk, meet the tiles; only queries whose bound on a chunk reaches their score are sent to
+it, and only chunks that some query of a tile needs are sent to that tile.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from chronaudit.llm.common import in_files
 
 #: Vectors in a block, in a chunk of blocks, and queries in a tile.
 BLOCK, CHUNK, TILE = 64, 8192, 2048
+#: Vectors of a chunk that have bounds of their own before anything is sent; chunks whose bounds one task tests.
+PIECE, CHUNKS_AT_ONCE = 512, 64
 #: Beyond this, sums of products in double precision might not be exact; Python's integers are.
 EXACT = 2**53
 LONGEST = 2**63 - 1
@@ -147,23 +151,20 @@ def _cells(k: int):
     return run
 
 
-_COLUMNS = ["query", "row", "id", "vector", "floor"]
-
-
-def _by_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+def _by_cell(batches: Iterable[pa.RecordBatch], keys: tuple[str, str] = ("chunk", "tile")) -> Iterator[dict[str, pa.Array]]:
     """The rows of each cell; batches are in order of the cells."""
 
     def whole(parts: list[pa.RecordBatch]) -> dict[str, pa.Array]:
-        return {c: pa.concat_arrays([x.column(c) for x in parts]) for c in _COLUMNS}
+        return {c: pa.concat_arrays([x.column(c) for x in parts]) for c in parts[0].schema.names}
 
     last, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.array([np.asarray(batch.column("chunk")), np.asarray(batch.column("tile"))])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        places = np.array([np.asarray(batch.column(c)) for c in keys])
+        cuts = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1
         for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            key = tuple(keys[:, begin])
+            key = tuple(places[:, begin])
             if key != last and held:
                 yield whole(held)
                 held = []
@@ -173,6 +174,41 @@ def _by_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]
         yield whole(held)
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The largest and smallest value in each dimension of pieces of chunks."""
+    for batch in batches:
+        chunks = np.asarray(batch.column("chunk"))
+        cuts = set((np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist()) | set(range(0, len(chunks), PIECE))
+        bounds = sorted(cuts | {len(chunks)})
+        rows = [(int(chunks[i]), _matrix(batch.column("vector").slice(i, j - i))) for i, j in zip(bounds, bounds[1:])]  # noqa: B905
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = [[c for c, _ in rows], [x.max(axis=0).tolist() for _, x in rows], [x.min(axis=0).tolist() for _, x in rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "high", "low"])
+
+
+def _needed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each tile and chunk the queries whose bound on a piece of the chunk reaches their score."""
+    for rows in _by_cell(batches, ("part", "tile")):
+        is_query = np.asarray(rows["query"])
+        if not is_query.any() or is_query.all():
+            continue
+        keep = pa.array(is_query)
+        queries, high = _same_width(_matrix(rows["vector"].filter(keep)), _matrix(rows["high"].filter(pc.invert(keep))))
+        low = _same_width(queries.astype(np.int64), _matrix(rows["low"].filter(pc.invert(keep))))[1]
+        if object in (queries.dtype, high.dtype, low.dtype):
+            queries, high, low = (x.astype(np.int64).astype(object) for x in (queries, high, low))
+        numbers, chunks = np.asarray(rows["row"].filter(keep)), np.asarray(rows["chunk"].filter(pc.invert(keep)))
+        floor = np.array([-np.inf if x is None else _below(x) for x in rows["floor"].filter(keep).to_pylist()])
+        zero = queries * 0
+        bounds = _in_range(np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T)
+        reached = bounds >= floor[:, None]
+        tile, found = rows["tile"][0].as_py(), [(c, numbers[reached[:, chunks == c].any(axis=1)]) for c in np.unique(chunks)]
+        found = [(int(c), x.tolist()) for c, x in found if len(x)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([tile] * len(found), pa.int32()), pa.array([c for c, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int64()))],
+            ["tile", "chunk", "rows"])
+
+
 def _numbered(rows: DataFrame, per: int, name: str, order: list[str]) -> DataFrame:
     """The rows with the number of their range of about ``per`` rows, in order of these columns.
 
@@ -185,6 +221,27 @@ def _numbered(rows: DataFrame, per: int, name: str, order: list[str]) -> DataFra
     return dealt.withColumn(name, F.floor(F.spark_partition_id() * F.lit(n) / F.lit(dealt_to)).cast("int"))
 
 
+def needed_cells(docs: DataFrame, queries: DataFrame, n_chunks: int, n_tiles: int) -> DataFrame:
+    """Cells (tile, chunk) that are left to search, with the numbers of the queries that need them.
+
+    Of a chunk only the bounds of its pieces are sent to the tiles. The first cell of each
+    tile has been searched already.
+    """
+    tiles = F.sequence(F.lit(0), F.lit(n_tiles - 1))
+    none, part = F.lit(None), F.floor(F.col("chunk") / CHUNKS_AT_ONCE).cast("int").alias("part")
+    bounds = docs.mapInArrow(_pieces, "chunk int, high array<bigint>, low array<bigint>").withColumn(
+        "tile", F.explode(F.filter(tiles, lambda t: t % n_chunks != F.col("chunk"))))
+    left = bounds.select(
+        part, "tile", F.lit(False).alias("query"), "chunk", "high", "low", none.cast("bigint").alias("row"),
+        none.cast("array<bigint>").alias("vector"), none.cast("bigint").alias("floor"))
+    parts = F.sequence(F.lit(0), F.lit((n_chunks - 1) // CHUNKS_AT_ONCE))
+    right = queries.select(
+        F.explode(parts).alias("part"), "tile", F.lit(True).alias("query"), none.cast("int").alias("chunk"),
+        none.cast("array<bigint>").alias("high"), none.cast("array<bigint>").alias("low"), "row", "vector", "floor")
+    cells = left.unionByName(right).repartition("part", "tile").sortWithinPartitions("part", "tile", "query")
+    return cells.mapInArrow(_needed, "tile int, chunk int, rows array<bigint>")
+
+
 def top_k(
     vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     id_col: str = "vec_id", vector_col: str = "embedding",
@@ -199,7 +256,8 @@ def top_k(
     candidate for all queries but its own: a query's other copies are found too, and each copy
     of a query has a result of its own. An empty table gives an empty table. Other columns
     are not read. Queries are a share of the table, so the number of cells of
-    the grid, not the size of one, grows with the square of it.
+    the grid, not the size of one, grows with the square of it; a cell that no query needs
+    costs the bounds of its pieces only.
     """
     v = F.col(vector_col)
     usable = F.size(v) > 0
@@ -216,28 +274,25 @@ def top_k(
     n_chunks = docs.agg(F.coalesce(F.max("chunk"), F.lit(0))).first()[0] + 1
     n_tiles = asked.agg(F.coalesce(F.max("tile"), F.lit(0))).first()[0] + 1
 
-    def meet(queries: DataFrame, chunks: F.Column, tiles: F.Column) -> DataFrame:
-        """Search the cells that rows are sent to."""
-        left = docs.select(
-            "chunk", F.explode(tiles).alias("tile"), F.lit(False).alias("query"), "row", "id", "vector",
-            F.lit(None).cast("bigint").alias("floor"))
-        right = queries.select(
-            F.explode(chunks).alias("chunk"), "tile", F.lit(True).alias("query"), "row", "id", "vector", "floor")
+    def meet(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+        """Search the cells (chunk, tile) that rows are sent to."""
+        left = chunks.select("chunk", "tile", F.lit(False).alias("query"), "row", "id", "vector", F.lit(None).cast("bigint").alias("floor"))
+        right = queries.select("chunk", "tile", F.lit(True).alias("query"), "row", "id", "vector", "floor")
         cells = left.unionByName(right).repartition("chunk", "tile").sortWithinPartitions("chunk", "tile", "query", "row")
         return cells.mapInArrow(_cells(k), "row bigint, query_id bigint, other bigint, vec_id bigint, score bigint")
 
-    all_tiles = F.sequence(F.lit(0), F.lit(n_tiles - 1))
     # a first cell for each tile gives scores that k vectors are known to reach
-    own_chunk = F.col("tile") % n_chunks
-    start = asked.withColumn("floor", F.lit(None).cast("bigint"))
-    served = F.filter(all_tiles, lambda t: t % n_chunks == F.col("chunk"))
-    first = in_files(meet(start, F.array(own_chunk), served), "search-first")
+    own_chunk = (F.col("tile") % n_chunks).cast("int")
+    tiles = F.sequence(F.lit(0), F.lit(n_tiles - 1))
+    served = docs.withColumn("tile", F.explode(F.filter(tiles, lambda t: t % n_chunks == F.col("chunk"))))
+    start = asked.withColumns({"chunk": own_chunk, "floor": F.lit(None).cast("bigint")})
+    first = in_files(meet(served, start), "search-first")
     floors = first.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     floors = floors.select("row", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
     warm = in_files(asked.join(floors, "row", "left"), "search-warm")
-    others = F.filter(F.sequence(F.lit(0), F.lit(n_chunks - 1)), lambda c: c != own_chunk)
-    rest = F.filter(all_tiles, lambda t: t % n_chunks != F.col("chunk"))
-    found = first.unionByName(in_files(meet(warm, others, rest), "search-rest"))
+    cells = in_files(needed_cells(docs, warm, n_chunks, n_tiles), "search-cells")
+    sent = cells.select("tile", "chunk", F.explode("rows").alias("row")).join(warm.drop("tile"), "row")
+    found = first.unionByName(in_files(meet(docs.join(cells.select("chunk", "tile"), "chunk"), sent), "search-rest"))
     place = Window.partitionBy("row").orderBy(F.desc("score"), "other")
     return (
         found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)

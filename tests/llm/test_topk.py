@@ -89,3 +89,43 @@ def test_blocks_are_passed_over():
     for q in range(5):
         order = np.lexsort((np.arange(2560), -scores[q]))[:10]
         assert best.ids[q].tolist() == order.tolist()
+
+
+def clustered(n, dim):
+    """Vectors of about unit length, whose neighbours by id are near each other, a few hundred of each cluster."""
+    draw = np.random.default_rng(9)
+    centres = draw.normal(size=(n // 200, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return (np.repeat(centres, 200, axis=0) + 0.01 * draw.normal(size=(n // 200 * 200, dim))).astype(np.float32)
+
+
+def test_chunks_that_no_query_needs_are_not_sent(spark, monkeypatch, capsys):
+    """On clustered data few of the cells of 20 tiles are sent, and the result is that of all scores."""
+    monkeypatch.setattr(block_topk, "CHUNK", 400)
+    monkeypatch.setattr(block_topk, "TILE", 20)
+    monkeypatch.setattr(block_topk, "PIECE", 100)
+    monkeypatch.setattr(block_topk, "CHUNKS_AT_ONCE", 3)
+    seen, plain = [], block_topk.needed_cells
+
+    def kept(docs, queries, n_chunks, n_tiles):
+        cells = plain(docs, queries, n_chunks, n_tiles)
+        seen.append((cells.selectExpr("tile", "chunk", "size(rows) as n").collect(), n_chunks, n_tiles))
+        return cells
+
+    monkeypatch.setattr(block_topk, "needed_cells", kept)
+    x = clustered(8000, 32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = sorted(map(tuple, block_topk.top_k(table, k=5, every=20).collect()))
+    cells, n_chunks, n_tiles = seen[0]
+    assert n_tiles >= 20 and n_chunks >= 20
+    assert all(r["chunk"] != r["tile"] % n_chunks for r in cells)
+    # a cell holds a chunk: the vectors sent are fewer than four tables, of the twenty and more that all cells would be
+    assert len(cells) + n_tiles < 4 * n_chunks
+    scores = np.floor(1024 * x.astype(np.float64))
+    wanted = []
+    for q in range(0, 8000, 20):
+        own = scores @ scores[q]
+        own[q] = -np.inf
+        order = np.lexsort((np.arange(8000), -own))[:5]
+        wanted += [(q, rank, int(i), int(own[i])) for rank, i in enumerate(order, 1)]
+    assert found == sorted(wanted)
