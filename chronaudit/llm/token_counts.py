@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from chronaudit.llm.common import byte_slices, in_files, read_if_there, text_or_empty
 from chronaudit.llm.encoding import piece_encoder, tokenizer_digest
+from chronaudit.operators.prefilter import may_be_in
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint"
 SLICE_BYTES = 2 << 20
 #: Digests (of 32 bytes) of missing texts that are broadcast at most.
 BROADCAST_MISSES = 20_000
+#: More of them make a filter of so many 64-bit words (8 MB), if they are this share of all digests at most.
+FILTER_WORDS, FILTER_SHARE = 1 << 20, 0.25
 
 
 def _counter(tokenizer_path: str):
@@ -51,7 +54,9 @@ def count_tokens(
     no truncation, and special tokens are counted only where their strings stand in a text.
 
     Only texts that the cache lacks are encoded, one for each digest: a task hands on one
-    text of a digest at most, so many copies cost no more than one. The cache lies in
+    text of a digest at most, so many copies cost no more than one. Where few are lacking,
+    the others are left out before the shuffle, by a broadcast or by a Bloom filter of the
+    lacking digests. An empty table gives an empty table. The cache lies in
     ``cache_path``, one folder for each tokenizer.
     """
     spark = docs.sparkSession
@@ -67,9 +72,12 @@ def count_tokens(
     distinct = in_files(keys.select("digest").distinct(), "distinct-digests")
     misses = in_files(distinct.join(read_if_there(spark, folder, CACHE_SCHEMA), "digest", "left_anti"), "misses")
     texts = keyed.select("digest", "content")
-    if misses.count() <= BROADCAST_MISSES:  # most texts then need not be shuffled
+    n_misses = misses.count()
+    if n_misses <= BROADCAST_MISSES:  # most texts then need not be shuffled
         new = texts.join(F.broadcast(misses), "digest", "left_semi").dropDuplicates(["digest"])
     else:
+        if n_misses <= FILTER_SHARE * distinct.count():  # nor here
+            texts = texts.where(may_be_in(misses, [F.col("digest")], FILTER_WORDS))
         new = texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
     new.mapInArrow(_counter(tokenizer_path), CACHE_SCHEMA).write.mode("append").parquet(folder)
 

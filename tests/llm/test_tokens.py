@@ -96,6 +96,27 @@ def test_counts_come_from_the_cache(spark, sample):
     assert token_counts.count_tokens(made_up, cache, WORDS).first()["n_tokens"] == 77
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_few_misses_in_a_warm_cache(spark, sample, library, monkeypatch, most):
+    """Cached texts are left out ahead of the shuffle, by a broadcast or a filter; counts are those of the library."""
+    monkeypatch.setattr(token_counts, "BROADCAST_MISSES", most)
+    monkeypatch.setattr(token_counts, "FILTER_WORDS", 1 << 12)
+    asked, plain = [], token_counts.may_be_in
+    monkeypatch.setattr(token_counts, "may_be_in", lambda *x: asked.append(1) or plain(*x))
+    cache = scratch_path(spark, "cache")
+    token_counts.count_tokens(sample, cache, WORDS).collect()
+    assert not asked  # all are missing, a filter would let all pass
+    new = spark.createDataFrame([(10_000 + i, f"new text number {i % 20}") for i in range(40)], "doc_id bigint, text string")
+    both = sample.select("doc_id", "text").unionByName(new)
+    found = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(both, cache, WORDS).collect()}
+    assert bool(asked) == (most == 3)
+    rows = both.collect()
+    wanted = library[WORDS].encode_batch([r["text"] or "" for r in rows], add_special_tokens=False)
+    assert found == {r["doc_id"]: len(x) for r, x in zip(rows, wanted, strict=True)}
+    folder = f"{cache}/tokenizer={encoding.tokenizer_digest(WORDS)[:32]}-exact"
+    assert spark.read.parquet(folder).count() == len({r["text"] or "" for r in rows})
+
+
 def test_no_documents(spark, no_docs):
     assert token_counts.count_tokens(no_docs, scratch_path(spark, "cache"), WORDS).collect() == []
     assert pair_index.round_trip(no_docs, BYTES).collect() == []
