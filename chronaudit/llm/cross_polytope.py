@@ -218,7 +218,8 @@ def near_vectors(
     ``kept`` marks the row whose id that is. Null, empty and zero vectors, and those that
     hold null or a number that is not finite, link with nothing, nor do rows without a
     label. Rows with the same label and vector are one class and compared once. Repeated ids
-    are rows of their own; a null id is never the least. Other columns are not read.
+    are rows of their own; a null id is never the least. An empty table gives no rows. Other
+    columns are not read.
 
     A bucket of many vectors becomes pairs of blocks, each a group of its own; what leaves
     a group is a row for each of its members, not for each of its pairs.

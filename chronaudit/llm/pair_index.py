@@ -228,7 +228,8 @@ def decode_column(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out:
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, n_tokens, and digests of the ids and of the decoded text.
 
-    Null texts count as empty. Other columns are not read; repeated rows and null ids are kept.
+    Null texts count as empty; texts count whole, however long. Other columns are not read;
+    repeated rows and null ids are kept. An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

@@ -424,7 +424,8 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str = MASK) -> st
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with their secrets masked in the text; columns, their order and row count stay.
 
-    Null texts stay null. The corpus is read twice: for the model, and to mask.
+    Null texts stay null and empty ones empty; repeated rows are masked alike; an empty table
+    gives no rows. The corpus is read twice: for the model, and to mask.
     """
     model = fit(evidence(docs, id_col, text_col))
 

@@ -162,7 +162,7 @@ def near_duplicates(
     with fewer words than a shingle have one shingle of them all. Rows of one fingerprint
     are one node, so exact copies make no links. A null id is never the least one; a
     component of null ids only has a null component_id. Repeated ids are rows of their own.
-    An empty table gives no rows. Other columns are not read.
+    An empty table gives no rows. Texts count whole, however long. Other columns are not read.
     """
     named = in_files(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     member = _members(named, max_bits)
@@ -178,8 +178,10 @@ def keep_one(
 ) -> DataFrame:
     """One row of each component, with all its columns: that with the least id, null ids last.
 
-    Of rows that share that id, those with the least fingerprint stay, and one of them if
-    they are repeated. Whole rows are shuffled once, repeats having been left out per task.
+    Of rows that share that id, those with the least fingerprint stay, and of these the one with
+    the least digest of all its columns, so reruns agree. Whole rows are shuffled once, one
+    for each id and fingerprint from a task. Null, empty and very long texts are compared as
+    ``near_duplicates`` says; columns may have any names; an empty table gives no rows.
     """
     named = in_files(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     member = _members(named, max_bits)
@@ -201,4 +203,6 @@ def keep_one(
 
     tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(fp_name, T.LongType())]))
     tagged = tagged.withColumn(key_name, key(F.col(id_col).cast("bigint"), F.col(fp_name)))
-    return tagged.dropDuplicates([key_name]).join(keepers, key_name, "left_semi").select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = tagged.groupBy(key_name).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(fp_name))
+    return one.join(keepers, key_name, "left_semi").select(f"{fp_name}.*")

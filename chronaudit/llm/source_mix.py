@@ -208,7 +208,8 @@ def repeat_rows(
 ) -> DataFrame:
     """The mix itself: every row as often as ``mix_sources`` says, with all its columns.
 
-    Rows of epochs zero go, among them all of sources without words. Whole rows are not
+    Rows of epochs zero go, among them all of sources without words. Odd rows count as there;
+    columns may have any names. Whole rows are not
     shuffled where the plan, one row per source, is small enough for Spark to broadcast.
     """
     sized = _sized(docs, seed, id_col, text_col, source_col)

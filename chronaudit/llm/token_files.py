@@ -166,7 +166,8 @@ def write_token_files(
 
     Null ids come first; of rows that share an id, the order is that of a digest of their
     texts, so many rows with one id are spread over files. Null texts count as empty and
-    have the end id only. Other columns are not read. Rows are dealt out by ranges of the
+    have the end id only; texts count whole, however long. An empty table writes an empty
+    manifest. Repeated rows are written each time. Other columns are not read. Rows are dealt out by ranges of the
     id before they are encoded, so nothing is encoded twice to find the ranges.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))

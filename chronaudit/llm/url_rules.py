@@ -50,7 +50,8 @@ def judge_urls(
     ``default`` and the rule null. Rules with a null host, path or verdict fit nothing.
 
     Null URLs and those without ``://`` have an empty host and path, and so the default.
-    Ids may be null or repeated; other columns are not read. Each host and path is judged
+    Ids may be null or repeated, rows too; an empty table gives no rows, and empty rules give the
+    default; other columns are not read. Each host and path is judged
     once, however many pages share it; what a URL is spelled out into is bounded by the
     rules' own lengths, not by the URL's. The lists of those lengths are the driver's.
     """

@@ -23,7 +23,7 @@ def test_matches_sql(spark, name):
 def test_all_are_registered():
     names = set(entry_points.queries())
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_import_needs_no_session():
@@ -31,7 +31,8 @@ def test_import_needs_no_session():
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(), e.oracle_sql()"], cwd=root, check=True)
 
 
-@pytest.mark.parametrize("name", ["op1_token_counts", "op2_token_files", "op3_pair_index_bpe", "op4_site_quality", "op9_simhash", "op10_secret_scan"])
+@pytest.mark.parametrize("name", ["op1_token_counts", "op2_token_files", "op3_pair_index_bpe", "op4_site_quality", "op9_simhash", "op10_secret_scan",
+                                  "op11_token_overlap", "op13_merge_rounds"])
 def test_a_row_for_each_document(spark, name):
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect())
     assert sorted(r["doc_id"] for r in queries.queries()[name](spark, SMALL).select("doc_id").collect()) == ids
@@ -71,6 +72,33 @@ def test_pipeline_is_its_stages(spark):
     assert of(corpus_pipeline.run(spark, SMALL)) == of(five)
 
 
+def test_stages_keep_the_right_odd_rows(spark, odd_docs, tmp_path):
+    """Which of the odd rows each stage keeps, with all their columns."""
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    steps = dict(corpus_pipeline.STAGES)
+
+    def of(df):
+        return sorted(map(tuple, df.collect()), key=str)
+
+    rows = odd_docs.collect()
+    assert of(steps["quality"](spark, odd_docs, str(tmp_path))) == of(odd_docs)  # no labels, nothing goes
+    kept = steps["simhash"](spark, odd_docs, str(tmp_path))
+    # null, empty and blank texts are one group, of which 2 is the least; 8 is a copy of 1; a row of 4 is repeated
+    assert of(kept) == sorted({tuple(r) for r in rows if (r["doc_id"], r["text"]) in {
+        (1, rows[0]["text"]), (2, None), (4, rows[3]["text"]), (4, rows[5]["text"]), (None, "a row without an id"), (7, rows[8]["text"]),
+        (9, rows[10]["text"])}}, key=str)
+    masked = {r["doc_id"]: r for r in steps["secrets"](spark, odd_docs.where("doc_id <> 4"), str(tmp_path)).collect()}
+    for r in rows:
+        if r["doc_id"] not in (None, 4):
+            text = masked[r["doc_id"]]["text"]
+            assert masked[r["doc_id"]]["n_chars"] == (None if text is None else len(text))
+            assert text == r["text"] if r["doc_id"] != 9 else "hunter2" not in text
+    epochs = source_mix.mix_sources(odd_docs).collect()
+    assert len(of(steps["mixing"](spark, odd_docs, str(tmp_path)))) == sum(r["epochs"] for r in epochs)
+    assert [r["n_tokens"] for r in steps["bpe"](spark, odd_docs.where("doc_id in (2, 3)"), str(tmp_path)).collect()] == [0, 0]
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
     labels = spark.createDataFrame([(1, 1, 0), (9, 0, 0)], "doc_id bigint, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
