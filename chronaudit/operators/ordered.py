@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -55,7 +55,7 @@ def drop_latest(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] |
     order = _names(order)
     near = neighbours(df, keys, order)
 
-    def place(of: str) -> F.Column:
+    def place(of: str) -> Column:
         return F.struct(*[F.col(of).getField(c) for c in order])
 
     return near.where(~place("row").eqNullSafe(place("latest"))).select("row.*")
@@ -120,15 +120,16 @@ def neighbours(
     onward = F.lead("low_key").over(by_range).eqNullSafe(F.col("high_key"))
     whole = F.lead("low_key").over(by_range).eqNullSafe(F.lead("high_key").over(by_range))
     stitched = ends.select(
-        "range",
+        "range", "high", "low",
         F.when(F.lag("high_key").over(by_range).eqNullSafe(F.col("low_key")), F.lag("high").over(by_range)).alias("before"),
         F.when(onward, F.lead("low").over(by_range)).alias("after"),
         F.when(~onward, F.col("high")).when(~whole, F.lead("low_latest").over(by_range)).alias("settled"),
     )
     onwards = by_range.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    stitched = stitched.select("range", "before", "after", F.first("settled", ignorenulls=True).over(onwards).alias("top"))
+    stitched = stitched.select("range", "before", "after", "high", "low", F.first("settled", ignorenulls=True).over(onwards).alias("top"))
+    met = (~F.col("at_top") | _same_place("row", "high", order)) & (~F.col("at_bottom") | _same_place("row", "low", order))
     return rows.join(F.broadcast(stitched), "range").select(
-        "row",
+        _checked(met).alias("row"),
         F.when(F.col("at_bottom"), F.col("before")).otherwise(F.col("previous")).alias("previous"),
         F.when(F.col("at_top"), F.col("after")).otherwise(F.col("next")).alias("next"),
         F.when(F.col("top_key"), F.col("top")).otherwise(F.col("latest")).alias("latest"),
@@ -177,18 +178,20 @@ def numbered(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | st
     def schema(**columns: T.DataType) -> T.StructType:
         return T.StructType([T.StructField(c, kind) for c, kind in columns.items()])
 
+    flag = T.BooleanType()
     rows = ranged.mapInArrow(_counter(ends=False), schema(
-        row=kinds["row"], range=kinds["range"], place=T.LongType(), first_key=T.BooleanType()))
+        row=kinds["row"], range=kinds["range"], place=T.LongType(), first_key=flag, at_first=flag))
     ends = ranged.mapInArrow(_counter(ends=True), schema(
-        range=kinds["range"], first=kinds["key"], last=kinds["key"], held=T.LongType()))
+        range=kinds["range"], head=kinds["row"], first=kinds["key"], last=kinds["key"], held=T.LongType()))
     by_range = Window.orderBy("range")
     goes_on = F.lag("last").over(by_range).eqNullSafe(F.col("first")) & F.lag("range").over(by_range).isNotNull()
     begun = F.when(goes_on & F.col("first").eqNullSafe(F.col("last")), 0).otherwise(1)  # the last key begins in this range
-    ends = ends.select("range", "held", goes_on.alias("goes_on"), begun.alias("begun"))
+    ends = ends.select("range", "head", "held", goes_on.alias("goes_on"), begun.alias("begun"))
     ends = ends.withColumn("key_no", F.sum("begun").over(by_range))
     ends = ends.withColumn("so_far", F.sum("held").over(Window.partitionBy("key_no").orderBy("range")))
-    offsets = ends.select("range", F.when(F.col("goes_on"), F.lag("so_far").over(by_range)).otherwise(0).alias("offset"))
-    counted = rows.join(F.broadcast(offsets), "range")
+    offsets = ends.select("range", "head", F.when(F.col("goes_on"), F.lag("so_far").over(by_range)).otherwise(0).alias("offset"))
+    met = ~F.col("at_first") | _same_place("row", "head", [*keys, *order])
+    counted = rows.join(F.broadcast(offsets), "range").withColumn("row", _checked(met))
     return counted.select("row.*", (F.col("place") + F.when(F.col("first_key"), F.col("offset")).otherwise(0)).alias(name))
 
 
@@ -212,17 +215,34 @@ def _counter(ends: bool):
             place = np.where(begins < 0, held + np.arange(len(new)), np.arange(len(new)) - begins) + 1
             own = on_first & (np.cumsum(new) <= (first is None))
             if not ends:
-                columns = [batch.column("row"), batch.column("range"), pa.array(place), pa.array(own)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "range", "place", "first_key"])
+                at_first = np.zeros(len(new), dtype=bool)
+                at_first[0] = first is None
+                columns = [batch.column("row"), batch.column("range"), pa.array(place), pa.array(own), pa.array(at_first)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "range", "place", "first_key", "at_first"])
             first = batch.slice(0, 1) if first is None else first
             last, held, on_first = keys.slice(len(keys) - 1, 1), int(place[-1]), bool(own[-1])
         if ends and first is not None:
-            columns = [first.column("range"), first.column("key"), last, pa.array([held])]
-            yield pa.RecordBatch.from_arrays(columns, ["range", "first", "last", "held"])
+            columns = [first.column("range"), first.column("row"), first.column("key"), last, pa.array([held])]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "head", "first", "last", "held"])
 
     return count
 
 
+def _same_place(a: str, b: str, order: Sequence[str]) -> Column:
+    """Whether the structs agree in the order columns."""
+    return F.struct(*[F.col(a).getField(c) for c in order]).eqNullSafe(F.struct(*[F.col(b).getField(c) for c in order]))
+
+
+def _checked(met: Column) -> Column:
+    """The row, where the range that it was read in is the one whose ends were read.
+
+    Both are read from one shuffle, which Spark names twice in the plan and runs once
+    (``spark.sql.exchange.reuse``). Were it run twice, bounds could differ, and that must not pass unseen.
+    """
+    said = "ranges differ between two runs of one shuffle; leave spark.sql.exchange.reuse on"
+    return F.when(met, F.col("row")).otherwise(F.raise_error(F.lit(said)))
+
+
 def _reader(ends: bool):
     """Reads a range from its end: its rows with their neighbours within it, or its ends.
 

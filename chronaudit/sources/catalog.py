@@ -237,7 +237,7 @@ def standard_specs(tables: TableRegistry, period: tuple[date, date] | None = Non
         ),
         TableSpec(
             "bg_div", source["bg_div"](), "exdate", "fsym_id", None, None,
-            "BG Div", (NO_FLAG,), event_rule=EventRule("div_type", "suspension", "div_initiation", ("div_type", "div_initiation"), "year"),
+            "BG Div", (NO_FLAG,), event_rule=EventRule("div_type", "suspension", "div_initiation", ("div_type", "div_initiation")),
         ),
         # Unmatched dividends are dated by exdate, months by the matched date.
         TableSpec(

@@ -149,6 +149,19 @@ def test_rows_are_shuffled_once(spark):
     assert "hashpartitioning" not in plan and "Window" in plan
 
 
+def test_two_runs_of_the_shuffle_do_not_pass_unseen(spark, conf):
+    """Without reuse the ends may come from other ranges than the rows; that is right or an error, never wrong."""
+    conf("spark.sql.exchange.reuse", "false")
+    conf("spark.sql.shuffle.partitions", 8)
+    wanted = {i: (i - 1 if i else None, i + 1 if i < 29_999 else None, 29_999) for i in range(30_000)}
+    try:
+        found = near_rows(spark, [("hot", date(2020, 1, 1), i, R, None) for i in range(30_000)])
+    except Exception as error:
+        assert "spark.sql.exchange.reuse" in str(error)
+    else:
+        assert found == wanted
+
+
 def test_keys_of_several_columns_and_kinds(spark, conf):
     conf("spark.sql.shuffle.partitions", 5)
     schema = "a string, b double, c array<int>, d int"

@@ -16,6 +16,7 @@ def plan_of(df):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_product_and_no_python(spark, name):
+    """The readers of sorted ranges are the one place for Python; they take Arrow batches."""
     plan = plan_of(QUERIES[name](spark, FOLDER))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "ExistingRDD"):
         assert node not in plan
