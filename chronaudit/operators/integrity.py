@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronaudit.model import TableSpec
 from chronaudit.operators.calendar import Calendar
 from chronaudit.operators.ordered import free_names
-from chronaudit.operators.prefilter import may_be_in
+from chronaudit.operators.prefilter import is_small, may_be_in
 from chronaudit.operators.rollup import cutoff
 
 
@@ -76,8 +76,14 @@ def _without_partner(left: DataFrame, keys: Sequence[str], known: DataFrame, nul
 
     First the distinct keys of left alone meet the known ones. What is left of them makes a
     Bloom filter, which drops nearly all rows that have a partner while they are scanned;
-    only the others are shuffled to meet the unknown keys themselves.
+    only the others are shuffled to meet the unknown keys themselves. Rows of a small table
+    meet the known keys at once.
     """
+    if is_small(left):
+        found = known.toDF(*free_names(left.columns, *[f"_known{i}" for i in range(len(keys))])).distinct()
+        pairs = [(F.col(a), F.col(b)) for a, b in zip(keys, found.columns, strict=True)]
+        met_known = reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
+        return left.join(found, met_known, "left_anti")
     marked = [f"_k{i}" for i in range(len(keys))]
     own = left.select(*[F.col(k).alias(m) for k, m in zip(keys, marked, strict=True)])
     if not null_safe:
@@ -104,8 +110,8 @@ def _without_partner(left: DataFrame, keys: Sequence[str], known: DataFrame, nul
 def orphan_rows(df: DataFrame, ref: DataFrame, key: str, ref_key: str | None = None) -> DataFrame:
     """Whole rows whose id the reference table lacks; a null id matches a null id.
 
-    Rows are read twice, the first time for their ids alone; only rows without a partner, and
-    the few that a filter takes for such, are shuffled.
+    A large table is read twice, the first time for its ids alone; only rows without a partner,
+    and the few that a filter takes for such, are shuffled.
     """
     return _without_partner(df, [key], ref.select(ref_key or key), null_safe=True)
 
@@ -169,7 +175,7 @@ def row_mismatch(
     Buckets of keys are compared by digests first: 256 of them, then 65,536 within those that
     differ. Only rows in fine buckets that differ are shuffled and joined; tables that are
     equal move digests alone. Where types of the columns differ between the tables, which
-    digests cannot tell from other values, all rows are joined.
+    digests cannot tell from other values, and where b is small, all rows are joined.
     """
     keys = [key] if isinstance(key, str) else list(key)
     compare = list(compare or [c for c in a.columns if c not in keys and c in b.columns])
@@ -183,7 +189,7 @@ def row_mismatch(
         absent = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in cols[len(keys) :]])
         never = [mine.where(absent)]
         other, mine = other.where(~absent), mine.where(~absent)
-    if kinds[0] == kinds[1]:
+    if kinds[0] == kinds[1] and not is_small(b):
         own_keys = cols[: len(keys)]
         for buckets in LEVELS:
             found = _differing(other, mine.select(*cols), own_keys, cols, buckets)

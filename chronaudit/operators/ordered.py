@@ -51,14 +51,16 @@ def last_per_group(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str
 
 
 def drop_latest(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str) -> DataFrame:
-    """All rows but each key's last one (of ties, all); rows without a key are left out."""
-    order = _names(order)
-    near = neighbours(df, keys, order)
+    """All rows but each key's last one (of ties, all); rows without a key are left out.
 
-    def place(of: str) -> Column:
-        return F.struct(*[F.col(of).getField(c) for c in order])
-
-    return near.where(~place("row").eqNullSafe(place("latest"))).select("row.*")
+    The last place is a maximum, combined before the shuffle; Spark splits a hot key on the
+    join of the rows with it.
+    """
+    keys, order = _names(keys), _names(order)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    (last,) = free_names(df.columns, "_latest")
+    latest = df.groupBy(*keys).agg(F.max(place).alias(last))
+    return df.join(latest, keys).where(~place.eqNullSafe(F.col(last))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def with_neighbours(

@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 
 #: 64-bit words of a filter (512 KB); with more keys than words it lets more rows pass.
 WORDS = 1 << 16
+#: Tables that Spark takes to be smaller need no filters or digests: a join costs less than these.
+SMALL_BYTES = 256 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark's own estimate puts the rows below ``SMALL_BYTES``; results never depend on it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
 
 
 def _place(cols: Sequence[Column], words: int) -> tuple[Column, Column]:
