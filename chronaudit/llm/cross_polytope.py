@@ -5,6 +5,11 @@ is the axis, with its sign, that it then lies nearest to. Several such hashes ma
 bucket of a table. In every table a vector lies in its own bucket and is also shown, as a
 probe, in those it came closest to missing. Vectors that meet, one of them at home, are
 compared by their cosine.
+
+Buckets are dealt out without vectors, with a short projection of each in small integers. A
+projection brings no two vectors further apart, so a pair whose projections are too far from
+each other has too small a cosine; only members that are left with a partner are joined
+with their vectors and compared in double precision.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +30,10 @@ TABLES, HASHES, PROBES, ROUNDS = 6, 2, 2, 3
 SEED = 20
 #: Members of a bucket that are compared as one block; larger buckets become pairs of blocks.
 BLOCK = 2048
-ROWS_AT_ONCE = 256
+#: Numbers of a projection, each an integer of one byte.
+SKETCH = 16
+#: Rows of whole buckets that are compared in one go, by sketches and by vectors, and cells held at once.
+SKETCH_ROWS, VECTOR_ROWS, CELLS = 16_384, 4096, 1 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -55,7 +64,10 @@ def signatures(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for r in range(ROUNDS):
                 turned = hadamard(turned * signs[t, h, r]) / np.sqrt(width)
             size = np.abs(turned)
-            top = np.argsort(-size, axis=1, kind="stable")[:, :2]
+            first = size.argmax(axis=1)
+            rest = size.copy()
+            rest[rows, first] = -1.0
+            top = np.stack((first, rest.argmax(axis=1)), axis=1)
             axis = 2 * top + (turned[rows[:, None], top] < 0)
             best.append(axis[:, 0])
             second.append(axis[:, 1])
@@ -76,131 +88,216 @@ def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def sketches(x: np.ndarray) -> np.ndarray:
+    """The first numbers of a turn of unit vectors, times 127 and rounded (rows, SKETCH)."""
+    n, dim = x.shape
+    width = 1 << max(1, (dim - 1).bit_length())
+    turned = np.zeros((n, width))
+    turned[:, :dim] = x
+    for signs in np.random.default_rng([SEED, dim, 1]).choice([-1.0, 1.0], size=(ROUNDS, width)):
+        turned = hadamard(turned * signs) / np.sqrt(width)
+    out = np.zeros((n, SKETCH), dtype=np.int8)
+    out[:, : min(width, SKETCH)] = np.rint(127 * turned[:, :SKETCH])
+    return out
+
+
+def sketch_reach(least: float) -> float:
+    """The largest squared distance between sketches of unit vectors with that cosine or more.
+
+    Rounding moves each number by half at most, and so a sketch by half the root of their number.
+    """
+    return float(np.floor((127 * np.sqrt(max(0.0, 2 - 2 * least)) + np.sqrt(SKETCH)) ** 2 + 1e-3))
+
+
 def _packed(kind: str):
     """Vectors as bytes; null where they are null or zero or hold what is not a finite number."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[bytes | None] = []
-            for vector in batch.column("embedding").to_pylist():
-                x = None
-                if vector and all(v is not None for v in vector):
-                    x = np.array(vector, dtype=kind)
-                    if not np.isfinite(x).all() or not x.any():
-                        x = None
-                out.append(None if x is None else x.tobytes())
+            column = batch.column("embedding")
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            flat = column.flatten().cast(pa.float32() if kind == "<f4" else pa.float64(), safe=False)  # none of null lists
+            usable = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+            values = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(kind, copy=False)
+            ends = np.cumsum(sizes)
+            bad = np.concatenate(([0], np.cumsum(~(usable & np.isfinite(values)))))
+            some = np.concatenate(([0], np.cumsum(values != 0)))
+            good = (bad[ends] == bad[ends - sizes]) & (some[ends] > some[ends - sizes])
+            out = [values[e - n : e].tobytes() if g else None for e, n, g in zip(ends, sizes, good, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("label"), pa.array(out, pa.binary())], ["id", "label", "vector"])
 
     return pack
 
 
-def _entries(kind: str):
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(rows.reshape(-1)))
+
+
+_PLACES = "node bigint, label string, size int, homes array<bigint>, probes array<bigint>, sketch binary"
+
+
+def _places(kind: str):
+    """The home buckets of each vector, those it is shown in (table by table), and its sketch."""
+
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(v) for v in batch.column("vector").to_pylist()])
+            sizes = pc.binary_length(batch.column("vector")).to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 own = batch.filter(pa.array(sizes == size))
                 for at in range(0, own.num_rows, 1024):
                     rows = own.slice(at, 1024)
-                    home, probes = signatures(_unit(rows.column("vector").to_pylist(), kind))
-                    places = np.concatenate((home[:, :, None], probes), axis=2)  # the home comes first
-                    n, per = len(places), TABLES * (1 + PROBES)
-                    repeat = pa.array(np.repeat(np.arange(n), per))
+                    x = _unit(rows.column("vector").to_pylist(), kind)
+                    home, probes = signatures(x)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.tile(np.repeat(np.arange(TABLES), 1 + PROBES), n), pa.int32()),
-                            pa.array(places.reshape(-1)),
-                            pa.array(np.tile(np.arange(1 + PROBES) == 0, n * TABLES)),
-                            rows.column("cid").take(repeat), rows.column("label").take(repeat),
-                            rows.column("n").take(repeat), rows.column("vector").take(repeat),
-                            pa.array([x.tobytes() for x in places.reshape(n, -1)], pa.binary()).take(repeat),
+                            rows.column("node"), rows.column("label"), pa.array(np.full(len(x), size), pa.int32()),
+                            _fixed(home), _fixed(probes.reshape(len(x), -1)),
+                            pa.array([v.tobytes() for v in sketches(x)], pa.binary()),
                         ],
-                        ["slot", "code", "home", "cid", "label", "n", "vector", "places"])
+                        ["node", "label", "size", "homes", "probes", "sketch"])
 
     return spell
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray, slot: int, code: int) -> np.ndarray:
-    """Whether pairs of vectors, given by their places, meet here and nowhere before."""
-    home_a, home_b = a[:, :, 0], b[:, :, 0]
-    a_at_b = (a == home_b[:, :, None]).any(axis=2)  # a is shown in b's home
-    b_at_a = (b == home_a[:, :, None]).any(axis=2)
-    met = a_at_b | b_at_a
-    earlier = met[:, :slot].any(axis=1)
-    none = np.iinfo(np.int64).max
-    first = np.minimum(np.where(a_at_b, home_b, none)[:, slot], np.where(b_at_a, home_a, none)[:, slot])
-    return ~earlier & (first == code)
-
-
-def _compare(rows: pa.Table, least: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Links counted here of each member, and the first member of its part of the links (-1: none)."""
-    m = rows.num_rows
-    x = _unit(rows.column("vector").to_pylist(), kind)
-    home = np.array(rows.column("home").to_pylist())
-    weight = np.array(rows.column("n").to_pylist(), dtype=np.int64)
-    places = np.frombuffer(b"".join(rows.column("places").to_pylist()), dtype=np.int64).reshape(m, TABLES, 1 + PROBES)
-    slot, code = rows.column("slot")[0].as_py(), rows.column("code")[0].as_py()
-    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    block = np.array(rows.column("block").to_pylist())
-    links = np.zeros(m, dtype=np.int64)
-    linked = np.zeros((m, m), dtype=bool)
-    order = np.arange(m)
-    for at in range(0, m, ROWS_AT_ONCE):
-        part = order[at : at + ROWS_AT_ONCE]
-        close = (x[part] @ x.T >= least) & (home[part][:, None] | home[None, :])
-        close &= order[None, :] > part[:, None] if i == j else (block[part][:, None] == i) & (block[None, :] == j)
-        p, q = np.nonzero(close)
-        p = part[p]
-        linked[p, q] = linked[q, p] = True
-        first = _first_meeting(places[p], places[q], slot, code)
-        np.add.at(links, p[first], weight[q[first]])
-        np.add.at(links, q[first], weight[p[first]])
-    root = np.full(m, -1)
-    for start in np.flatnonzero(linked.any(axis=1)):
-        if root[start] >= 0:
+def _close_pairs(
+    points: np.ndarray, bar: np.ndarray, begins: np.ndarray, home: np.ndarray, side: np.ndarray, across: np.ndarray,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs p < q of rows of one group, one of them at home, whose product reaches the sum of their bars.
+
+    ``begins`` are the groups' first rows. In groups marked ``across`` only pairs of unlike sides
+    count. Groups of one size are compared together; large ones a part of their rows at a time.
+    """
+    sizes = np.diff(np.append(begins, len(points)))
+    for m in np.unique(sizes[sizes > 1]):
+        own = begins[sizes == m]
+        many = max(1, CELLS // int(m * m))
+        for at in range(0, len(own), many):
+            rows = own[at : at + many, None] + np.arange(m)
+            for low in range(0, m, max(1, CELLS // int(m))):
+                part = rows[:, low : low + max(1, CELLS // int(m))]
+                close = points[part] @ points[rows].transpose(0, 2, 1) >= bar[part][:, :, None] + bar[rows][:, None, :]
+                close &= home[part][:, :, None] | home[rows][:, None, :]
+                close &= rows[:, None, :] > part[:, :, None]
+                close &= (side[part][:, :, None] != side[rows][:, None, :]) | ~across[part][:, :1, None]
+                g, p, q = np.nonzero(close)
+                if len(g):
+                    yield part[g, p], rows[g, q]
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: list[str], least_rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in runs of whole groups, with the first row of each group."""
+    held: list[pa.RecordBatch] = []
+
+    def begins(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, dtype=bool)
+        new[:1] = True
+        for c in keys:
+            col = rows.column(c).combine_chunks()
+            new[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) < least_rows:
             continue
-        front = np.array([start])
-        root[start] = start
-        while len(front):
-            front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
-            root[front] = start
-    return links, root
+        rows = pa.Table.from_batches(held)
+        firsts = begins(rows)
+        if len(firsts) > 1:  # the last group may go on
+            yield rows.slice(0, int(firsts[-1])).combine_chunks(), firsts[:-1]
+            rows = rows.slice(int(firsts[-1]))
+        held = rows.to_batches()
+    if sum(x.num_rows for x in held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, begins(rows)
 
 
-_GROUP = ["label", "size", "slot", "code", "i", "j"]
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _flags(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flags = _numbers(rows, "flags")
+    return (flags & 1) > 0, (flags & 2) > 0, _numbers(rows, "i") != _numbers(rows, "j")
+
+
+_GROUP = ["code", "i", "j"]
+
+
+def _partnered(least: float):
+    """Members of buckets whose sketch leaves them a partner there."""
+    reach = sketch_reach(least)
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begins in _runs(batches, _GROUP, SKETCH_ROWS):
+            data = rows.column("sketch").to_pylist()
+            points = np.frombuffer(b"".join(data), dtype=np.int8).reshape(len(data), SKETCH).astype(np.float32)
+            # |a - b|^2 <= reach just if a b >= the sum of these; all are exact in single precision
+            bar = (points * points).sum(axis=1) / 2 - np.float32(reach / 4)
+            kept = np.zeros(len(points), dtype=bool)
+            for p, q in _close_pairs(points, bar, begins, *_flags(rows)):
+                kept[p] = kept[q] = True
+            for out in rows.select([*_GROUP, "node", "flags"]).filter(pa.array(kept)).to_batches():
+                yield out
+
+    return check
+
+
+def _first_meeting(home_a: np.ndarray, probes_a: np.ndarray, home_b: np.ndarray, probes_b: np.ndarray) -> np.ndarray:
+    """The least bucket in which pairs of vectors meet, one of them at home."""
+    none = np.iinfo(np.int64).max
+    same = home_a == home_b
+    a_home = same | (probes_b == home_a[:, :, None]).any(axis=2)
+    b_home = same | (probes_a == home_b[:, :, None]).any(axis=2)
+    return np.minimum(np.where(a_home, home_a, none), np.where(b_home, home_b, none)).min(axis=1)
+
+
+def _join_roots(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Make the parts that pairs connect one, under the least of their rows."""
+    while True:
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def _linker(least: float, kind: str):
-    def one(rows: pa.Table) -> pa.RecordBatch | None:
-        if rows.num_rows < 2:
-            return None
-        links, root = _compare(rows, least, kind)
-        found = np.flatnonzero(root >= 0)
-        if not len(found):
-            return None
-        cids = rows.column("cid").combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [cids.take(pa.array(found)), pa.array(links[found]), cids.take(pa.array(root[found]))], ["cid", "links", "root"])
+    """Links counted here of each member, and the first member of its part of the links."""
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(*(batch.column(c).to_pylist() for c in _GROUP), strict=True))
-            begin = 0
-            for row, key in enumerate(keys):
-                if key != last:
-                    if row > begin:
-                        held.append(batch.slice(begin, row - begin))
-                    if held and (out := one(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held, begin, last = [], row, key
-            held.append(batch.slice(begin))
-        if held and (out := one(pa.Table.from_batches(held))) is not None:
-            yield out
+        for table, firsts in _runs(batches, [*_GROUP, "size", "label"], VECTOR_ROWS):
+            sizes = _numbers(table, "size")
+            group = np.zeros(table.num_rows, dtype=np.int64)
+            group[firsts] = 1
+            group = np.cumsum(group)
+            for size in np.unique(sizes):
+                mask = sizes == size
+                rows = table.filter(pa.array(mask)).combine_chunks()
+                begins = np.flatnonzero(np.diff(group[mask], prepend=-1))
+                x = _unit(rows.column("vector").to_pylist(), kind)
+                code, weight = _numbers(rows, "code"), _numbers(rows, "n")
+                homes = np.array(rows.column("homes").to_pylist(), dtype=np.int64)
+                probes = np.array(rows.column("probes").to_pylist(), dtype=np.int64).reshape(len(x), TABLES, PROBES)
+                links, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+                linked = np.zeros(len(x), dtype=bool)
+                for p, q in _close_pairs(x, np.full(len(x), least / 2), begins, *_flags(rows)):
+                    for at in range(0, len(p), 65_536):
+                        a, b = p[at : at + 65_536], q[at : at + 65_536]
+                        here = _first_meeting(homes[a], probes[a], homes[b], probes[b]) == code[a]
+                        a, b = a[here], b[here]
+                        np.add.at(links, a, weight[b])
+                        np.add.at(links, b, weight[a])
+                        linked[a] = linked[b] = True
+                        _join_roots(root, a, b)
+                if linked.any():
+                    nodes = _numbers(rows, "node")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes[linked]), pa.array(links[linked]), pa.array(nodes[root[linked]])], ["node", "links", "root"])
 
     return link
 
@@ -222,56 +319,75 @@ def near_vectors(
     columns are not read.
 
     A bucket of many vectors becomes pairs of blocks, each a group of its own; what leaves
-    a group is a row for each of its members, not for each of its pairs.
+    a group is a row for each of its members, not for each of its pairs. A pair counts in the
+    first bucket, by number, in which it meets.
     """
     element = vectors.schema[vector_col].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"),
                           F.col(vector_col).alias("embedding"))
     packed = rows.mapInArrow(_packed(kind), "id bigint, label string, vector binary")
+    # numbers of rows hold for good once they are written
     named = in_files(
-        packed.withColumn("cid", F.when(
+        packed.withColumn("node", F.monotonically_increasing_id()).withColumn("class", F.when(
             F.col("label").isNotNull() & F.col("vector").isNotNull(),
             F.unhex(F.sha2(F.concat(F.encode(F.concat("label", F.lit("\0")), "UTF-8"), F.col("vector")), 256)))),
         "vectors")
     classes = in_files(
-        named.filter("cid is not null").groupBy("cid", "label", "vector")
-        .agg(F.min("id").alias("first"), F.count("*").alias("n")),
+        named.filter("class is not null").groupBy("class")
+        .agg(F.min("node").alias("node"), F.min("id").alias("first"), F.count("*").alias("n")),
         "vector-classes")
 
-    schema = "slot int, code bigint, home boolean, cid binary, label string, n bigint, vector binary, places binary"
-    entries = in_files(
-        classes.select("cid", "label", "n", "vector").mapInArrow(_entries(kind), schema)
-        .withColumn("size", F.octet_length("vector")), "entries")
-    key = ["label", "size", "slot", "code"]
-    buckets = in_files(
-        entries.groupBy(*key).agg(F.count("*").alias("members"), F.count_if("home").alias("homes"))
-        .filter("members > 1 and homes > 0")
-        .select(*key, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")),
-        "vector-buckets")
-    pairs = (
-        entries.join(buckets, key)
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    def bucket(label: str, size: str, place: str) -> F.Column:
+        """Numbers of buckets; a table's number is told by the position of the place."""
+        per = 1 if place == "homes" else PROBES
+        return F.transform(place, lambda x, i: F.xxhash64(label, size, F.floor(i / per).cast("int"), x))
+
+    spelled = named.join(classes.select("node"), "node", "left_semi").select("node", "label", "vector")
+    places = in_files(
+        spelled.mapInArrow(_places(kind), _PLACES)
+        .select("node", "size", bucket("label", "size", "homes").alias("homes"),
+                bucket("label", "size", "probes").alias("probes"), "sketch"),
+        "vector-places")
+    entries = places.select("node", "sketch", F.explode(F.concat(
+        F.transform(F.array_distinct("homes"), lambda x: F.struct(x.alias("code"), F.lit(1).alias("home"))),
+        F.transform(F.array_except("probes", "homes"), lambda x: F.struct(x.alias("code"), F.lit(0).alias("home"))),
+    )).alias("at")).select("at.code", "at.home", "node", "sketch")
+    large = in_files(
+        entries.groupBy("code").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK)
+        .select("code", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")),
+        "large-buckets")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = (
+        entries.join(large, "code", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .drop("blocks", "other")
+        .select(*_GROUP, "node", (F.col("home") + F.when(F.col("block") > F.col("i"), 2).otherwise(0)).alias("flags"), "sketch")
+    )
+    dealt = cells.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    partnered = in_files(
+        dealt.mapInArrow(_partnered(least_cosine), "code bigint, i int, j int, node bigint, flags int"), "vector-partners")
+    members = (
+        partnered.join(named.select("node", "label", "vector"), "node")
+        .join(places.select("node", "size", "homes", "probes"), "node").join(classes.select("node", "n"), "node")
     )
-    dealt = pairs.repartition(*[F.col(c) for c in _GROUP]).sortWithinPartitions(*_GROUP)
-    links = in_files(dealt.mapInArrow(_linker(least_cosine, kind), "cid binary, links bigint, root binary"), "vector-links")
+    dealt = members.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "size", "label")
+    links = in_files(dealt.mapInArrow(_linker(least_cosine, kind), "node bigint, links bigint, root bigint"), "vector-links")
 
-    roots = in_files(components(links.select("cid", "root")), "vector-roots").withColumnRenamed("node", "cid")
-    counted = links.groupBy("cid").agg(F.sum("links").alias("links"))
+    roots = in_files(components(links.select("node", "root")), "vector-roots")
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     member = (
-        classes.select("cid", "first", "n").join(roots, "cid", "left").join(counted, "cid", "left")
-        .withColumn("root", F.coalesce("root", "cid"))
+        classes.join(roots, "node", "left").join(counted, "node", "left")
+        .withColumn("root", F.coalesce("root", "node"))
     )
     heads = in_files(member.groupBy("root").agg(F.min("first").alias("head")), "vector-heads")
     found = in_files(
-        member.join(heads, "root").select("cid", "head", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")),
+        member.join(heads, "root").select("class", "head", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")),
         "vector-members")
     return (
-        named.select("id", "cid").join(found, "cid", "left")
-        .withColumn("component_id", F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("head")))
+        named.select("id", "class").join(found, "class", "left")
+        .withColumn("component_id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("head")))
         .select(
             F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), "component_id",
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -208,3 +208,25 @@ def test_share_of_pairs_found(spark):
 def test_hadamard_is_orthogonal():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(cross_polytope.hadamard(cross_polytope.hadamard(x)) / 16, x)
+
+
+@pytest.mark.parametrize("dim", [1, 3, 16, 64, 200])
+@pytest.mark.parametrize("least", [0.5, 0.95, 0.98, 1.0])
+def test_sketches_keep_all_pairs_above_the_cosine(dim, least):
+    draw = np.random.default_rng(dim)
+    x = draw.normal(size=(300, dim))
+    x = np.concatenate((x, x + draw.normal(size=x.shape) * draw.uniform(0, 0.4, size=(300, 1)), x))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    short = cross_polytope.sketches(x).astype(int)
+    apart = ((short[:, None, :] - short[None, :, :]) ** 2).sum(axis=2)
+    close = x @ x.T >= least
+    assert (apart[close] <= cross_polytope.sketch_reach(least)).all()
+    if dim == 64 and least == 0.98:
+        assert (apart[~close] > cross_polytope.sketch_reach(least)).mean() > 0.999
+
+
+def test_vectors_of_several_lengths_and_integers(spark):
+    rows = [(i, [1, i % 3, 5, i % 2][: 2 + i % 3], i % 2) for i in range(60)]
+    wanted, _ = vectors_wanted(rows, 0.9)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<int>, label int")
+    assert sorted(map(tuple, cross_polytope.near_vectors(table, 0.9).collect()), key=str) == wanted
