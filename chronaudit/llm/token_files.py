@@ -2,9 +2,11 @@
 
 A file holds the ids of documents in ascending order of their id, as little-endian unsigned
 32-bit integers. Frames end with documents, and only documents longer than a frame are cut.
-The last frame is the index: the number of documents, then their ids, whether the id is
-null, and their numbers of tokens. A skippable frame with the seek table closes the file:
-compressed size, content size and checksum of every frame, in the published seekable format.
+A skippable frame with the index follows: a checksum, and packed the number of documents, their
+ids, whether the id is null, and their numbers of tokens. A skippable frame with the seek table
+closes the file: compressed size, content size and checksum of every frame, in the published
+seekable format, in which the index is a frame without content. Other readers of the format see
+the ids and nothing else.
 A reader fetches the table and the index, then only the frames that it needs.
 
 The manifest, a Parquet table beside the files, names the files that count; a task that was
@@ -31,6 +33,8 @@ from chronaudit.llm.encoding import piece_encoder
 
 #: Fixed values of the seekable format: skippable frame, seek table, descriptor with checksums.
 SKIPPABLE, SEEK_TABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
+#: The kind of skippable frame that holds the index; any of 0x184D2A50 to 0x184D2A5F may be chosen.
+INDEX = 0x184D2A5A
 
 FRAME_BYTES = 256 << 10
 SLICE_BYTES = 2 << 20
@@ -43,6 +47,10 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _checksum(content: bytes) -> int:
+    return xxhash.xxh64_intdigest(content) & 0xFFFFFFFF
+
+
 class FrameWriter:
     """Writes one file to an open binary stream."""
 
@@ -58,7 +66,7 @@ class FrameWriter:
     def _frame(self, content: bytes) -> None:
         packed = self.compressor.compress(content)
         self.stream.write(packed)
-        self.table.append((len(packed), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
+        self.table.append((len(packed), len(content), _checksum(content)))
 
     def _flush(self) -> None:
         content = b"".join(self.pending)
@@ -79,7 +87,10 @@ class FrameWriter:
         named = np.array([0 if x is None else x for x in self.ids], dtype="<i8")
         blank = np.array([x is None for x in self.ids], dtype="u1")
         lengths = np.array(self.lengths, dtype="<u8")
-        self._frame(struct.pack("<Q", len(self.ids)) + named.tobytes() + blank.tobytes() + lengths.tobytes())
+        index = struct.pack("<Q", len(self.ids)) + named.tobytes() + blank.tobytes() + lengths.tobytes()
+        packed = struct.pack("<I", _checksum(index)) + self.compressor.compress(index)
+        self.stream.write(struct.pack("<II", INDEX, len(packed)) + packed)
+        self.table.append((8 + len(packed), 0, _checksum(b"")))
         rows = b"".join(struct.pack("<III", *x) for x in self.table)
         foot = struct.pack("<IBI", len(self.table), WITH_CHECKSUMS, SEEK_TABLE)
         self.stream.write(struct.pack("<II", SKIPPABLE, len(rows) + len(foot)) + rows + foot)
@@ -99,7 +110,7 @@ class FrameReader:
         self.table = np.frombuffer(stream.read(12 * n), dtype="<u4").reshape(n, 3).astype(np.int64)
         self.packed_at = np.concatenate(([0], np.cumsum(self.table[:, 0])))
         self.content_at = np.concatenate(([0], np.cumsum(self.table[:, 1])))
-        index = self.frame(n - 1)
+        index = self._index(n - 1)
         docs = struct.unpack_from("<Q", index)[0]
         self.ids = np.frombuffer(index, dtype="<i8", count=docs, offset=8)
         self.blank = np.frombuffer(index, dtype="u1", count=docs, offset=8 + 8 * docs).astype(bool)
@@ -107,11 +118,22 @@ class FrameReader:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
         self.frames_read = 0
 
+    def _index(self, k: int) -> bytes:
+        self.stream.seek(int(self.packed_at[k]))
+        packed = self.stream.read(int(self.table[k, 0]))
+        magic, size, checksum = struct.unpack_from("<III", packed)
+        if magic != INDEX or size != len(packed) - 8:
+            raise ValueError("no index before the seek table")
+        index = self.unpack.decompress(packed[12:])
+        if _checksum(index) != checksum:
+            raise ValueError("the index does not fit its checksum")
+        return index
+
     def frame(self, k: int) -> bytes:
         """The content of a frame; an error if it does not fit its checksum."""
         self.stream.seek(int(self.packed_at[k]))
         content = self.unpack.decompress(self.stream.read(int(self.table[k, 0])), max_output_size=int(self.table[k, 1]))
-        if xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != self.table[k, 2]:
+        if _checksum(content) != self.table[k, 2]:
             raise ValueError(f"frame {k} does not fit its checksum")
         return content
 
