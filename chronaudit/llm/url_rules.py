@@ -1,8 +1,8 @@
 """URL filters: allow and block rules found by hashes of host suffixes and path prefixes.
 
 Every URL is spelled out into expressions, a suffix of its host with a prefix of its path,
-for the numbers of host labels and the path lengths that rules have. Expressions and rules
-meet in an equi-join on the first digits of a digest; the full digest confirms, and the
+for each number of host labels with the path lengths that rules of that number have. Expressions
+and rules meet in an equi-join on the first digits of a digest; the full digest confirms, and the
 longest rule decides.
 """
 
@@ -53,22 +53,21 @@ def judge_urls(
     Ids may be null or repeated, rows too; an empty table gives no rows, and empty rules give the
     default; other columns are not read. Each host and path is judged
     once, however many pages share it; what a URL is spelled out into is bounded by the
-    rules' own lengths, not by the URL's. The lists of those lengths are the driver's.
+    rules' own lengths, not by the URL's. The distinct lengths of rules are the driver's, not the
+    rules. Verdicts are joined back by a shuffle, as their number grows with the URLs.
     """
     rules = rules.select(
         F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict"
     ).dropna()
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # block comes after allow
-    sizes = rules.agg(
-        F.collect_set(F.size(F.split("rule_host", r"\."))).alias("labels"),
-        F.collect_set(F.length("rule_path")).alias("lengths"),
-        F.count("*").alias("n"),
-    ).first()
-    labels, lengths = sorted(sizes["labels"]), sorted(sizes["lengths"])
+    shapes = rules.groupBy(F.size(F.split("rule_host", r"\.")).alias("labels")).agg(
+        F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"), F.count("*").alias("n")
+    ).orderBy("labels").collect()
+    n_rules = sum(x["n"] for x in shapes)
 
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     named = pages.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"))
-    if not sizes["n"]:
+    if not shapes:
         return named.select(
             F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
         )
@@ -77,17 +76,20 @@ def judge_urls(
         F.length("rule_host").alias("host_length"),
         F.concat("rule_host", "rule_path").alias("rule"),
     ).withColumn("prefix", F.substring("rule_digest", 1, PREFIX_DIGITS))
-    if sizes["n"] <= BROADCAST_RULES:
+    if n_rules <= BROADCAST_RULES:
         hashed = F.broadcast(hashed)
 
     dots = F.size(F.split("host", r"\."))
-    suffixes = F.array(*[F.when(dots >= n, F.substring_index("host", ".", -n)) for n in labels])
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), F.lit(1), F.lit(n))) for n in lengths])
+    suffixes = F.array(*[
+        F.when(dots >= x["labels"], F.struct(
+            F.substring_index("host", ".", -x["labels"]).alias("suffix"), F.lit(x["lengths"]).alias("lengths")))
+        for x in shapes])
     spelled = (
         named.select("host", "path").distinct()
-        .withColumn("suffix", F.explode(F.array_compact(suffixes)))
-        .withColumn("digest", F.explode(
-            F.transform(F.array_compact(prefixes), lambda p: _digest(F.col("suffix"), p))))
+        .select("host", "path", F.explode(F.array_compact(suffixes)).alias("at"))
+        .withColumn("digest", F.explode(F.transform(
+            F.filter("at.lengths", lambda n: F.length("path") >= n),
+            lambda n: _digest(F.col("at.suffix"), F.substr("path", F.lit(1), n)))))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     )
     best = (
@@ -97,7 +99,7 @@ def judge_urls(
         .agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "verdict")).alias("best"))
     )
     # read from files it is dealt out for the join, so Spark can split a URL that many pages share
-    return named.join(in_files(best, "url-verdicts"), ["host", "path"], "left").select(
+    return named.join(in_files(best, "url-verdicts").hint("merge"), ["host", "path"], "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )

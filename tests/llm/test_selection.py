@@ -229,6 +229,14 @@ def test_many_rules_are_joined_by_a_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, url_rules.judge_urls(pages, rules).collect()), key=str) == wanted
 
 
+def test_verdicts_are_not_broadcast(spark):
+    """However few they seem, verdicts of URLs are joined by a shuffle; only the rules are broadcast."""
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id bigint, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    plan = url_rules.judge_urls(pages, rules)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_features_of_a_text():
     assert len(site_quality.features("")) == len(site_quality.features("a b c"))
     assert np.isfinite(site_quality.features("x " * 50_000)).all()
