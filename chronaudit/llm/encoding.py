@@ -21,8 +21,9 @@ import numpy as np
 #: Pieces that a worker keeps from now on, beside as many from before; others are encoded again.
 MEMO_PIECES = 500_000
 
-#: Pieces that the library is asked for at once.
+#: Pieces that the library is asked for at once, and words that are one text for it.
 ASKED_AT_ONCE = 4096
+JOINED_AT_ONCE = 1024
 
 #: The characters with the Unicode property White_Space, as a pattern class.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -35,6 +36,7 @@ WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _CHUNKS = re.compile(rf" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 _LONG_SPACE = re.compile(r"\s\s\s|\s\s\Z")
+_ONE_WORD = re.compile(r" \S+").fullmatch
 
 
 def spaced_pieces(text: str) -> list[str]:
@@ -157,13 +159,16 @@ class PieceEncoder:
         """The ids of each piece. Pieces that begin with their only space are asked for in one text."""
         if self.leads is None or len(pieces) == 1:
             return [np.array(x, dtype="<u4").tobytes() for x in self._ask(pieces)]
-        plain = [" " + x.strip() == x and len(x.split()) == 1 for x in pieces]
-        joined = np.array(self._ask(["".join(itertools.compress(pieces, plain))])[0], dtype="<u4")
-        begins = (4 * np.flatnonzero(self.leads[joined])).tolist()
+        plain = [x is not None for x in map(_ONE_WORD, pieces)]
+        words, parts = list(itertools.compress(pieces, plain)), []
+        for at in range(0, len(words), JOINED_AT_ONCE):
+            joined = np.array(self._ask(["".join(words[at : at + JOINED_AT_ONCE])])[0], dtype="<u4")
+            begins = (4 * np.flatnonzero(self.leads[joined])).tolist()
+            raw = joined.tobytes()
+            parts += [raw[i:j] for i, j in zip(begins, [*begins[1:], len(raw)])]  # noqa: B905
+        of_words = iter(parts)
         others = iter(self._ask([x for x, p in zip(pieces, plain, strict=True) if not p]))
-        raw = joined.tobytes()
-        parts = iter([raw[i:j] for i, j in zip(begins, [*begins[1:], len(raw)])])  # noqa: B905
-        return [next(parts) if p else np.array(next(others), dtype="<u4").tobytes() for p in plain]
+        return [next(of_words) if p else np.array(next(others), dtype="<u4").tobytes() for p in plain]
 
     def counts(self, texts: Sequence[str]) -> list[int]:
         """Tokens of each text."""
